@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash, topk, toxicity, warc
+from pyspark.sql import functions as F
+
+from . import decontaminate, mixing, secrets, simhash, topk, toxicity, warc
 
 
 def table(spark, sf_dir, name):
@@ -13,6 +15,11 @@ def op2_secret_scans(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark, sf_dir):
+    kept = mixing.mixed(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_probability", 6).alias("probability"))
+
+
 def op6_norm_bucketed_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -21,6 +28,10 @@ def op7_warc_round_trip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +46,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op5_mixing": mixing.mixing_sql(),
         "op6_norm_bucketed_top_k": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -48,15 +48,15 @@ def simhash(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(doc_id, h, fp) of every row: h is the text's hash, fp its fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((simhash(t.as_py(), shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("h")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -178,16 +178,36 @@ def near_links(scratch: Scratch, distinct: DataFrame, radius: int = 3, bands: in
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, bands: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row: 16 hex digits, and the smallest doc_id reachable by links."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    own = scratch.write("own", fingerprints(docs, shingle))
+def classes(scratch: Scratch, own: DataFrame, radius: int, bands: int) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of ``own``: root names the class, a fingerprint of it."""
     distinct = scratch.write("distinct", own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = scratch.write("edges", near_links(scratch, distinct.select("fp"), radius, bands).distinct())
     roots = scratch.write("roots", connected_components(scratch, edges))
     named = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.write("named", named)
-    moved = scratch.write("moved", roots.join(named, "root").select(F.col("node").alias("fp"), "component_id"))
-    of = scratch.write("of", distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    moved = scratch.write("moved", roots.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id"))
+    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    of = scratch.write("of", of)
     scratch.drop("large", "edges", "roots", "named", "moved", "distinct")
+    return of
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, bands: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row: 16 hex digits, and the smallest doc_id reachable by links."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    own = scratch.write("own", fingerprints(docs, shingle))
+    of = classes(scratch, own, radius, bands)
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 3, shingle: int = 3, bands: int = 4) -> DataFrame:
+    """One row of each group, all columns of ``docs``: the smallest doc_id (null last), then the smallest text hash;
+    of rows equal in both, any one."""
+    scratch = Scratch(docs.sparkSession, "representatives")
+    own = scratch.write("own", fingerprints(docs, shingle))
+    of = classes(scratch, own, radius, bands)
+    first = own.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("w"))
+    first = scratch.write("first", first.select(F.coalesce("w.doc_id", F.lit(0)).alias("key_id"), F.col("w.none").alias("key_none"), F.col("w.h").alias("key_h")))
+    keys = ["key_id", "key_none", "key_h"]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_none"), F.xxhash64(text_or_empty()).alias("key_h"))
+    return keyed.join(first, keys).groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")

@@ -30,15 +30,26 @@ MOST = 3000
 TERMS = 4096
 FACTORS = 8
 #: Bytes hashed at once.
-PIECE = 1 << 22
+PIECE = 1 << 19
 
 #: Bytes that end a word: all that isn't a letter, a digit or part of a multi-byte character.
 BREAKS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).lower()
 
 
-def term_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of every term occurrence of the texts, whole; non-ASCII letters are lower-cased beforehand."""
+def term_slots(texts: list[bytes], column: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of every term occurrence of the texts, whole; non-ASCII letters are lower-cased beforehand.
+
+    With a column for each slot, only terms with one of 0 or more, as that column.
+    """
     rows, slots = [], []
+
+    def add(owner, slot):
+        if column is not None:
+            slot = column[slot].astype(np.int64)
+            owner, slot = owner[slot >= 0], slot[slot >= 0]
+        rows.append(owner)
+        slots.append(slot)
+
     begin = 0
     while begin < len(texts):
         end, size = begin, 0
@@ -61,8 +72,7 @@ def term_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 if i:
                     bad |= space[i : i + len(h)] & (i < n - 1)  # within a word and its two spaces
             ok = np.flatnonzero(~bad)
-            rows.append(owner[ok])
-            slots.append(mixed(h[ok], n))
+            add(owner[ok], mixed(h[ok], n))
         cut = np.flatnonzero(space)
         a, b = cut[:-1] + 1, cut[1:]
         a, b = a[b > a], b[b > a]
@@ -72,8 +82,7 @@ def term_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         power = np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(flat), inverse, np.uint64))))
         up = np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(flat), step, np.uint64))))
         total = np.concatenate(([np.uint64(0)], np.cumsum((x + np.uint64(1)) * power[: len(x)], dtype=np.uint64)))
-        rows.append(owner[a])
-        slots.append(mixed((total[b] - total[a]) * up[a], 0))
+        add(owner[a], mixed((total[b] - total[a]) * up[a], 0))
         begin = end
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -87,11 +96,8 @@ def mixed(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
 
-def counted(rows: np.ndarray, slots: np.ndarray, column: np.ndarray | None = None):
-    """(row, column, x) with one entry for each term of a row; column maps slots to kept terms, -1 for others."""
-    if column is not None:
-        slots = column[slots]
-        rows, slots = rows[slots >= 0], slots[slots >= 0]
+def counted(rows: np.ndarray, slots: np.ndarray):
+    """(row, slot, x) with one entry for each term of a row."""
     key, n = np.unique(rows * SLOTS + slots, return_counts=True)
     return key // SLOTS, key % SLOTS, np.minimum(np.log2(1.0 + n), 3.0)
 
@@ -165,10 +171,9 @@ class FactorizationMachine:
         return sums, np.clip(w0 + np.bincount(row, w[col] * x, n) + 0.5 * ((sums * sums).sum(1) - squares), -30, 30)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        rows, slots = term_slots(texts)
-        row, col, x = counted(rows, slots, self.column)
         if not len(self.w):
             return np.full(len(texts), 1 / (1 + np.exp(-self.w0)))
+        row, col, x = counted(*term_slots(texts, self.column))
         return 1 / (1 + np.exp(-self.forward(self.w0, self.w, self.v, row, col, x, len(texts))[1]))
 
 

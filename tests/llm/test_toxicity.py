@@ -25,8 +25,10 @@ def test_pairwise_interaction_is_learnt():
         texts.append(" ".join(["alpha"] * int(a) + ["beta"] * int(b) + [f"w{rng.integers(50)}" for _ in range(8)]).encode())
         labels.append(float(a and b))
     m = toxicity.FactorizationMachine.fit(texts, np.array(labels))
-    s = m.score([b"alpha w1 w2", b"beta w3 w4", b"alpha beta w5", b""])
-    assert s[2] > 0.7 and max(s[0], s[1], s[3]) < 0.3
+    s = m.score([b"alpha w1 w2", b"beta w3 w4", b"alpha beta w5", b"w7 w8"])
+    logit = np.log(s / (1 - s))
+    assert s[2] > 0.9 and s[3] < 0.5
+    assert logit[2] > logit[0] + logit[1] - logit[3] + 2  # more than any additive weights give
 
 
 def test_edge_cases(spark):
