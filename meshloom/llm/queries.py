@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, simhash, topk, toxicity, warc
+from . import decontaminate, mixing, secrets, simhash, suffix, topk, toxicity, warc
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    return suffix.deduplicated(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op2_secret_scans(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
