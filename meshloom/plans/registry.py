@@ -280,11 +280,11 @@ def interface_nodes(spark, sf):
 
 # --- physics ---------------------------------------------------------------------------------------------------------
 
-PART_CASES = "SELECT p_partkey AS case_id, CAST(p_size AS DOUBLE) AS k, 2.0 * (1 + p_partkey % 7) AS q, 300.0 AS lo, 300.0 + p_retailprice / 100 AS hi FROM part"
+PART_CASES = "SELECT p_partkey AS case_id, CAST(p_size AS DOUBLE) AS k, 2e0 * (1 + p_partkey % 7) / 0.9e0 AS q, 3e2 AS lo, 3e2 + p_retailprice / 97e0 AS hi FROM part"
 
 
 def part_cases(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_size").cast("double").alias("k"), (2.0 * (1 + F.col("p_partkey") % 7)).alias("q"), F.lit(300.0).alias("left"), (300.0 + F.col("p_retailprice") / 100).alias("right"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_size").cast("double").alias("k"), (2.0 * (1 + F.col("p_partkey") % 7) / 0.9).alias("q"), F.lit(300.0).alias("left"), (300.0 + F.col("p_retailprice") / 97.0).alias("right"))
 
 
 @query(f"""WITH c AS ({PART_CASES}), n AS (SELECT id / {float(N)} AS x FROM range({N + 1}) t(id)),
@@ -368,10 +368,10 @@ def point_location(spark, sf):
     return transfer.sampled(transfer.located(m, points), field).select("point_id", F.round("value", 6).alias("value"))
 
 
-@query("""WITH t AS (SELECT event_id, 2 + 1e-2 * ((300 + value / 100) - 300) AS n FROM events)
+@query("""WITH t AS (SELECT event_id, 2 + 1e-2 * ((300 + value / 97e0) - 300) AS n FROM events)
 SELECT event_id, round(n, 11) AS index, round(n * n, 11) AS permittivity, CASE WHEN (n * n - 3.5) / 1.5 BETWEEN 0 AND 1 THEN round((n * n - 3.5) / 1.5, 11) ELSE -1 END AS fraction FROM t""")
 def thermo_optic(spark, sf):
-    state = sc.thermo_optic(300 + F.col("value") / 100, 300.0, 2.0, 1e-2, 3.5, 5.0)
+    state = sc.thermo_optic(300 + F.col("value") / 97.0, 300.0, 2.0, 1e-2, 3.5, 5.0)
     out = table(spark, sf, "events").select("event_id", *[F.round(v, 11).alias(k) for k, v in state.items()])
     return out.withColumn("fraction", F.when(F.isnan("fraction"), -1.0).otherwise(F.col("fraction")))
 
