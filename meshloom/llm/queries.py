@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, mixing, secrets, simhash, suffix, topk, toxicity, warc
+from . import chaining, decontaminate, html, mixing, secrets, simhash, suffix, topk, toxicity, warc
 
 
 def table(spark, sf_dir, name):
@@ -19,6 +19,10 @@ def op2_secret_scans(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark, sf_dir):
     return html.extracted(table(spark, sf_dir, "pages"))
 
