@@ -117,21 +117,18 @@ class FactorizationMachine:
             none.w0 = 20.0 if positive else -20.0
             return none
         seen = np.zeros((2, SLOTS))
-        parts = []
-        for i in range(0, n, 500):
-            r, s, x = counted(*term_slots(texts[i : i + 500]))
+        for i in range(0, n, 64):  # counts only; terms are hashed again below, once few of them are kept
+            r, s, _ = counted(*term_slots(texts[i : i + 64]))
             for label in (0, 1):
-                seen[label] += np.bincount(s[labels[i + r] == label], minlength=SLOTS)
-            parts.append((i + r, s.astype(np.int32), x.astype(np.float32)))
+                np.add.at(seen[label], s[labels[i + r] == label], 1)
         a, b = seen[1], seen[0]
         c, d = positive - a, n - positive - b
         chi = (a * d - b * c) ** 2 * n / np.maximum((a + b) * (c + d) * positive * (n - positive), 1e-9)
         kept = np.flatnonzero(a + b >= 3)
         kept = np.sort(kept[np.argsort(-chi[kept], kind="stable")[:terms]])
         none.column[kept] = np.arange(len(kept))
+        parts = [(i + r, k, x) for i in range(0, n, 64) for r, k, x in [counted(*term_slots(texts[i : i + 64], none.column))]]
         row, col, x = (np.concatenate(p) for p in zip(*parts))
-        col = none.column[col]
-        row, col, x = row[col >= 0], col[col >= 0], x[col >= 0].astype(np.float64)
         rng = np.random.default_rng(seed)
         weight = np.where(labels > 0, n / 2 / positive, n / 2 / (n - positive))  # both labels count alike
         w0, w, v = 0.0, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), factors))
