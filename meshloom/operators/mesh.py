@@ -46,7 +46,7 @@ def unit_square(spark: SparkSession, n: int, width: float = 1.0, height: float =
     return Mesh(nodes, cells, facets, tags)
 
 
-#: The six tetrahedra of a voxel around its diagonal a-h; corners a..h count z fastest.
+#: The six tetrahedra of a voxel around its diagonal a-h; corners a..h count x fastest.
 VOXEL = ("abdh", "adch", "acgh", "ageh", "aefh", "afbh")
 
 
@@ -56,7 +56,7 @@ def tet_box(spark: SparkSession, nx: int, ny: int, nz: int) -> Mesh:
     c = F.col("id")
     nodes = spark.range((nx + 1) * sx).select(c.alias("node_id"), (F.floor(c / sx) / nx).alias("x"), (F.floor(c / sy) % (ny + 1) / ny).alias("y"), (c % sy / nz).alias("z"))
     base = F.floor(c / (ny * nz)) * sx + F.floor(c / nz) % ny * sy + c % nz
-    corner = {name: base + (k >> 2) * sx + (k >> 1 & 1) * sy + (k & 1) for k, name in enumerate("abcdefgh")}
+    corner = {name: base + (k & 1) * sx + (k >> 1 & 1) * sy + (k >> 2) for k, name in enumerate("abcdefgh")}
     six = F.array(*[F.array(*[corner[v] for v in tet]) for tet in VOXEL])
     cells = spark.range(nx * ny * nz).select("id", F.posexplode(six).alias("k", "nodes")).select((6 * c + F.col("k")).cast("long").alias("cell_id"), "nodes")
     return Mesh(nodes, cells)

@@ -72,8 +72,6 @@ def self_consistent(cases: DataFrame, mesh: Mesh, relax: float = 1.0, tolerance:
     cases(case_id, sigma, alpha, volts, k, t0): potential 0 left and ``volts`` right, temperature t0 on both. The mesh
     has a fixed size, is read once and sent along; each case is a block Gauss-Seidel iteration in a worker.
     """
-    from meshloom.functions.scalars import conductivity  # noqa: F401  the law in column form
-
     g = geometry(mesh).orderBy("cell_id").toPandas()
     ends = side_nodes(mesh, "left", "right").toPandas()
     n = int(g[["n0", "n1", "n2"]].to_numpy().max()) + 1
@@ -117,7 +115,8 @@ def self_consistent(cases: DataFrame, mesh: Mesh, relax: float = 1.0, tolerance:
                 out.append((c.case_id, float(t.max()) if good else float("nan"), power, it, float(change), good))
             yield pd.DataFrame(out, columns=["case_id", "t_max", "power", "iterations", "change", "converged"])
 
-    return cases.select("case_id", "sigma", "alpha", "volts", "k", "t0").mapInPandas(run, "case_id long, t_max double, power double, iterations int, change double, converged boolean")
+    out = cases.select("case_id", "sigma", "alpha", "volts", "k", "t0").mapInPandas(run, "case_id long, t_max double, power double, iterations int, change double, converged boolean")
+    return out.fillna(float("nan"), ["t_max", "power"])
 
 
 #: Vacuum permeability and permittivity.

@@ -63,7 +63,8 @@ def solve_cases(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy()) -> Da
         x, n, error, ok = pcg(at(matrix["row"]), at(matrix["col"]), matrix["v"].to_numpy(), b, policy)
         return pd.DataFrame({"case_id": key[0], "node_id": ids, "u": x, "iterations": n, "backward_error": error, "converged": ok})
 
-    return k.groupBy("case_id").cogroup(f.groupBy("case_id")).applyInPandas(solve, "case_id long, node_id long, u double, iterations int, backward_error double, converged boolean")
+    out = k.groupBy("case_id").cogroup(f.groupBy("case_id")).applyInPandas(solve, "case_id long, node_id long, u double, iterations int, backward_error double, converged boolean")
+    return out.withColumn("u", F.coalesce("u", F.lit(float("nan"))))  # NaN leaves pandas as null
 
 
 def solve_large(k: DataFrame, f: DataFrame, folder: str, policy: CgPolicy = CgPolicy(relative=1e-10, most=500)) -> tuple[DataFrame, dict]:

@@ -55,7 +55,7 @@ g AS (SELECT *, abs(det) / 2 AS area, (y1 - y2) / det AS g0x, (x2 - x1) / det AS
 
 def box_sql(nx: int, ny: int, nz: int) -> str:
     sy, sx = nz + 1, (ny + 1) * (nz + 1)
-    corner = {name: f"base + {(k >> 2) * sx + (k >> 1 & 1) * sy + (k & 1)}" for k, name in enumerate("abcdefgh")}
+    corner = {name: f"base + {(k & 1) * sx + (k >> 1 & 1) * sy + (k >> 2)}" for k, name in enumerate("abcdefgh")}
     tets = "\n  UNION ALL ".join(f"SELECT 6 * id + {k} AS cell_id, " + ", ".join(f"{corner[v]} AS n{i}" for i, v in enumerate(tet)) + " FROM vox" for k, tet in enumerate(mesh.VOXEL))
     e = {(k, a): f"(p{k}.{a} - p0.{a})" for k in (1, 2, 3) for a in "xyz"}
     cross = lambda p, q: {"x": f"({e[p, 'y']} * {e[q, 'z']} - {e[p, 'z']} * {e[q, 'y']})", "y": f"({e[p, 'z']} * {e[q, 'x']} - {e[p, 'x']} * {e[q, 'z']})", "z": f"({e[p, 'x']} * {e[q, 'y']} - {e[p, 'y']} * {e[q, 'x']})"}
