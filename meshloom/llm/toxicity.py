@@ -4,9 +4,9 @@ score(x) = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i (v
 term, the vectors v give one to each pair of terms, such as an insult with the mention of a group.
 
 Terms are whole words and byte n-grams (5, 7 and 8 bytes, a word's leading space included, after lower-casing), hashed
-to 2^20 slots; x_i is log2(1 + occurrences), at most 3. Whole texts are hashed, n-grams all at once per Arrow batch.
-Fitting takes a bounded sample of labelled rows (``most`` of each label, those with the smallest hashes), keeps the
-``terms`` slots that tell the labels apart best by chi square, and runs AdaGrad on these.
+to 2^22 slots; x_i is log2(1 + occurrences), at most 3. Whole texts are hashed, n-grams all at once per Arrow batch.
+Fitting takes a bounded sample of labelled rows (``most`` of each label, those with the smallest hashes), keeps at
+most ``terms`` slots, those that surely tell the labels apart by chi square, and runs AdaGrad on these.
 
 Defined cases: a null or empty text has no terms and gets the score of w0; rows with null ids or labels teach nothing;
 an id labelled twice counts twice; without labelled rows of both kinds every score is the mean label (0 where there is
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 GRAMS = (5, 7, 8)
 THRESHOLD = 0.3
 #: Labelled rows that are collected at most, of each label, and terms that are kept.
 MOST = 3000
 TERMS = 4096
 FACTORS = 8
+#: Chi square that a term needs: about one in a million terms that say nothing passes.
+SURE = 24.0
 #: Bytes hashed at once.
 PIECE = 1 << 19
 
@@ -93,7 +95,7 @@ def mixed(h: np.ndarray, kind: int) -> np.ndarray:
     h = (h + np.uint64(kind + 1)) * np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return (h >> np.uint64(44)).astype(np.int64)
+    return (h >> np.uint64(42)).astype(np.int64)
 
 
 def counted(rows: np.ndarray, slots: np.ndarray):
@@ -116,16 +118,18 @@ class FactorizationMachine:
         if not positive or positive == n:
             none.w0 = 20.0 if positive else -20.0
             return none
-        seen = np.zeros((2, SLOTS))
+        seen = np.zeros((2, SLOTS), np.int32)
         for i in range(0, n, 64):  # counts only; terms are hashed again below, once few of them are kept
             r, s, _ = counted(*term_slots(texts[i : i + 64]))
             for label in (0, 1):
                 np.add.at(seen[label], s[labels[i + r] == label], 1)
-        a, b = seen[1], seen[0]
+        kept = np.flatnonzero(seen.sum(0) >= 3)
+        a, b = seen[1, kept].astype(np.float64), seen[0, kept].astype(np.float64)
+        del seen
         c, d = positive - a, n - positive - b
         chi = (a * d - b * c) ** 2 * n / np.maximum((a + b) * (c + d) * positive * (n - positive), 1e-9)
-        kept = np.flatnonzero(a + b >= 3)
-        kept = np.sort(kept[np.argsort(-chi[kept], kind="stable")[:terms]])
+        sure = np.flatnonzero(chi >= SURE)
+        kept = np.sort(kept[sure[np.argsort(-chi[sure], kind="stable")[:terms]]])
         none.column[kept] = np.arange(len(kept))
         parts = [(i + r, k, x) for i in range(0, n, 64) for r, k, x in [counted(*term_slots(texts[i : i + 64], none.column))]]
         row, col, x = (np.concatenate(p) for p in zip(*parts))
