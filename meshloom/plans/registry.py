@@ -455,8 +455,11 @@ def evidence_rollup(spark, sf):
 
 
 def queries():
+    from meshloom.plans import more  # noqa: F401  registers the rest
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    queries()
     return dict(SQL)

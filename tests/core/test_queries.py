@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from meshloom.plans import registry
+from meshloom.plans import more, registry  # noqa: F401
 
 
 @pytest.fixture(scope="module")
