@@ -190,39 +190,33 @@ def level_one(texts: DataFrame, length: int, seed: int) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "kind int, h long, doc long, p long")
 
 
-def cells_of(text: bytes, h: np.ndarray, start: np.ndarray, more: np.ndarray, length: int, seed: int):
-    """Cells of the runs (start, more) with anchor hash h of one text: core hash, where the core starts, and the bytes
-    left and right of it; bits 56 to 61 of left hold the first and last window of the cell."""
+def cells_of(flat: np.ndarray, h: np.ndarray, a: np.ndarray, n: np.ndarray, stop: np.ndarray, length: int, seed: int):
+    """Cells of the runs with anchor hash h, first start a, further starts n, in texts that stop at ``stop``: number of
+    the run, core hash, where the core starts, and the bytes left and right of it; bits 56 to 61 of left hold the first
+    and last window of the cell."""
+    hashes = Hashes(flat)
+    tries = (a + n)[:, None] + np.arange(length - seed + 1)
+    inside = tries <= np.minimum(a + length - seed, stop - seed)[:, None]
+    at = np.where(inside, tries, 0)
+    same = (hashes.of(at, at + seed) == h.view(np.uint64)[:, None]) & inside
+    anchor = tries[np.arange(len(a)), same.argmax(1)]
     out = []
-    for off in range(0, len(text), PIECE):
-        mine = np.flatnonzero((start >= off) & (start < off + PIECE))
-        if not len(mine):
+    for c in range((length - seed) // CELL + 1):
+        core = anchor - CELL * c  # windows of this cell start 0 to 7 bytes before
+        lo, hi = np.maximum(core - (a + n), 0), np.minimum(core - a, CELL - 1)
+        ok = np.flatnonzero(lo <= hi)
+        if not len(ok):
             continue
-        part = text[off : off + PIECE + 4 * length]
-        flat = np.frombuffer(part, np.uint8)
-        hashes = Hashes(flat)
-        a, n = start[mine] - off, more[mine]
-        tries = (a + n)[:, None] + np.arange(length - seed + 1)
-        inside = tries <= np.minimum(a[:, None] + length - seed, len(flat) - seed)
-        at = np.where(inside, tries, 0)
-        same = (hashes.of(at, at + seed) == h[mine].view(np.uint64)[:, None]) & inside
-        anchor = tries[np.arange(len(mine)), same.argmax(1)]
-        for c in range((length - seed) // CELL + 1):
-            core = anchor - CELL * c  # windows of this cell start 0 to 7 bytes before
-            lo, hi = np.maximum(core - (a + n), 0), np.minimum(core - a, CELL - 1)
-            ok = np.flatnonzero(lo <= hi)
-            if not len(ok):
-                continue
-            core, lo, hi = core[ok], lo[ok], hi[ok]
-            end = core + length - CELL + 1
-            left, right = np.zeros(len(ok), np.int64), np.zeros(len(ok), np.int64)
-            for k in range(CELL - 1):
-                i, j = core - 1 - k, end + k
-                left |= np.where((k < hi) & (i >= 0), flat[np.maximum(i, 0)], 0).astype(np.int64) << (8 * k)
-                right |= np.where((k < CELL - 1 - lo) & (j < len(flat)), flat[np.minimum(j, len(flat) - 1)], 0).astype(np.int64) << (8 * k)
-            hashed = mix(hashes.of(core, end) ^ np.uint64(c + 1))
-            out.append((hashed.view(np.int64), core + off, left | (lo << 59) | (hi << 56), right))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+        core, lo, hi = core[ok], lo[ok], hi[ok]
+        end = core + length - CELL + 1
+        left, right = np.zeros(len(ok), np.int64), np.zeros(len(ok), np.int64)
+        for k in range(CELL - 1):
+            # bytes that no window of the cell reaches are zero, so none is read beyond the text
+            left |= np.where(k < hi, flat[np.maximum(core - 1 - k, 0)], 0).astype(np.int64) << (8 * k)
+            right |= np.where(k < CELL - 1 - lo, flat[np.minimum(end + k, len(flat) - 1)], 0).astype(np.int64) << (8 * k)
+        hashed = mix(hashes.of(core, end) ^ np.uint64(c + 1))
+        out.append((ok, hashed.view(np.int64), core, left | (lo << 59) | (hi << 56), right))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
 
 
 def level_two(scratch: Scratch, texts: DataFrame, runs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -234,16 +228,35 @@ def level_two(scratch: Scratch, texts: DataFrame, runs: DataFrame, length: int,
 
     def unfold(batches):
         for batch in batches:
-            held = []
+            docs, ts = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
             offsets, inner = np.asarray(batch.column(3).offsets), batch.column(3).values
             h, p = np.asarray(inner.field(0)), np.asarray(inner.field(1))
+            start, more = p >> 7 & 0xFFFFFFFF, p & 127
+            held, size = [], 0  # (row, runs, offset of the part in its text, part)
+
+            def out():
+                flat = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
+                base = np.cumsum([0, *(len(x[3]) for x in held)])
+                which = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+                runs = np.concatenate([x[1] for x in held])
+                off, row = np.array([x[2] for x in held])[which], np.array([x[0] for x in held])[which]
+                run, core, at, left, right = cells_of(flat, h[runs], start[runs] - off + base[which], more[runs], base[which + 1], length, seed)
+                place = at - base[which[run]] + off[run]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in (core, docs[row[run]], ts[row[run]] << 32 | place, left, right)], ["core", "doc", "q", "l", "r"])
+
             for k in range(batch.num_rows):
-                i, j = offsets[k], offsets[k + 1]
-                core, at, left, right = cells_of(batch.column(2)[k].as_py(), h[i:j], p[i:j] >> 7 & 0xFFFFFFFF, p[i:j] & 127, length, seed)
-                held.append((core, np.full(len(core), batch.column(0)[k].as_py()), batch.column(1)[k].as_py() << 32 | at, left, right))
-                if sum(len(x[0]) for x in held) > 1 << 16 or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*held)], ["core", "doc", "q", "l", "r"])
-                    held = []
+                text, own = batch.column(2)[k].as_py(), np.arange(offsets[k], offsets[k + 1])
+                for off in range(0, len(text), PIECE):
+                    mine = own[(start[own] >= off) & (start[own] < off + PIECE)]
+                    if len(mine):
+                        part = text[off : off + PIECE + 4 * length]
+                        held.append((k, mine, off, part))
+                        size += len(part)
+                        if size >= PIECE:
+                            yield out()
+                            held, size = [], 0
+            if held:
+                yield out()
 
     def compare(batches):
         """Later windows (kind 0), and the first windows of the groups at a task's edges (kind 1)."""
@@ -269,7 +282,8 @@ def level_two(scratch: Scratch, texts: DataFrame, runs: DataFrame, length: int,
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(core[k]), pa.array(np.full(len(k), j, np.int32)), pa.array(x[pick]), pa.array(y[pick]), pa.array(doc[k]), pa.array(q[k])], ["kind", "core", "j", "x", "y", "doc", "q"])
 
     keys = ["core", "doc", "q"]
-    cells = joined.mapInArrow(unfold, "core long, doc long, q long, l long, r long").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    cells = scratch.write("cells", joined.mapInArrow(unfold, "core long, doc long, q long, l long, r long"))  # else unfolded twice, for the ranges' sample too
+    cells = cells.repartitionByRange(*keys).sortWithinPartitions(*keys)
     windows = scratch.write("windows", cells.mapInArrow(compare, "kind int, core long, j int, x long, y long, doc long, q long"))
     edges = windows.where("kind = 1")
     same = ["core", "j", "x", "y"]
