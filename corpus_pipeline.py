@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm import decontaminate, mixing, secrets, simhash, toxicity
+from meshloom.llm import decontaminate, mixing, near, secrets, toxicity
 from meshloom.llm.common import Scratch
 
 
@@ -16,8 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group: the one with the smallest id, of repeated rows any one."""
-    return simhash.representatives(docs)
+    """Keeps one row of each group of texts that five-word shingles with Jaccard 0.8 or more connect: the one with the
+    smallest id, of repeated rows any one."""
+    return near.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

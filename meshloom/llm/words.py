@@ -33,9 +33,9 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words_of(texts: list[bytes]) -> Words:
-    """Words of lower-cased UTF-8 texts; a word's hash is a difference of prefix sums, scaled to its start."""
-    flat = np.frombuffer(b" ".join([b"", *(t.translate(BREAKS) for t in texts), b""]), np.uint8)
+def words_of(texts: list[bytes], breaks: bytes = BREAKS) -> Words:
+    """Words of lower-cased UTF-8 texts, parted where ``breaks`` gives a space; a word's hash is a difference of prefix sums, scaled to its start."""
+    flat = np.frombuffer(b" ".join([b"", *(t.translate(breaks) for t in texts), b""]), np.uint8)
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     first = 1 + np.concatenate(([0], np.cumsum(size + 1)[:-1])) if len(texts) else np.zeros(0, np.int64)
     gap = np.flatnonzero(flat == 32)
