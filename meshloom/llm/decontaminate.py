@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts become lower-case words. The n-grams of the benchmark items (five words) are the seeds; a first pass counts the
-documents that hold each. A document and an item are aligned when they share a rare seed (held by at most ``common`` of
-all documents), or, so that passages in very many documents are found too, a quarter of the item's seeds whatever their
-count. Words align locally with +1 for a match and -1 for a mismatch or a gap; the score over the item's word count is
-1 for a whole copy, and edits lower it. A document is contaminated at ``least`` or more.
+Texts become lower-case words. The n-grams of the benchmark items (five words) are the seeds. A document and an item
+are aligned when they share a seed, in however many documents it stands, unless fewer than ``least`` of the item's words
+occur around the shared seeds at all: the score cannot be above that share, so nothing is lost. Words align locally with
++1 for a match and -1 for a mismatch or a gap; the score over the item's word count is 1 for a whole copy, and edits
+lower it. A document is contaminated at ``least`` or more.
 
 The benchmark's seeds are broadcast in slices of bounded size (``slice_chars`` characters of items), one pass over the
 documents for each slice; documents are never shuffled.
@@ -25,7 +25,6 @@ from .words import batches_of, grams, words_of
 
 NGRAM = 5
 LEAST = 0.5
-COMMON = 0.001
 SLICE_CHARS = 16 << 20
 
 
@@ -63,8 +62,6 @@ class Seeds:
         self.hash, self.item = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
         self.ids = [i for i, _ in items]
         self.words = [words.hash[words.owner == k] for k in range(len(items))]
-        self.count = np.bincount(self.item, minlength=len(items))
-        self.common = np.zeros(len(self.hash), bool)
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in h, index of the seed) of every match."""
@@ -78,14 +75,14 @@ def found_in(seeds: Seeds, text: bytes, words: np.ndarray, start: np.ndarray, en
     """(item, score, first, last character) of the benchmark items that one document holds; at: word positions."""
     for item in np.unique(seeds.item[seed]):
         mine = seeds.item[seed] == item
-        if seeds.common[seed[mine]].all() and len(np.unique(seed[mine])) * 4 < seeds.count[item]:
-            continue
         target = seeds.words[item]
         n, places = len(target), np.unique(at[mine])
         cuts = np.flatnonzero(np.diff(places) > 2 * n) + 1
         best = (0, 0, 0)
         for part in np.split(places, cuts):
             lo, hi = max(0, part[0] - 2 * n), min(len(words), part[-1] + 2 * n)
+            if np.isin(target, words[lo:hi]).sum() < least * n:  # each match takes a word of the item: a bound on the score
+                continue
             score, a, b = align(target, words[lo:hi])
             best = max(best, (score, -(lo + a), lo + b))
         score, a, b = best[0] / n, -best[1], best[2]
@@ -95,7 +92,7 @@ def found_in(seeds: Seeds, text: bytes, words: np.ndarray, start: np.ndarray, en
             yield seeds.ids[item], score, chars, chars + len(text[first:last].decode("utf-8", "ignore"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST, common: float = COMMON, slice_chars: int = SLICE_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(doc_id, item_id, score, start, end): documents and the items they hold; start and end in code points."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
@@ -108,30 +105,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: f
         seeds = Seeds([(i, t.encode()) for i, t in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist())], n)
         sent = spark.sparkContext.broadcast(seeds)
 
-        def count(batches, sent=sent):
-            seeds = sent.value
-            held, total = np.zeros(len(seeds.hash), np.int64), 0
-            for batch in batches:
-                texts = batch.column(0).cast(pa.binary()).to_pylist()
-                total += len(texts)
-                for i, j in batches_of(texts):
-                    words = words_of(texts[i:j])
-                    at, h = grams(words, n)
-                    where, seed = seeds.hits(h)
-                    if len(seed):
-                        once = np.unique(np.stack([words.owner[at[where]], seed], 1), axis=0)
-                        held += np.bincount(once[:, 1], minlength=len(held))
-            some = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(held[some], total))], ["seed", "n"])
-
-        # at most one row a seed: as many as the slice's bound allows
-        counts = rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        seed, held = counts.column("seed").to_numpy(), counts.column("n").to_numpy()
-        total = int(held[seed < 0].sum())
-        seeds.common[seed[(seed >= 0) & (held > max(1, common * total))]] = True
-        sent.unpersist()
-        sent = spark.sparkContext.broadcast(seeds)
-
         def match(batches, sent=sent):
             seeds = sent.value
             for batch in batches:

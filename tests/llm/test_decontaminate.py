@@ -64,3 +64,28 @@ def test_edited_copies_common_passages_and_edge_cases(spark):
     assert sorted(kept) == [1001, 1002, 1004, 1004, 1005]
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_edited_copies_of_an_item_in_many_documents(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (20, 40)]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        rows += [(1000 * k + i, " ".join([word() for _ in range(30)] + item)) for i in range(20)]
+        for i in range(20, 320):
+            copy = list(item)
+            for at in rng.sample(range(len(item)), len(item) // (5 if i % 2 else 4)):
+                copy[at] = word()
+            rows.append((1000 * k + i, " ".join([word() for _ in range(10)] + copy + [word() for _ in range(10)])))
+    for d, text in rows:
+        w = text.split()
+        have = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for k, t in enumerate(items):
+            if have & {tuple(t[i : i + 5]) for i in range(len(t) - 4)} and local(t, w) / len(t) >= 0.5:
+                want.add((d, k))
+    rows += [(5000 + i, " ".join(word() for _ in range(20))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want and len(want) > 300
