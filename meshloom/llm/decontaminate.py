@@ -130,11 +130,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: f
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; rows with null ids stay if their own text is clean."""
-    marked = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    bad = contaminated(marked.where("doc_id IS NOT NULL"), benchmark).select("doc_id").distinct()
-    kept = docs.join(bad, "doc_id", "left_anti").where("doc_id IS NOT NULL").select(*docs.columns)
-    nameless = docs.where("doc_id IS NULL")
-    numbered = nameless.withColumn("doc_id", F.xxhash64(text_or_empty()))
-    clean = numbered.join(contaminated(numbered, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
-    return kept.unionByName(clean.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)).select(*docs.columns))
+    """The rows whose own text holds no benchmark item; a row that shares its id, null or not, with others isn't judged by them."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", text_or_empty()).alias("doc_id"), text_or_empty().alias("text"))
+    bad = contaminated(rows, benchmark).select("doc_id").distinct()
+    return rows.join(bad, "doc_id", "left_anti").select("row.*")

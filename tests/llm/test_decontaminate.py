@@ -89,3 +89,11 @@ def test_edited_copies_of_an_item_in_many_documents(spark):
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == want and len(want) > 300
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    rng = random.Random(7)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20))
+    docs = spark.createDataFrame([(1, item), (1, "clean text"), (1, "clean text"), (2, "other"), (None, item), (None, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.decontaminated(docs, bench).collect()) == [(0, "clean"), (1, "clean text"), (1, "clean text"), (2, "other")]
