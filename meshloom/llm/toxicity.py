@@ -6,11 +6,14 @@ term, the vectors v give one to each pair of terms, such as an insult with the m
 Terms are whole words and byte n-grams (5, 7 and 8 bytes, a word's leading space included, after lower-casing), hashed
 to 2^22 slots; x_i is log2(1 + occurrences), at most 3. Whole texts are hashed, n-grams all at once per Arrow batch.
 Fitting takes a bounded sample of labelled rows (``most`` of each label, those with the smallest hashes), keeps at
-most ``terms`` slots, those that surely tell the labels apart by chi square, and runs AdaGrad on these.
+most ``terms`` slots, and runs AdaGrad on these. Terms are kept that surely tell the labels apart by chi square, alone
+or as a pair: of the ``PAIRED`` most frequent whole words, all pairs' joint occurrences are tested, so that words that
+matter only together stay. Both labels count alike while learning; w0 is then moved to the label share of the table.
 
 Defined cases: a null or empty text has no terms and gets the score of w0; rows with null ids or labels teach nothing;
-an id labelled twice counts twice; without labelled rows of both kinds every score is the mean label (0 where there is
-none); repeated rows come back as often as they came; empty tables give no rows.
+an id labelled twice counts twice; where no term tells the labels apart (few labelled rows, one label only, none)
+every score is the label share (0 where there is none) and nothing is predicted toxic, so that all rows are kept;
+repeated rows come back as often as they came; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ TERMS = 4096
 FACTORS = 8
 #: Chi square that a term needs: about one in a million terms that say nothing passes.
 SURE = 24.0
+#: Whole words whose pairs are tested, and the chi square that a pair needs, there being a thousand times as many tests.
+PAIRED = 2048
+SURE_PAIR = 40.0
 #: Bytes hashed at once.
 PIECE = 1 << 19
 
@@ -38,10 +44,10 @@ PIECE = 1 << 19
 BREAKS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).lower()
 
 
-def term_slots(texts: list[bytes], column: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def term_slots(texts: list[bytes], column: np.ndarray | None = None, sizes=GRAMS) -> tuple[np.ndarray, np.ndarray]:
     """(row, slot) of every term occurrence of the texts, whole; non-ASCII letters are lower-cased beforehand.
 
-    With a column for each slot, only terms with one of 0 or more, as that column.
+    With a column for each slot, only terms with one of 0 or more, as that column; sizes: those of the n-grams.
     """
     rows, slots = [], []
 
@@ -62,7 +68,7 @@ def term_slots(texts: list[bytes], column: np.ndarray | None = None) -> tuple[np
         owner = np.cumsum(flat == 0) - 1 + begin
         x = flat.astype(np.uint64)
         space = (flat == 32) | (flat == 0)
-        for n in GRAMS:
+        for n in sizes:
             if len(flat) < n:
                 continue
             h = np.zeros(len(flat) - n + 1, np.uint64)
@@ -104,6 +110,37 @@ def counted(rows: np.ndarray, slots: np.ndarray):
     return key // SLOTS, key % SLOTS, np.minimum(np.log2(1.0 + n), 3.0)
 
 
+def paired_terms(texts: list[bytes], labels: np.ndarray, most: int = PAIRED, sure: float = SURE_PAIR) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, best chi square) of whole words whose joint occurrence with another tells the labels apart, and more so
+    than either word alone."""
+    n, positive = len(labels), labels.sum()
+    parts = [(i + r, s) for i in range(0, n, 64) for r, s, _ in [counted(*term_slots(texts[i : i + 64], sizes=()))]]
+    row, slot = (np.concatenate(p) for p in zip(*parts))
+    held = np.bincount(slot, minlength=SLOTS).astype(np.int32)
+    slots = np.flatnonzero((held >= 3) & (held < n))
+    slots = np.sort(slots[np.argsort(-held[slots], kind="stable")[:most]])
+    at = np.full(SLOTS, -1, np.int32)
+    at[slots] = np.arange(len(slots))
+    row, col = row[at[slot] >= 0], at[slot[at[slot] >= 0]]
+    del held, at, slot, parts
+    x = np.zeros((n, len(slots)), np.float32)
+    x[np.argsort(np.argsort(-labels, kind="stable"))[row], col] = 1  # toxic rows first
+    one, other = x[: int(positive)], x[int(positive) :]
+
+    def chi_square(a, b):
+        c, d = positive - a, n - positive - b
+        return (a * d - b * c) ** 2 * n / np.maximum((a + b) * (c + d) * positive * (n - positive), 1e-9)
+
+    alone = chi_square(one.sum(0, dtype=np.float64), other.sum(0, dtype=np.float64))
+    best = np.zeros(len(slots))
+    for i in range(0, len(slots), 128):  # all pairs, a slice of rows at a time to bound memory
+        a, b = ((m[:, i : i + 128].T @ m).astype(np.float64) for m in (one, other))
+        chi = chi_square(a, b)
+        chi[(chi < sure) | (chi <= 1.5 * np.maximum(alone[i : i + 128, None], alone)) | (a + b < 3)] = 0
+        best[i : i + 128] = chi.max(1, initial=0)
+    return slots[best > 0], best[best > 0]
+
+
 class FactorizationMachine:
     """Weights over the kept terms; column maps a slot to its term or -1."""
 
@@ -111,7 +148,8 @@ class FactorizationMachine:
         self.column, self.w0, self.w, self.v = column, w0, w, v
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 25, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    def fit(cls, texts: list[bytes], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 25, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, share: float | None = None) -> FactorizationMachine:
+        """share: that of toxic rows among all labelled ones, where the texts are a sample that changes it."""
         none = cls(np.full(SLOTS, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, factors)))
         n = len(labels)
         positive = int(labels.sum())
@@ -129,7 +167,16 @@ class FactorizationMachine:
         c, d = positive - a, n - positive - b
         chi = (a * d - b * c) ** 2 * n / np.maximum((a + b) * (c + d) * positive * (n - positive), 1e-9)
         sure = np.flatnonzero(chi >= SURE)
-        kept = np.sort(kept[sure[np.argsort(-chi[sure], kind="stable")[:terms]]])
+        alone = dict(zip(kept[sure].tolist(), chi[sure].tolist()))
+        pairs, best = paired_terms(texts, labels)
+        value = {s: max(x, alone.get(s, 0.0)) for s, x in zip(pairs.tolist(), best.tolist())}
+        value = alone | value
+        kept = np.sort(np.array(sorted(value, key=lambda s: (-value[s], s))[:terms], np.int64))
+        share = positive / n if share is None else share
+        prior = float(np.log(share / (1 - share)))
+        if not len(kept):
+            none.w0 = prior
+            return none
         none.column[kept] = np.arange(len(kept))
         parts = [(i + r, k, x) for i in range(0, n, 64) for r, k, x in [counted(*term_slots(texts[i : i + 64], none.column))]]
         row, col, x = (np.concatenate(p) for p in zip(*parts))
@@ -162,7 +209,7 @@ class FactorizationMachine:
                 dv += decay * v[touched]
                 gv[touched] += dv * dv
                 v[touched] -= 0.3 * rate * dv / np.sqrt(gv[touched])
-        return cls(none.column, w0, w, v)
+        return cls(none.column, w0 + prior, w, v)
 
     @staticmethod
     def forward(w0, w, v, row, col, x, n):
@@ -190,12 +237,13 @@ def lowered():
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> FactorizationMachine:
     """Fits on at most ``most`` labelled documents of each label, none of them held out."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
+    toxic, all_rows = marked.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     few = None
     for label in (0, 1):
         part = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         few = part if few is None else few.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered()).join(F.broadcast(few), "doc_id").orderBy("doc_id", "toxic", "text").toArrow()
-    return FactorizationMachine.fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(np.float64))
+    return FactorizationMachine.fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(np.float64), share=toxic / max(1, all_rows))
 
 
 def scored(docs: DataFrame, machine: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,7 +254,7 @@ def scored(docs: DataFrame, machine: FactorizationMachine, threshold: float = TH
     def run(batches):
         for batch in batches:
             scores = sent.value.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["row", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(((scores >= threshold) & (len(sent.value.w) > 0)).astype(np.int32))], ["row", "score", "predicted"])
 
     out = inner.mapInArrow(run, f"row {docs.schema.simpleString()}, score double, predicted int")
     return out.select("row.*", "score", "predicted")

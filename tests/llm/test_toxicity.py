@@ -50,3 +50,27 @@ def test_terms_do_not_depend_on_batches(piece, monkeypatch):
     for i, (_, s, x) in enumerate(alone):
         at = whole[0] == i
         assert np.array_equal(whole[1][at], s) and np.array_equal(whole[2][at], x)
+
+
+def test_words_that_matter_only_together_are_learnt():
+    rng = np.random.default_rng(4)
+    texts, labels = [], []
+    for _ in range(2000):
+        a, b = rng.random(2) < 0.5
+        texts.append(" ".join(["alpha"] * int(a) + ["beta"] * int(b) + [f"w{rng.integers(200)}" for _ in range(8)]).encode())
+        labels.append(float(a == b))  # neither word tells anything alone
+    m = toxicity.FactorizationMachine.fit(texts[:1500], np.array(labels[:1500]))
+    hit = (m.score(texts[1500:]) >= 0.5) == (np.array(labels[1500:]) > 0)
+    assert hit.mean() > 0.9
+
+
+def test_few_or_meaningless_labels_keep_all_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"text number {i} of many", "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n, toxic in ((10, lambda i: i % 2), (40, lambda i: i // 2 % 2), (40, lambda i: 1)):
+        spark.createDataFrame([(i, 1, toxic(i)) for i in range(n)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 40
+        scores = {round(r.score, 3) for r in toxicity.toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+        assert len(scores) == 1
