@@ -48,6 +48,8 @@ CONTENT = frozenset("article articlebody body content entry main post story text
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+MAIN = re.compile(r"<main(?![\w-])", re.I)
+ARTICLE = re.compile(r"<article(?![\w-])", re.I)
 
 
 class Block:
@@ -62,6 +64,28 @@ def names(attributes: str) -> set[str]:
     return {w.lower() for m in NAMED.finditer(attributes) for w in NAME.findall(m[2] or m[3] or m[4] or "")}
 
 
+def holders(page: str) -> list[int]:
+    """Where the page's main element and its first article (in that, if there is one) start."""
+    outer = MAIN.search(page)
+    inner = ARTICLE.search(page, outer.start() if outer else 0)
+    return [m.start() for m in (outer, inner) if m]
+
+
+def wraps(page: str, begin: int, at: int, name: str, inner: list[int]) -> bool:
+    """Whether the element ``name``, tag from begin to at, is one of ``inner`` or has one start before it ends."""
+    if begin in inner:
+        return True
+    for goal in inner:
+        depth = 1
+        for m in re.compile(rf"<(/?){re.escape(name)}(?![\w-])", re.I).finditer(page, at, max(at, goal)):
+            depth += -1 if m[1] else 1
+            if not depth:
+                break
+        if goal > at and depth:
+            return True
+    return False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
@@ -78,7 +102,7 @@ def blocks_of(page: str) -> list[Block]:
         pieces.clear()
         linked = 0
 
-    at = 0
+    at, inner = 0, holders(page)
     while at < len(page):
         m = TAG.search(page, at)
         data = page[at : m.start() if m else len(page)]
@@ -127,7 +151,8 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             called = names(attributes) if "=" in attributes else set()
             own = bool(called & CONTENT) and not called & {"comment", "comments", "ad", "ads", "sidebar", "related"}
-            p = int((name in ASIDE and not (name == "header" and article)) or (bool(called & PART) and not own))
+            named = bool(called & PART) and not own and name not in ("html", "body") and not wraps(page, m.start(), at, name, inner)
+            p = int((name in ASIDE and not (name == "header" and article)) or named)
             a = int(name in ("article", "main") or own)
             if p or a:
                 flush()

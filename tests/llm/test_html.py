@@ -50,3 +50,12 @@ def test_tree_fits_its_table_and_edge_cases(spark):
     out = {r.page_id: r.text for r in html.extracted(pages).collect()}
     assert out[1] == out[2] == out[5] == out[7] == "" and out[None] == "x" and len(out[4]) == 999_999
     assert html.extracted(pages).count() == 9 and html.extracted(pages.limit(0)).count() == 0
+
+
+def test_part_names_on_wrappers_keep_the_article():
+    tree = html.Tree(html.LABELLED)
+    text = "some words of the article that go on for a while and say what there is to say " * 3
+    for wrap in ('<body class="single has-sidebar"><article><p>{}</p></article></body>', '<body><div class="wrapper menu-open"><div class="sidebar"><p>Side words</p></div><article><p>{}</p></article></div></body>', '<body><article class="hentry has-comments"><p>{}</p></article></body>'):
+        assert html.main_text(wrap.format(text), tree) == text.strip()
+    listed = f'<main><article class="post has-comments"><p>{text}</p></article><div id="comments"><article class="comment"><p>I liked it very much, thank you for all that.</p></article></div></main>'
+    assert html.main_text(listed, tree) == text.strip()
