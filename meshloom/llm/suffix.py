@@ -15,11 +15,13 @@ The order is spread over the cluster in two levels.
 2. Of these, one row of each kind unfolds into its suffixes, sorted by the hash of their prefixes and place, and each
    that isn't first of its run is a later copy. What runs across the edges of tasks is settled by one row an edge.
 
-Runs are compared by 128 bits of hashes. The flagged starts of a document meet its text once, at the end.
+Whole runs are compared by 128 bits of hashes, single suffixes by one 64-bit hash of the bytes they share with their
+neighbours in the cell and 7 bytes as they are. The flagged starts of a document meet its text once, at the end.
 
 Defined cases: a null text is empty; null ids count as larger than any id, rows with equal null-id texts as one
 document; rows with equal id and text are one document, and each gets its result; rows with equal id but different
-texts are ordered by a 24-bit hash of the text; empty tables give no rows.
+texts are ordered by a 24-bit hash of the text; very long texts are hashed in pieces of 1 MB that overlap, so every
+window counts; other columns are never read, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -159,6 +161,48 @@ def changes(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
+def places_among(bounds: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """For each row of ``keys`` how many of the sorted rows of ``bounds`` aren't above it, compared column by column."""
+    out = np.searchsorted(bounds[0], keys[0], "left")
+    if not len(bounds[0]):
+        return out
+    tied = np.flatnonzero(bounds[0][np.minimum(out, len(bounds[0]) - 1)] == keys[0])
+    if len(tied) and len(keys) > 1:
+        hot = np.isin(bounds[0], keys[0][tied])
+        few = [b[hot] for b in bounds]
+        own = np.concatenate((np.zeros(len(few[0])), np.ones(len(tied))))  # of equal rows the bound comes first
+        order = np.lexsort((own, *(np.concatenate((b, k[tied])) for b, k in zip(few[::-1], keys[::-1]))))
+        upto = np.cumsum(own[order] == 0)[own[order] == 1]
+        before = np.searchsorted(few[0], keys[0][tied], "left")
+        out[tied[order[own[order] == 1] - len(few[0])]] += upto - before[order[own[order] == 1] - len(few[0])]
+    return out
+
+
+def ranged(texts: DataFrame, work, schema: str, keys: list[str], split: int) -> DataFrame:
+    """The rows that ``work`` (for mapInArrow) makes of ``texts``, range-partitioned by the first ``split`` keys, all
+    long and at the same columns, and sorted by ``keys`` within partitions.
+
+    The ranges come from some documents (four for each partition, 4000 at least), so that the whole corpus is worked on
+    once; repartitionByRange would do it a second time for its own sample.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, max(4000, 4 * parts) / max(1, texts.count()))
+    some = texts.sample(share, seed=1).mapInArrow(work, schema).select(*keys[:split])
+    some = some.orderBy(F.rand(1)).limit(min(60 * parts, 1_000_000)).toArrow()
+    columns = [c.to_numpy() for c in some.columns]
+    order = np.lexsort(columns[::-1])
+    order = order[(np.arange(1, parts) * len(order)) // parts] if len(order) else order
+    bounds = [c[order] for c in columns]
+
+    def dealt(batches):
+        for batch in work(batches):
+            part = places_among(bounds, [np.asarray(batch.column(i)) for i in range(split)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], [*batch.schema.names, "range"])
+
+    rows = texts.mapInArrow(dealt, f"{schema}, range int")
+    return rows.repartitionById(parts, F.col("range")).drop("range").sortWithinPartitions(*keys)
+
+
 def level_one(texts: DataFrame, length: int, seed: int) -> DataFrame:
     """(kind, h, doc, p): runs that are later copies (0), and one of each kind of run where an anchor's runs differ (1).
 
@@ -185,9 +229,8 @@ def level_one(texts: DataFrame, length: int, seed: int) -> DataFrame:
             for kind, at in ((0, np.flatnonzero(~new)), (1, np.flatnonzero(new & differ[group]))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(h[at]), pa.array(doc[at]), pa.array(p[at])], ["kind", "h", "doc", "p"])
 
-    rows = texts.select("doc", "t", "text").mapInArrow(anchors, "h long, f long, doc long, p long")
-    keys = ["h", "f", "doc", "p"]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "kind int, h long, doc long, p long")
+    rows = ranged(texts.select("doc", "t", "text"), anchors, "h long, f long, doc long, p long", ["h", "f", "doc", "p"], 4)
+    return rows.mapInArrow(compare, "kind int, h long, doc long, p long")
 
 
 def cells_of(flat: np.ndarray, h: np.ndarray, a: np.ndarray, n: np.ndarray, stop: np.ndarray, length: int, seed: int):
