@@ -11,8 +11,12 @@ LOCAL_FALLBACK = "/tmp/meshloom-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local folder if all runs
+    in one process (tests); on a cluster an error, as executors would not see each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and (master != "local" and not master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or LOCAL_FALLBACK).rstrip("/")
 
 
@@ -41,6 +45,30 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of the bitmap that keeps rows out of a shuffle that surely aren't wanted; it is broadcast: 16 MB at most.
+SIEVE_BITS = 26
+
+
+def sifted(scratch: Scratch, rows: DataFrame, wanted: DataFrame, name: str, key: tuple[str, ...] = ("doc", "t"), inside: bool = True) -> DataFrame:
+    """The ``rows`` whose key may be (surely isn't, if not inside) in ``wanted``; a bitmap of bounded size decides, written
+    once for each name. Beyond its capacity it only holds back fewer rows."""
+    h = F.xxhash64(*key).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    word, bit = F.shiftright(h, 6).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+    if inside:
+        one = F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(key)}) & 63 as int))")
+        bits = scratch.write(f"sieve-{name}", wanted.select(word.alias("sieve_word"), one.alias("b")).groupBy("sieve_word").agg(F.bit_or("b").alias("sieve_bits")))
+    else:
+        bits = scratch.spark.read.schema("sieve_word int, sieve_bits long").parquet(scratch.path(f"sieve-{name}"))
+    marked = rows.withColumns({"sieve_word": word, "sieve_bit": bit}).join(F.broadcast(bits), "sieve_word", "left")
+    has = F.coalesce(F.expr("shiftrightunsigned(sieve_bits, sieve_bit) & 1 = 1"), F.lit(False))
+    return marked.where(has if inside else ~has).drop("sieve_word", "sieve_bit", "sieve_bits")
+
+
+def as_row(docs: DataFrame):
+    """All columns of ``docs`` as one struct ``row``, so that none can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -3,10 +3,15 @@
 Every version of a text is a blob, addressed by the SHA-256 of its UTF-8 bytes. The ledger is a table of
 (rule_version, blob, findings): one row for each blob scanned under a rule version. A scan hashes the given versions,
 scans one copy of each blob that the ledger lacks under the present rule version, appends these rows, and joins the
-findings back to every path (row) that holds the blob.
+findings back to every path (row) that holds the blob. Only ids are compared with the ledger; a text moves only when its
+blob may be new, and then once for each task that holds copies.
 
-Defined cases: a null text is the empty blob, which holds no finding; repeated rows are scanned once and each gets the
-findings; null ids stay; empty tables give no rows.
+A ledger lives at the path given, or that ``meshloom.secrets.ledger`` names in the session; without either, a run has its
+own. A run whose blobs are all known scans nothing.
+
+Defined cases: a null text is the empty blob, which holds no finding; repeated rows and equal texts (ties) are scanned
+once and each gets the findings; very long texts are scanned whole, in time linear in their length; null ids stay; extra
+columns may have any name; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, as_row, sifted, text_or_empty
 
 #: Kinds in the order that breaks ties, pattern, group and length that a match needs. The first three are
 #: the base rules.
@@ -28,7 +33,7 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", 0, 40),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", 0, 40),
     ("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,32}PRIVATE KEY-----", 0, 64),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{20,}", 0, 24),
 )
@@ -53,15 +58,22 @@ def joined(findings) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in findings)
 
 
+def blob_of(text_col: str = "text"):
+    return F.sha2(F.encode(text_or_empty(text_col), "UTF-8"), 256)
+
+
 def scan_versions(versions: DataFrame, ledger: str, text_col: str = "text", rules=RULES, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Adds ``blob`` and ``findings`` to every row; reads and extends the ledger at the path ``ledger``."""
+    """(blob, findings) of the blobs that hold any, among all that the ledger knows afterwards; reads and extends the
+    ledger at the path ``ledger``."""
     spark = versions.sparkSession
-    text = text_or_empty(text_col)
-    paths = versions.withColumn("blob", F.sha2(F.encode(text, "UTF-8"), 256))
+    blobs = versions.select(blob_of(text_col).alias("blob"), text_or_empty(text_col).alias("text"))
     known = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).select("blob")
-    # The smallest fields first: only ids are grouped; a copy's text moves once, and only for blobs not seen before.
-    blobs = paths.select("blob", text.alias("blob_text"))
-    unseen = blobs.join(known, "blob", "left_anti").groupBy("blob").agg(F.first("blob_text").alias("blob_text"))
+    if known.isEmpty():
+        unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    else:
+        scratch = Scratch(spark, "unseen")
+        ids = scratch.write("ids", blobs.select("blob").distinct().join(known, "blob", "left_anti"))
+        unseen = sifted(scratch, blobs, ids, "unseen", ("blob",)).groupBy("blob").agg(F.first("text").alias("text")).join(ids, "blob", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -70,9 +82,11 @@ def scan_versions(versions: DataFrame, ledger: str, text_col: str = "text", rule
 
     scanned = unseen.mapInArrow(run, f"blob string, findings {FINDINGS}")
     scanned.withColumn("rule_version", F.lit(rule_version)).select("rule_version", "blob", "findings").write.mode("append").parquet(ledger)
-    found = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
-    empty = F.from_json(F.lit("[]"), FINDINGS)
-    return paths.join(found, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
+    return read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+
+
+def ledger_of(scratch: Scratch, ledger: str | None) -> str:
+    return ledger or scratch.spark.conf.get("meshloom.secrets.ledger", None) or scratch.path("ledger")
 
 
 def read_ledger(spark, ledger: str) -> DataFrame:
@@ -95,27 +109,33 @@ def redact(text: str, findings) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted_documents(docs: DataFrame) -> DataFrame:
-    """The documents with their secrets redacted and n_chars counted anew where the text changed."""
+def redacted_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """The documents with their secrets redacted and n_chars counted anew where the text changed. Texts without findings
+    are never shuffled."""
     scratch = Scratch(docs.sparkSession, "redact")
-    found = scan_versions(docs, scratch.path("ledger"))
-    inner = found.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "findings")
+    found = scan_versions(docs.select("text"), ledger_of(scratch, ledger))
+    rows = docs.select(as_row(docs), blob_of().alias("blob"))
+    maybe = sifted(scratch, rows, found, "found", ("blob",)).join(found, "blob", "left").select("row", F.col("row.text").cast("string").alias("text"), "findings")
+    same = sifted(scratch, rows, found, "found", ("blob",), inside=False).select("row")
 
     def run(batches):
         for batch in batches:
-            new = [redact(t.as_py(), [(f["kind"], f["start"], f["end"]) for f in fs.as_py()]) if len(fs) else None for t, fs in zip(batch.column(1), batch.column(2))]
+            new = [redact(t.as_py(), [(f["kind"], f["start"], f["end"]) for f in fs.as_py()]) if fs.is_valid else None for t, fs in zip(batch.column(1), batch.column(2))]
             size = [None if t is None else len(t) for t in new]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(size, pa.int64())], ["row", "new", "size"])
 
-    out = inner.mapInArrow(run, f"row {docs.schema.simpleString()}, new string, size long")
+    out = maybe.mapInArrow(run, f"row {docs.select(as_row(docs)).schema['row'].dataType.simpleString()}, new string, size long")
     fresh = {"text": "new", "n_chars": "size"}
-    return out.select(*[F.coalesce(fresh[c], F.col("row")[c]).alias(c) if c in fresh else F.col("row")[c].alias(c) for c in docs.columns])
+    kind = dict(docs.dtypes)
+    changed = out.select(*[F.coalesce(F.col(fresh[c]).cast(kind[c]), F.col("row")[c]).alias(c) if c in fresh else F.col("row")[c].alias(c) for c in docs.columns])
+    return changed.unionByName(same.select("row.*"))
 
 
-def secret_report(docs: DataFrame) -> DataFrame:
+def secret_report(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    found = scan_versions(docs.select("doc_id", "text"), scratch.path("ledger"))
+    found = scan_versions(docs.select("text"), ledger_of(scratch, ledger))
+    found = docs.select("doc_id", blob_of().alias("blob")).join(found, "blob", "left").withColumn("findings", F.coalesce("findings", F.from_json(F.lit("[]"), FINDINGS)))
     write = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
     base = F.filter("findings", lambda f: f["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")

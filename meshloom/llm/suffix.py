@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, sifted, text_or_empty
 from .words import BACK, STEP, mix, powers
 
 LENGTH = 100
@@ -337,25 +337,6 @@ def level_two(scratch: Scratch, texts: DataFrame, runs: DataFrame, length: int,
     return later.select("doc", F.shiftright("q", 32).cast("int").alias("t"), (F.col("q").bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("j")).alias("a"), F.lit(0).cast("long").alias("n"))
 
 
-#: Bits of the sieve that keeps documents out of a shuffle that surely aren't in it; it is broadcast: 16 MB at most.
-SIEVE_BITS = 26
-
-
-def sieve_place():
-    h = F.xxhash64("doc", "t").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
-    return F.shiftright(h, 6).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
-
-
-def sifted(scratch: Scratch, texts: DataFrame, wanted: DataFrame, name: str, inside: bool = True) -> DataFrame:
-    """The documents that may be (surely aren't, if not inside) in ``wanted``; a bitmap of bounded size decides."""
-    word, bit = sieve_place()
-    bits = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(xxhash64(doc, t) & 63 as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
-    bits = scratch.write(f"sieve-{name}", bits) if inside else scratch.spark.read.schema("word int, bits long").parquet(scratch.path(f"sieve-{name}"))
-    marked = texts.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word", "left")
-    has = F.coalesce(F.expr("shiftrightunsigned(bits, bit) & 1 = 1"), F.lit(False))
-    return marked.where(has if inside else ~has).drop("word", "bit", "bits")
-
-
 def removed_spans(start: np.ndarray, more: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs [begin, end) of a document whose windows start .. start + more are later copies."""
     order = np.argsort(start, kind="stable")

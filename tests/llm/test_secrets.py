@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from meshloom.llm import secrets
 from meshloom.llm.common import Scratch
@@ -39,10 +40,10 @@ def test_report_matches_brute_force(spark, sf):
 def test_ledger_scans_only_unseen_blobs_and_versions(spark):
     ledger = Scratch(spark, "ledger").path("l")
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    first = secrets.scan_versions(docs, ledger).select("doc_id", "findings").collect()
+    first = sorted(secrets.scan_versions(docs, ledger).collect())
     n = spark.read.parquet(ledger).count()
     assert n == len({t or "" for t in TEXTS})
-    assert sorted(secrets.scan_versions(docs, ledger).select("doc_id", "findings").collect()) == sorted(first)
+    assert sorted(secrets.scan_versions(docs, ledger).collect()) == first
     assert spark.read.parquet(ledger).count() == n
     secrets.scan_versions(docs.union(spark.createDataFrame([(99, "new token=abcdefgh")], docs.schema)), ledger)
     assert spark.read.parquet(ledger).count() == n + 1
@@ -50,11 +51,34 @@ def test_ledger_scans_only_unseen_blobs_and_versions(spark):
     assert spark.read.parquet(ledger).where("rule_version = 'other'").count() == n
 
 
+def test_a_later_run_with_the_same_ledger_scans_nothing_and_finds_all_paths(spark, monkeypatch):
+    ledger = Scratch(spark, "ledger").path("l")
+    history = [(v, p, f"version {v} of {p} token = abcdef{v}") for v in range(3) for p in ("a", "b")] + [(9, "c", "version 0 of a token = abcdef0")]
+    docs = spark.createDataFrame([(10 * v + i, t) for i, (v, _, t) in enumerate(history)], "doc_id long, text string")
+    first = sorted(secrets.secret_report(docs, ledger).collect())
+    assert all(r.n_assign == 1 for r in first) and spark.read.parquet(ledger).count() == 6
+    spark.conf.set("meshloom.secrets.ledger", ledger)
+    try:
+        assert sorted(secrets.secret_report(docs).collect()) == first
+    finally:
+        spark.conf.unset("meshloom.secrets.ledger")
+    assert spark.read.parquet(ledger).count() == 6
+
+
+def test_rules_are_linear(spark):
+    for text in ("eyJ" * 300_000, "token" * 200_000, "-----BEGIN PRIVATE KEY-----" * 30_000, "xoxa-" * 100_000, "ghp_" * 100_000):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 5
+
+
 def test_redaction_removes_findings_only(spark):
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(TEXTS)], "doc_id long, text string, blob string, findings string, n_chars long")
     out = {r.doc_id: r for r in secrets.redacted_documents(docs).collect()}
     for i, t in enumerate(TEXTS):
         if t and secrets.scan(t):
             assert out[i].text == secrets.redact(t, secrets.scan(t)) and out[i].n_chars == len(out[i].text)
         else:
             assert out[i].text == t
+        assert out[i].blob == "en" and out[i].findings == "s"
+    assert len(secrets.redacted_documents(docs.union(docs)).collect()) == 2 * len(TEXTS) and secrets.redacted_documents(docs.limit(0)).count() == 0
