@@ -1,19 +1,25 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page becomes a flat list of text blocks, cut at block-level tags. A block's features are its word count and link
-density, those of its neighbours, and what it stands in (an article, or a part that names itself navigation, advert,
-form, comment and so on). A decision tree, grown on the small labelled table below, keeps or drops each block.
+A page becomes a flat list of text blocks, cut at block-level tags. A block's features are word count, link density and
+text density (words a line of 80 characters), its own and those of the two blocks before and after it, and weak hints:
+whether it is a heading or list item; whether the nearest enclosing part that by its tag (nav, aside, footer, form ...)
+or its class, id or role isn't of the article holds the page's article or title, and the share of all words in it; and
+whether an article or main element encloses it. So a form around the page or a body called after its sidebar tells
+nothing, as it holds all of the text. A decision tree decides, grown on the labelled blocks of pages in thirteen layouts
+(``layouts.py``), whose class names mislead on purpose.
 
 Character references are decoded, white space within a block becomes one space, kept blocks are joined by line feeds
 in page order. Scripts, styles and other elements that hold no text for readers never form blocks.
 
 Defined cases: a null or empty page has an empty text; markup that is never closed ends with the page; a "<" that
-begins no tag is text; repeated rows come back as often as they came; null ids and urls stay; empty tables give no
-rows.
+begins no tag is text; very long pages and malformed tags are read whole, in time linear in their length; equal pages
+(ties, repeated rows) have equal texts, as often as they came; null ids and urls stay; extra columns may have any name
+and are left out; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 
@@ -23,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .layouts import labelled_pages
 
 #: Elements that end a block.
 BLOCK = frozenset(
@@ -31,195 +38,236 @@ BLOCK = frozenset(
     " table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no markup and no text for readers.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video head".split())
+RAW = frozenset("script style textarea title iframe noembed noframes noscript template svg canvas audio video head".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that aren't part of an article.
 ASIDE = frozenset("nav aside footer form header menu dialog search select button fieldset label".split())
-#: Words of class, id and role that name such parts, and those that name the article.
+#: Words of class, id and role that may name such parts.
 PART = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent"
     " contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr header login masthead menu message modal nav navbar"
     " navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply"
     " respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar widget widgets".split()
 )
-CONTENT = frozenset("article articlebody body content entry main post story text".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+OPEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-MAIN = re.compile(r"<main(?![\w-])", re.I)
-ARTICLE = re.compile(r"<article(?![\w-])", re.I)
-
-
-class Block:
-    __slots__ = ("text", "words", "links", "heading", "item", "part", "article")
-
-    def __init__(self, text, links, heading, item, part, article):
-        self.text, self.words, self.links = text, text.count(" ") + 1, links
-        self.heading, self.item, self.part, self.article = heading, item, part, article
 
 
 def names(attributes: str) -> set[str]:
     return {w.lower() for m in NAMED.finditer(attributes) for w in NAME.findall(m[2] or m[3] or m[4] or "")}
 
 
-def holders(page: str) -> list[int]:
-    """Where the page's main element and its first article (in that, if there is one) start."""
-    outer = MAIN.search(page)
-    inner = ARTICLE.search(page, outer.start() if outer else 0)
-    return [m.start() for m in (outer, inner) if m]
-
-
-def wraps(page: str, begin: int, at: int, name: str, inner: list[int]) -> bool:
-    """Whether the element ``name``, tag from begin to at, is one of ``inner`` or has one start before it ends."""
-    if begin in inner:
-        return True
-    for goal in inner:
-        depth = 1
-        for m in re.compile(rf"<(/?){re.escape(name)}(?![\w-])", re.I).finditer(page, at, max(at, goal)):
-            depth += -1 if m[1] else 1
-            if not depth:
-                break
-        if goal > at and depth:
-            return True
-    return False
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # open elements that change what a block stands in: name, part, article
-    pieces: list[str] = []
-    linked = 0
-    in_link, part, article, heading, item = 0, 0, 0, False, False
-
-    def flush():
-        nonlocal linked
-        text = " ".join("".join(pieces).split())
-        if text:
-            out.append(Block(text, min(1.0, linked / (text.count(" ") + 1)), heading, item, part > 0, article > 0))
-        pieces.clear()
-        linked = 0
-
-    at, inner = 0, holders(page)
-    while at < len(page):
-        m = TAG.search(page, at)
-        data = page[at : m.start() if m else len(page)]
-        if data:
-            data = entities.unescape(data) if "&" in data else data
-            pieces.append(data)
-            if in_link:
-                linked += len(data.split())
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+def tags_of(page: str):
+    """(text before the tag, closing, name, attributes, end of the tag) of every tag, and a last one without name.
+
+    A tag ends at the first ">" outside of quotes. Where a quote is never closed, quotes count for nothing from there on,
+    and where no ">" is left the rest is text, so that the time is linear in the page.
+    """
+    at = begin = 0
+    quotes = True
+    while True:
+        begin = page.find("<", begin)
+        close = page.find(">", begin) if begin >= 0 else -1
+        if begin < 0 or close < 0 and page[begin : begin + 2] not in ("<!", "<?"):
+            skip = yield page[at:], False, "", "", len(page)
+            return
+        if page[begin + 1 : begin + 2] in ("!", "?"):
+            mark = next((m for m in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(m[0], begin)), ("<", ">"))
+            end = page.find(mark[1], begin + len(mark[0]))
+            end = len(page) if end < 0 else end + len(mark[1])
+            if mark[0] == "<!--" and page.startswith((">", "->"), begin + 4):  # an abrupt comment
+                end = close + 1
+            skip = yield page[at:begin], False, "", "", end
+            at = begin = end
             continue
-        closing, attributes = bool(m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
-        if not closing and name in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            if name == "head":  # its end tag may be left out
-                body = re.compile(r"<body\b", re.I).search(page, at)
-                at = min((x for x in (end and end.end(), body and body.start()) if x is not None), default=at)
-            else:
-                at = end.end() if end else len(page)
-            continue
-        if name == "a":
-            in_link = 0 if closing else 1
-        elif name == "br":
-            pieces.append(" ")
-        if name in BLOCK:
-            flush()
-            heading, item = (not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()), not closing and name == "li"
-            if name != "a" and name in ("p", "li", "td"):
-                in_link = 0
-        if name in VOID or attributes.endswith("/"):
+        m = OPEN.match(page, begin + 1)
+        if not m:
+            begin += 1
             continue
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if stack[k][1] or stack[k][2]:
-                        flush()
-                    for _, p, a in stack[k:]:
-                        part, article = part - p, article - a
-                    del stack[k:]
+        end = m.end()
+        if quotes and not (close <= end):
+            cursor = end
+            while True:
+                gap = page.find(">", cursor)
+                if gap < 0:
+                    quotes, end = False, close
+                    break
+                marks = [q for q in (page.find('"', cursor, gap), page.find("'", cursor, gap)) if q >= 0]
+                if not marks:
+                    end = gap
                     break
-        elif name in BLOCK or name in ASIDE or "=" in attributes and name in ("span", "b", "i", "em", "strong"):
-            if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt", "option") and "=" not in attributes:
+                after = page.find(page[min(marks)], min(marks) + 1)
+                if after < 0:
+                    quotes, end = False, close
+                    break
+                cursor = after + 1
+        else:
+            end = close
+        skip = yield page[at:begin], bool(m[1]), m[2].lower(), page[m.end() : end], end + 1
+        at = begin = skip if skip is not None else end + 1
+
+
+class Page:
+    """The blocks of a page (text, words, words in links, heading, item, element) and its elements, parents first."""
+
+    def __init__(self, page: str):
+        self.blocks: list[tuple[str, int, int, bool, bool, int]] = []
+        #: parent, enclosing part by tag, by name, enclosing article (numbers of elements, 0 for none), words, whether it
+        #: holds the first article or main, whether it holds the first h1
+        self.parent, self.by_tag, self.by_name, self.article = [0], [0], [0], [0]
+        self.first_article = self.first_h1 = self.main = 0
+        self.read(page)
+        n = len(self.parent)
+        self.words = [0] * n
+        for _, words, _, _, _, element in self.blocks:
+            self.words[element] += words
+        self.holds = [False] * n
+        for goal in {self.main or self.first_article, self.first_article, 0 if self.first_article else self.first_h1} - {0}:
+            while goal and not self.holds[goal]:
+                self.holds[goal] = True
+                goal = self.parent[goal]
+        for i in range(n - 1, 0, -1):
+            self.words[self.parent[i]] += self.words[i]
+
+    def read(self, page: str) -> None:
+        stack: list[tuple[str, int]] = [("", 0)]
+        opened: dict[str, int] = {}
+        pieces: list[str] = []
+        linked = 0
+        in_link = heading = item = False
+        mine = 0
+
+        def flush():
+            nonlocal linked
+            text = " ".join("".join(pieces).split())
+            if text:
+                words = text.count(" ") + 1
+                self.blocks.append((text, words, min(words, linked), heading, item, mine))
+            pieces.clear()
+            linked = 0
+
+        tags = tags_of(page)
+        skip = None
+        while True:
+            try:
+                data, closing, name, attributes, at = tags.send(skip)
+            except StopIteration:
+                break
+            skip = None
+            if data:
+                data = entities.unescape(data) if "&" in data else data
+                pieces.append(data)
+                if in_link:
+                    linked += len(data.split())
+            if not name:
                 continue
-            called = names(attributes) if "=" in attributes else set()
-            own = bool(called & CONTENT) and not called & {"comment", "comments", "ad", "ads", "sidebar", "related"}
-            named = bool(called & PART) and not own and name not in ("html", "body") and not wraps(page, m.start(), at, name, inner)
-            p = int((name in ASIDE and not (name == "header" and article)) or named)
-            a = int(name in ("article", "main") or own)
-            if p or a:
+            if not closing and name in RAW and not attributes.endswith("/"):
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                if name == "head":  # its end tag may be left out
+                    body = re.compile(r"<body\b", re.I).search(page, at)
+                    skip = min((x for x in (end and end.end(), body and body.start()) if x is not None), default=at)
+                else:
+                    skip = end.end() if end else len(page)
+                continue
+            if name == "a":
+                in_link = not closing
+            elif name == "br":
+                pieces.append(" ")
+            if name in BLOCK:
                 flush()
-            stack.append((name, p, a))
-            part, article = part + p, article + a
-    flush()
-    return out
-
-
-FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "heading", "item", "part", "article")
-
-
-def features(blocks: list[Block]) -> np.ndarray:
-    own = np.array([(b.words, b.links) for b in blocks], float).reshape(-1, 2)
-    pad = np.zeros((1, 2))
-    kind = np.array([(b.heading, b.item, b.part, b.article) for b in blocks], float).reshape(-1, 4)
-    return np.concatenate([own, np.concatenate([pad, own])[:-1], np.concatenate([own, pad])[1:], kind], 1)
-
-
-#: Labelled blocks: the ten features in order, then whether the block belongs to the main text.
-LABELLED = (
-    # articles: titles, paragraphs long and short, lists, links in the text
-    (9, 0, 6, 1, 60, 0, 1, 0, 0, 1, 1), (4, 0, 12, 0, 45, 0, 1, 0, 0, 1, 1), (60, 0, 9, 0, 80, 0, 0, 0, 0, 1, 1), (80, 0.02, 60, 0, 1, 0, 0, 0, 0, 1, 1),
-    (1, 0, 80, 0, 40, 0.05, 0, 0, 0, 1, 1), (2, 0, 1, 0, 8, 1, 0, 0, 0, 1, 1), (40, 0.1, 2, 0, 12, 0, 0, 0, 0, 1, 1), (12, 0, 40, 0.1, 6, 0, 0, 1, 0, 1, 1),
-    (6, 0, 12, 0, 300, 0, 0, 1, 0, 1, 1), (300, 0, 6, 0, 10, 0.3, 0, 0, 0, 1, 1), (5, 0.8, 30, 0, 30, 0, 0, 0, 0, 1, 1), (3, 1, 25, 0, 50, 0, 0, 1, 0, 1, 1),
-    (25, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1), (1, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1), (3, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1), (150, 0, 1, 1, 1, 1, 0, 0, 0, 1, 1),
-    # pages without an article element: long blocks in running text
-    (60, 0, 9, 0, 80, 0, 0, 0, 0, 0, 1), (80, 0.02, 60, 0, 45, 0, 0, 0, 0, 0, 1), (45, 0.1, 80, 0.02, 4, 1, 0, 0, 0, 0, 1), (18, 0, 60, 0, 70, 0, 0, 0, 0, 0, 1),
-    (5, 0, 70, 0, 90, 0.1, 0, 0, 0, 0, 1), (2, 0, 55, 0, 48, 0, 0, 0, 0, 0, 1), (7, 0, 1, 1, 66, 0, 1, 0, 0, 0, 1), (5, 0, 40, 0, 58, 0.03, 1, 0, 0, 0, 1),
-    (9, 0, 50, 0, 11, 0, 0, 1, 0, 0, 1), (30, 0.2, 40, 0, 35, 0, 0, 0, 0, 0, 1), (120, 0.05, 3, 1, 2, 1, 0, 0, 0, 0, 1), (22, 0, 4, 0, 26, 0, 0, 0, 0, 0, 1),
-    # and what surrounds them there: link lists, captions of widgets, small print
-    (1, 1, 1, 1, 1, 1, 0, 1, 0, 0, 0), (2, 1, 1, 1, 3, 1, 0, 1, 0, 0, 0), (3, 1, 2, 1, 9, 0, 0, 1, 0, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0),
-    (12, 1, 10, 1, 11, 1, 0, 0, 0, 0, 0), (8, 0.9, 1, 1, 50, 0, 0, 0, 0, 0, 0), (6, 0.5, 2, 1, 3, 1, 0, 0, 0, 0, 0), (4, 0, 3, 1, 2, 1, 0, 0, 0, 0, 0),
-    (5, 0.2, 1, 1, 0, 0, 0, 0, 0, 0, 0), (3, 0, 0, 0, 1, 1, 0, 0, 0, 0, 0), (7, 0, 4, 0, 0, 0, 0, 0, 0, 0, 0), (20, 0.8, 2, 1, 3, 1, 0, 0, 0, 0, 0),
-    (2, 0, 4, 1, 5, 1, 1, 0, 0, 0, 0), (40, 0.9, 3, 1, 2, 1, 0, 0, 0, 0, 0), (4, 1, 60, 0, 5, 1, 0, 0, 0, 0, 0), (3, 1, 80, 0, 70, 0, 0, 1, 0, 0, 0),
-    # parts that name themselves, in an article or not: menus, adverts, notices, forms, comments, footers
-    (1, 1, 1, 1, 1, 1, 0, 1, 1, 0, 0), (9, 0, 1, 1, 8, 0, 0, 0, 1, 0, 0), (30, 0, 5, 0, 9, 0, 0, 0, 1, 0, 0), (90, 0, 3, 0, 80, 0, 0, 0, 1, 0, 0),
-    (200, 0.01, 60, 0, 90, 0, 0, 0, 1, 0, 0), (6, 0, 60, 0, 40, 0, 1, 0, 1, 0, 0), (4, 0, 0, 0, 60, 0, 1, 0, 1, 0, 0), (15, 0, 90, 0, 0, 0, 0, 0, 1, 0, 0),
-    (50, 0, 60, 0, 40, 0, 0, 0, 1, 1, 0), (8, 0, 70, 0, 80, 0, 0, 0, 1, 1, 0), (120, 0, 4, 0, 60, 0, 0, 0, 1, 1, 0), (2, 1, 50, 0, 3, 1, 0, 1, 1, 1, 0),
-    (3, 0, 20, 0, 45, 0, 1, 0, 1, 1, 0), (25, 0.1, 3, 0, 25, 0, 0, 0, 1, 1, 0), (1, 0, 90, 0, 90, 0, 0, 0, 1, 1, 0), (35, 0, 0, 0, 12, 0, 0, 0, 1, 0, 0),
-)
+                heading, item = (not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()), not closing and name == "li"
+                if name in ("p", "li", "td"):
+                    in_link = False
+            if name in VOID or attributes.endswith("/"):
+                continue
+            if closing:
+                if opened.get(name):
+                    flush()
+                    while True:
+                        last, _ = stack.pop()
+                        opened[last] -= 1
+                        if last == name:
+                            break
+                    mine = stack[-1][1]
+            elif name in BLOCK or name in ASIDE or "=" in attributes and name in ("span", "b", "i", "em", "strong"):
+                if name in ("p", "li", "td", "dd", "dt", "option") and "=" not in attributes:
+                    continue
+                if name not in BLOCK:
+                    flush()
+                parent, new = stack[-1][1], len(self.parent)
+                self.parent.append(parent)
+                within = self.article[parent]
+                part = name in ASIDE and not (name == "header" and within and self.by_tag[parent] <= within)
+                self.by_tag.append(new if part else self.by_tag[parent])
+                called = "=" in attributes and bool(names(attributes) & PART)
+                self.by_name.append(new if called else self.by_name[parent])
+                self.article.append(new if name in ("article", "main") else within)
+                if name == "main":
+                    self.main = self.main or new
+                elif name == "article" and not self.by_tag[new]:
+                    self.first_article = self.first_article or new
+                elif name == "article" and self.by_tag[new] and not self.first_article:
+                    self.spare = getattr(self, "spare", 0) or new
+                elif name == "h1":
+                    self.first_h1 = self.first_h1 or new
+                stack.append((name, new))
+                opened[name] = opened.get(name, 0) + 1
+                mine = new
+        flush()
+        # an article within such a part (a form around the page) is the page's article if there is no other
+        self.first_article = self.first_article or getattr(self, "spare", 0) or self.main
+
+
+FEATURES = (
+    *(f"{kind} {at}" for kind in ("words", "links", "density") for at in ("two before", "before", "own", "after", "two after")),
+    *"heading item tag tag-holds tag-share name name-holds name-share article article-holds any-article".split(),
+)
+
+
+def features(page: Page) -> np.ndarray:
+    n = len(page.blocks)
+    own = np.array([(w, links / w, w / (1 + len(text) // 80)) for text, w, links, *_ in page.blocks], float).reshape(-1, 3)
+    padded = np.concatenate([np.zeros((2, 3)), own, np.zeros((2, 3))])
+    near = np.stack([padded[i : i + n] for i in range(5)], 2).reshape(n, 15)
+    total = max(1, page.words[0])
+    any_article = float(page.first_article > 0)
+    rows = []
+    for _, _, _, heading, item, e in page.blocks:
+        tag, name, article = page.by_tag[e], page.by_name[e], page.article[e]
+        rows.append((heading, item, tag > 0, tag > 0 and page.holds[tag], page.words[tag] / total if tag else 0, name > 0, name > 0 and page.holds[name], page.words[name] / total if name else 0, article > 0, article > 0 and page.holds[article], any_article))
+    return np.concatenate([near, np.array(rows, float).reshape(n, 11)], 1)
 
 
 class Tree:
-    """A binary decision tree over numbers, grown by Gini impurity until its leaves are pure or cannot be parted."""
+    """A binary decision tree over numbers, grown by Gini impurity."""
 
-    def __init__(self, rows, depth: int = 12):
-        table = np.asarray(rows, float)
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4):
         self.nodes: list[tuple[int, float, int, int, bool]] = []
-        self.grow(table[:, :-1], table[:, -1] > 0, depth)
+        self.least = least
+        self.grow(np.asarray(x, float), np.asarray(y, bool), depth)
 
     def grow(self, x, y, depth) -> int:
-        here = len(self.nodes)
-        self.nodes.append((-1, 0.0, 0, 0, bool(y.mean() >= 0.5)))
-        best = (y.mean() * (1 - y.mean()) * len(y) - 1e-12, None)
+        here, n = len(self.nodes), len(y)
+        self.nodes.append((-1, 0.0, 0, 0, bool(y.mean() >= 0.5) if n else False))
+        best = (y.mean() * (1 - y.mean()) * n - 1e-9, None) if n else (0.0, None)
         if depth and best[0] > 0:
             for f in range(x.shape[1]):
-                for cut in (np.unique(x[:, f])[1:] + np.unique(x[:, f])[:-1]) / 2:
-                    left = x[:, f] < cut
-                    loss = sum(s.mean() * (1 - s.mean()) * len(s) for s in (y[left], y[~left]))
-                    if loss < best[0] - 1e-12:
-                        best = (loss, (f, cut, left))
+                order = np.argsort(x[:, f], kind="stable")
+                value, ones = x[order, f], np.cumsum(y[order])
+                size = np.arange(1, n)
+                left, right = ones[:-1] / size, (ones[-1] - ones[:-1]) / (n - size)
+                loss = left * (1 - left) * size + right * (1 - right) * (n - size)
+                loss[(value[1:] == value[:-1]) | (size < self.least) | (n - size < self.least)] = np.inf
+                if len(loss) and loss.min() < best[0] - 1e-9:
+                    i = int(loss.argmin())
+                    best = (loss[i], (f, (value[i] + value[i + 1]) / 2))
         if best[1]:
-            f, cut, left = best[1]
-            a = self.grow(x[left], y[left], depth - 1)
-            b = self.grow(x[~left], y[~left], depth - 1)
-            self.nodes[here] = (f, cut, a, b, False)
+            f, cut = best[1]
+            left = x[:, f] < cut
+            self.nodes[here] = (f, cut, self.grow(x[left], y[left], depth - 1), self.grow(x[~left], y[~left], depth - 1), False)
         return here
 
     def keep(self, x: np.ndarray) -> np.ndarray:
@@ -236,16 +284,36 @@ class Tree:
         return out
 
 
-def main_text(page: str, tree: Tree) -> str:
-    blocks = blocks_of(page)
-    if not blocks:
+def labelled_blocks(pages) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all blocks of labelled pages, and whether each belongs to the main text."""
+    x, y = [], []
+    for _, html, kept in pages:
+        page, left = Page(html), list(reversed(kept))
+        x.append(features(page))
+        for text, *_ in page.blocks:
+            mine = bool(left) and left[-1] == text
+            if mine:
+                left.pop()
+            y.append(mine)
+        assert not left, "a labelled block isn't one of the page's"
+    return np.concatenate(x), np.array(y)
+
+
+@functools.cache
+def default_tree(seed: int = 1, each: int = 40) -> Tree:
+    return Tree(*labelled_blocks(labelled_pages(seed, each)))
+
+
+def main_text(html: str, tree: Tree) -> str:
+    page = Page(html)
+    if not page.blocks:
         return ""
-    return "\n".join(b.text for b, keep in zip(blocks, tree.keep(features(blocks))) if keep)
+    return "\n".join(b[0] for b, keep in zip(page.blocks, tree.keep(features(page))) if keep)
 
 
-def extracted(pages: DataFrame, labelled=LABELLED) -> DataFrame:
+def extracted(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    tree = Tree(labelled)
+    tree = tree or default_tree()
 
     def run(batches):
         for batch in batches:

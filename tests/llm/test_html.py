@@ -1,7 +1,11 @@
 import html as entities
 import re
+import time
 
-from meshloom.llm import html
+import pytest
+from pyspark.sql import functions as F
+
+from meshloom.llm import html, layouts
 
 
 def truth(page):
@@ -33,27 +37,59 @@ and a second&nbsp;line.<p>Short.<div class="ad-slot">Buy now the best things tha
 
 
 def test_parts_of_a_page_are_left_out():
-    tree = html.Tree(html.LABELLED)
+    tree = html.default_tree()
     assert html.main_text(HARD, tree) == "Café & co\nFirst paragraph with a link in it, and a second line.\nShort.\none\ntwo <three>\nLast 1 < 2 one."
     plain = "<body><div><a href=1>Home</a></div><div><a href=2>About us</a></div><div>" + "long words here " * 30 + "</div><div>" + "more of it " * 40 + "</div><div><a href=3>Imprint</a></div>"
     assert html.main_text(plain, tree) == ("long words here " * 30).strip() + "\n" + ("more of it " * 40).strip()
 
 
-def test_tree_fits_its_table_and_edge_cases(spark):
-    tree = html.Tree(html.LABELLED)
-    import numpy as np
+def test_blocks_of_held_out_pages_in_every_layout():
+    tree = html.default_tree()
+    assert len(layouts.LAYOUTS) >= 6
+    for layout in layouts.LAYOUTS:
+        x, y = html.labelled_blocks(layouts.labelled_pages(99, 30, [layout]))
+        got = tree.keep(x)
+        precision, recall = (got & y).sum() / got.sum(), (got & y).sum() / y.sum()
+        print(layout.__name__, round(precision, 3), round(recall, 3))
+        assert precision >= 0.95 and recall >= 0.95, layout.__name__
+
+
+def test_neighbours_tell_where_no_name_does():
+    kinds = {html.FEATURES[f].split()[0] for f, *_ in html.default_tree().nodes if f >= 0}
+    assert {"words", "links"} <= kinds
+    x, y = html.labelled_blocks(layouts.labelled_pages(7, 30, [layouts.nameless_divs, layouts.table_layout, layouts.breaks_only]))
+    flat = x.copy()
+    flat[:, [0, 1, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14]] = 0
+    tree = html.default_tree()
+    assert (tree.keep(x) == y).mean() > (tree.keep(flat) == y).mean()
+
+
+PROSE = "Some words of the paragraph that go on for a while and say what there is to say about it in plain words for all who read. " * 2
+
+
+@pytest.mark.parametrize("page", ['<form id="aspnetForm">{}</form>', '<body class="right-sidebar single-post">{}</body>', '<div class="content-with-sidebar">{}</div>', '<article class="post has-comments">{}</article>', '<body class="no-sidebar"><article>{}</article></body>', "<div class=comments-page>{}</div>", "{}"])
+def test_names_of_wrappers_drop_nothing(page):
+    out = html.main_text(page.format(f"<h1>Its title</h1><p>{PROSE}</p><p>{PROSE} <math><mi>y</mi></math> <object>z</object></p>"), html.default_tree())
+    assert out == "\n".join(("Its title", PROSE.strip(), PROSE.strip() + " y z"))
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\">", "<!--", "<a <b>", "<b>", "<div>", "</x>", "<script>", "&amp", "<", "<p class='"])
+def test_malformed_markup_takes_linear_time(piece):
+    began = time.time()
+    html.main_text(piece * 100_000, html.default_tree())
+    assert time.time() - began < 5
+
 
-    table = np.array(html.LABELLED, float)
-    assert (tree.keep(table[:, :-1]) == (table[:, -1] > 0)).all()
+def test_edge_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>x"), (3, "u", "<"), (3, "u", "<"), (4, "u", "<article><p>" + "word " * 200_000), (5, "u", "<!-- never closed"), (6, "u", "<p a='b"), (7, "u", "<script>x")]
-    pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("x"))
     out = {r.page_id: r.text for r in html.extracted(pages).collect()}
     assert out[1] == out[2] == out[5] == out[7] == "" and out[None] == "x" and len(out[4]) == 999_999
     assert html.extracted(pages).count() == 9 and html.extracted(pages.limit(0)).count() == 0
 
 
 def test_part_names_on_wrappers_keep_the_article():
-    tree = html.Tree(html.LABELLED)
+    tree = html.default_tree()
     text = "some words of the article that go on for a while and say what there is to say " * 3
     for wrap in ('<body class="single has-sidebar"><article><p>{}</p></article></body>', '<body><div class="wrapper menu-open"><div class="sidebar"><p>Side words</p></div><article><p>{}</p></article></div></body>', '<body><article class="hentry has-comments"><p>{}</p></article></body>'):
         assert html.main_text(wrap.format(text), tree) == text.strip()
