@@ -1,14 +1,15 @@
 """WARC 1.1 archives: a writer that marks revisits, and a sequential reader.
 
 Each record is one gzip member. Writers run in parallel, one archive after another in each task, into the shared
-folder; a table lists the archives that finished tasks wrote, so files of lost or repeated attempts are never read. The
+folder, each beginning with a warcinfo record; a table lists the archives that finished tasks wrote, so files of lost or repeated attempts are never read. The
 reader inflates piece by piece, frames a record by its Content-Length, and checks its block and payload digests;
 nothing but one piece of an archive is held. A payload is an HTTP response body; a revisit repeats the HTTP header
 only, whose Content-Length gives the length of the payload it stands for.
 
 Defined cases: a null payload is empty; payloads under ``least`` bytes are never revisits; of rows with equal payloads
 the smallest key is the response (every row with that key), and null keys count as largest; a null URL gives no
-WARC-Target-URI; repeated rows come back as often as they came; empty tables give no rows.
+WARC-Target-URI; repeated rows come back as often as they came; very long payloads are written at once and read in
+pieces; extra columns may have any name; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, as_row, sifted, text_or_empty
 
 #: Payloads shorter than this are written again rather than referred to.
 LEAST = 100
 #: Compressed bytes after which a task begins its next archive.
 ROLL = 64 << 20
 PIECE = 1 << 16
+#: Tasks that read archives at most; each reads its share one after another.
+READERS = 1 << 15
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -49,22 +52,38 @@ def one_line(value: str) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in value)
 
 
-def page_record(key: int | None, url: str | None, payload: bytes, original: int | None, is_revisit: bool) -> bytes:
+#: All records are of one moment, so that runs agree.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def name_of(key: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}:{digest}')}>"
+
+
+def info_record(archive: str) -> bytes:
+    headers = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, archive)}>"), ("WARC-Date", DATE), ("WARC-Filename", archive), ("Content-Type", "application/warc-fields")]
+    return record("warcinfo", headers, b"software: meshloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def page_record(key: int | None, url: str | None, payload: bytes, original: int | None, original_url: str | None, is_revisit: bool) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}:{url}')}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response")]
-    headers += [("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}")]
+    digest = hashlib.sha256(payload).hexdigest()
+    headers = [("WARC-Record-ID", name_of(key, digest)), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if url:
         headers.append(("WARC-Target-URI", one_line(url)))
     if key is not None:
         headers.append(("Page-Key", str(key)))
     if not is_revisit:
         return record("response", headers, http + payload)
-    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page-Key", str(original))]
+    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name_of(original, digest)), ("WARC-Refers-To-Date", DATE)]
+    if original_url:
+        headers.append(("WARC-Refers-To-Target-URI", one_line(original_url)))
+    headers.append(("Refers-To-Page-Key", str(original)))
     return record("revisit", headers, http)
 
 
 def read_records(stream, on_block=None):
-    """Yields (headers, facts) of each record of a gzipped archive, in order.
+    """Yields (headers, facts) of each record of a gzipped archive but the warcinfo ones, in order.
 
     facts: bytes of the payload, its sha256 and whether both digests hold. on_block(headers, piece) gets the block as
     it comes. Raises ValueError on a member that isn't framed as its Content-Length says.
@@ -98,6 +117,8 @@ def read_records(stream, on_block=None):
             block_sha.update(block)
             if on_block is not None and block:
                 on_block(headers, block)
+            if headers["WARC-Type"] == "warcinfo":
+                continue
             if http is not None:
                 http += block
                 at = http.find(b"\r\n\r\n")
@@ -109,26 +130,34 @@ def read_records(stream, on_block=None):
             payload_n += len(block)
         if headers is None or got != body or tail != b"\r\n\r\n":
             raise ValueError("a record is not framed as its Content-Length says")
+        if headers["WARC-Type"] == "warcinfo":
+            continue
         revisit = headers["WARC-Type"] == "revisit"
         named = headers["WARC-Payload-Digest"].removeprefix("sha256:")
         ok = headers["WARC-Block-Digest"] == f"sha1:{base64.b32encode(block_sha.digest()).decode()}" and (revisit or (named == payload_sha.hexdigest() and length == payload_n))
         yield headers, {"payload_bytes": length, "payload_digest": named, "ok": ok}
 
 
-def mark_revisits(pages: DataFrame, scratch: Scratch, key: str = "page_id", payload: str = "html", least: int = LEAST) -> DataFrame:
-    """Adds ``original``: the smallest key of an equal payload that this row should refer to, else null."""
+def mark_revisits(pages: DataFrame, scratch: Scratch, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> DataFrame:
+    """(row, first): row holds all columns, first the smallest key of an equal payload that this row should refer to
+    (struct of key and url), or null. Payloads that nobody repeats are never shuffled."""
     html = F.encode(text_or_empty(payload), "UTF-8")
-    rows = pages.withColumn("digest", F.sha2(html, 256))
-    firsts = rows.where(F.octet_length(html) >= least).groupBy("digest").agg(F.min(key).alias("first"), F.count("*").alias("n"))
-    firsts = scratch.write("firsts", firsts.where("n > 1").select("digest", "first"))
-    later = F.col("first").isNotNull() & (F.col(key).isNull() | (F.col(key) > F.col("first")))
-    return rows.join(firsts, "digest", "left").withColumn("original", F.when(later, F.col("first"))).drop("digest", "first")
+    rows = pages.select(as_row(pages), F.sha2(html, 256).alias("digest"))
+    of = F.struct(F.col(key).cast("long").isNull().alias("none"), F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"))
+    found = pages.where(F.octet_length(html) >= least).select(F.sha2(html, 256).alias("digest"), of.alias("of"))
+    firsts = scratch.write("firsts", found.groupBy("digest").agg(F.min("of").alias("of"), F.count("*").alias("n")).where("n > 1 AND NOT of.none").select("digest", "of"))
+    own = F.col("row")[key].cast("long")
+    later = F.col("of").isNotNull() & (own.isNull() | (own > F.col("of.key")))
+    maybe = sifted(scratch, rows, firsts, "firsts", ("digest",)).join(firsts, "digest", "left").select("row", F.when(later, F.struct("of.key", "of.url")).alias("first"))
+    lone = sifted(scratch, rows, firsts, "firsts", ("digest",), inside=False).select("row", F.lit(None).cast("struct<key:long,url:string>").alias("first"))
+    return maybe.unionByName(lone)
 
 
 def write_archives(pages: DataFrame, folder: str, scratch: Scratch, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, roll: int = ROLL) -> DataFrame:
     """Writes every row as a record of a .warc.gz in ``folder``; returns (archive, records, bytes), one row an archive."""
-    marked = mark_revisits(pages, scratch, key, payload, least)
-    rows = marked.select(F.col(key).cast("long"), F.col(url).cast("string"), text_or_empty(payload).alias("payload"), F.col("original").cast("long"))
+    pages = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), text_or_empty(payload).alias(payload))
+    marked = mark_revisits(pages, scratch, key, url, payload, least)
+    rows = marked.select(F.col("row")[key].alias("key"), F.col("row")[url].alias("url"), F.col("row")[payload].alias("payload"), F.col("first.key").alias("original"), F.col("first.url").alias("original_url"))
 
     def run(batches):
         fs, top = store(folder)
@@ -140,12 +169,13 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, key: str = "
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["archive", "records", "bytes"])
 
         for batch in batches:
-            for page, at, body, original in zip(*(batch.column(i) for i in range(4))):
+            for page, at, body, original, there in zip(*batch.columns):
                 if out is None:
                     path, n, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0  # attempts never share a file
                     out = fs.open_output_stream(f"{top}/{os.path.basename(path)}", compression=None)
+                    size = out.write(info_record(os.path.basename(path)))
                 original = original.as_py()
-                member = page_record(page.as_py(), at.as_py(), body.as_py().encode(), original, original is not None)
+                member = page_record(page.as_py(), at.as_py(), body.as_py().encode(), original, there.as_py(), original is not None)
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= roll:
@@ -180,7 +210,9 @@ def read_archives(archives: DataFrame, size: int = 4096) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, ok boolean")
+    # a task for each archive up to as many as may run: a stated number, which adaptive execution leaves alone
+    tasks = max(1, min(archives.count(), READERS))
+    return archives.select("archive").repartition(tasks).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, ok boolean")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
