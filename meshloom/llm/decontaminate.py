@@ -7,10 +7,12 @@ occur around the shared seeds at all: the score cannot be above that share, so n
 lower it. A document is contaminated at ``least`` or more.
 
 The benchmark's seeds are broadcast in slices of bounded size (``slice_chars`` characters of items), one pass over the
-documents for each slice; documents are never shuffled.
+documents for each slice, or over those that a bitmap of all seeds lets through, where there are many slices; documents
+are never shuffled.
 
 Defined cases: null and empty texts match nothing; items of fewer than n words take no part; repeated rows come back
-as often as they came, and repeated items count once; null ids stay null; empty tables give no rows.
+as often as they came, and repeated items count once; of an item's equal scores the earliest place counts; very long texts are
+searched whole; null ids stay null; extra columns may have any name; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, as_row, sifted, text_or_empty
 from .words import batches_of, grams, words_of
 
 NGRAM = 5
 LEAST = 0.5
 SLICE_CHARS = 16 << 20
+#: Bits of the bitmap of all seeds that spares documents without any the passes of many slices: 8 MB.
+SEED_BITS = 26
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -52,16 +56,25 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 class Seeds:
-    """The n-grams of a slice of the benchmark."""
+    """The n-grams of a slice of the benchmark: hash and item of each, sorted, and the words and id of each item."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], n: int = NGRAM):
-        self.n = n
+    def __init__(self, hash: np.ndarray, item: np.ndarray, words: list[np.ndarray], ids: list[int | None]):
+        self.hash, self.item, self.words, self.ids = hash, item, words, ids
+
+    @classmethod
+    def of(cls, items: list[tuple[int | None, bytes]], n: int = NGRAM) -> Seeds:
         words = words_of([t for _, t in items])
         at, h = grams(words, n)
-        pairs = np.unique(np.stack([h, words.owner[at].astype(np.uint64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        self.hash, self.item = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
-        self.ids = [i for i, _ in items]
-        self.words = [words.hash[words.owner == k] for k in range(len(items))]
+        order = np.lexsort((words.owner[at], h))
+        h, item = h[order], words.owner[at][order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+        bounds = np.searchsorted(words.owner, np.arange(1, len(items)))
+        return cls(h[new], item[new], np.split(words.hash, bounds), [i for i, _ in items])
+
+    def parts(self) -> tuple:
+        """Plain values that workers can read without this module."""
+        return self.hash, self.item, self.words, self.ids
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in h, index of the seed) of every match."""
@@ -92,6 +105,39 @@ def found_in(seeds: Seeds, text: bytes, words: np.ndarray, start: np.ndarray, en
             yield seeds.ids[item], score, chars, chars + len(text[first:last].decode("utf-8", "ignore"))
 
 
+FOUND = "doc_id long, item_id long, score double, start long, end long"
+
+
+def seeded(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """The rows that may hold a seed of any item: a bitmap of all seeds, of bounded size, decides."""
+
+    def of_items(batches):
+        for batch in batches:
+            _, h = grams(words_of(batch.column(1).cast(pa.binary()).to_pylist()), n)
+            h = h & np.uint64((1 << SEED_BITS) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int32)), pa.array(np.uint64(1) << (h & np.uint64(63))).view(pa.int64())], ["word", "bits"])
+
+    table = items.mapInArrow(of_items, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (SEED_BITS - 6), np.int64)
+    bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        bitmap = sent.value.view(np.uint64)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            keep = np.zeros(len(texts), bool)
+            for i, j in batches_of(texts):
+                words = words_of(texts[i:j])
+                at, h = grams(words, n)
+                h = h & np.uint64((1 << SEED_BITS) - 1)
+                hit = bitmap[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
+                keep[i + words.owner[at[hit > 0]]] = True
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(doc_id, item_id, score, start, end): documents and the items they hold; start and end in code points."""
     spark = docs.sparkSession
@@ -100,13 +146,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: f
     chars, = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     slices = max(1, -(-chars // slice_chars))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty()).alias("text"))
+    if slices > 1:  # documents without any seed are read once, not once a slice
+        rows = scratch.write("seeded", seeded(rows, items, n))
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").toArrow()
-        seeds = Seeds([(i, t.encode()) for i, t in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist())], n)
-        sent = spark.sparkContext.broadcast(seeds)
+        seeds = Seeds.of([(i, t.encode()) for i, t in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist())], n)
+        sent = spark.sparkContext.broadcast(seeds.parts())
 
         def match(batches, sent=sent):
-            seeds = sent.value
+            seeds = Seeds(*sent.value)
             for batch in batches:
                 texts = batch.column(1).cast(pa.binary()).to_pylist()
                 out = []
@@ -124,13 +172,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: f
                 cols = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "start", "end"])
 
-        rows.mapInArrow(match, "doc_id long, item_id long, score double, start long, end long").write.mode("append").parquet(scratch.path("found"))
+        rows.mapInArrow(match, FOUND).write.mode("append").parquet(scratch.path("found"))
         sent.unpersist()
-    return spark.read.schema("doc_id long, item_id long, score double, start long, end long").parquet(scratch.path("found"))
+    scratch.drop("seeded")
+    return spark.read.schema(FOUND).parquet(scratch.path("found"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose own text holds no benchmark item; a row that shares its id, null or not, with others isn't judged by them."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", text_or_empty()).alias("doc_id"), text_or_empty().alias("text"))
-    bad = contaminated(rows, benchmark).select("doc_id").distinct()
-    return rows.join(bad, "doc_id", "left_anti").select("row.*")
+    """The rows whose own text holds no benchmark item; a row that shares its id, null or not, with others isn't judged by
+    them. Rows that a bitmap of the bad ones holds back are never shuffled."""
+    scratch = Scratch(docs.sparkSession, "decontaminated")
+    rows = docs.select(as_row(docs), F.xxhash64("doc_id", text_or_empty()).alias("doc_id"), text_or_empty().alias("text"))
+    bad = scratch.write("bad", contaminated(rows.select("doc_id", "text"), benchmark).select("doc_id").distinct())
+    rows = rows.select("row", "doc_id")
+    maybe = sifted(scratch, rows, bad, "bad", ("doc_id",)).join(bad, "doc_id", "left_anti").select("row.*")
+    return sifted(scratch, rows, bad, "bad", ("doc_id",), inside=False).select("row.*").unionByName(maybe)
