@@ -1,25 +1,29 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Fingerprints: text -> ASCII lower case -> words between ASCII white space -> shingles -> XXH64; a bit is set when
-set in over half of the shingle hashes. Linking: radius r < number of bands, so two fingerprints within r bits agree
-wholly in one band (pigeonhole); rows of a band value form a bucket. A bucket is compared vertically: plane b holds bit
+set in over half of the shingle hashes. Linking: the 64 bits are cut in six blocks; two fingerprints within 3 bits agree
+wholly on three blocks (pigeonhole), so each of the 20 choices of three is a table, and rows that agree on its 32 bits
+form a bucket. A bucket is compared vertically: plane b holds bit
 b of 64 fingerprints a machine word, one XOR gives bit b of 64 differences, carry-save counters add these up, and a
 word is abandoned once all of its 64 distances exceed the radius.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; rows
 with equal fingerprints are one group whatever their ids; a null doc_id keeps its row, and never becomes a component's
-id unless the whole component has null ids; repeated rows come back as often as they came; empty tables give none.
+id unless the whole component has null ids; repeated rows come back as often as they came; of ties the smallest id
+names the component; very long texts are hashed whole, in pieces; extra columns may have any name; empty tables give none.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, text_or_empty
+from .common import Scratch, as_row, connected_components, text_or_empty
 
 SEED = 42
 #: Fingerprints of a bucket that meet in one task at most (two such blocks); larger buckets are cut in blocks.
@@ -132,19 +136,29 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def near_links(scratch: Scratch, distinct: DataFrame, radius: int = 3, bands: int = 4, block: int = BLOCK) -> DataFrame:
+def block_masks(radius: int, blocks: int) -> list[int]:
+    """Bits of each choice of ``blocks - radius`` blocks, as signed 64-bit masks: two fingerprints within the radius agree
+    on one choice at least."""
+    if radius >= blocks:
+        raise ValueError("the radius must be less than the number of blocks")
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    whole = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:])]
+    masks = [sum(chosen) for chosen in itertools.combinations(whole, blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def near_links(scratch: Scratch, distinct: DataFrame, radius: int = 3, blocks: int = 6, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fp`` that connect all pairs within the radius.
 
+    Six blocks and a radius of 3 make 20 tables with keys of 32 bits or more, so buckets stay small up to 2^32 rows.
     Within a bucket only a star from each class's smallest member is returned, so that thousands of near copies give
     as many links, not their square. A bucket of over ``block`` rows is cut in g blocks by hash, and each pair of
     blocks meets in a task of its own, which compares all of their rows: exact, and no task holds over two blocks.
     """
-    if radius >= bands:
-        raise ValueError("the radius must be less than the number of bands")
-    step, mask = 64 // bands, (1 << 64 // bands) - 1
-    rows = distinct.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", step * i).bitwiseAND(F.lit(mask)) for i in range(bands)])).alias("band", "key"))
-    large = scratch.write("large", rows.groupBy("band", "key").count().where(F.col("count") > block).select("band", "key", F.ceil(F.col("count") / block).cast("int").alias("g")))
-    rows = rows.join(large, ["band", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(radius, blocks)])
+    rows = distinct.select("fp", F.posexplode(masks).alias("band", "mask")).select("fp", "band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    counts = scratch.write("counts", rows.groupBy("band", "key").count().where("count > 1"))
+    rows = rows.join(counts, ["band", "key"]).withColumn("g", F.ceil(F.col("count") / block).cast("int"))
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("g")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("band", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp")
@@ -178,36 +192,36 @@ def near_links(scratch: Scratch, distinct: DataFrame, radius: int = 3, bands: in
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "u long, v long")
 
 
-def classes(scratch: Scratch, own: DataFrame, radius: int, bands: int) -> DataFrame:
+def classes(scratch: Scratch, own: DataFrame, radius: int, blocks: int) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint of ``own``: root names the class, a fingerprint of it."""
     distinct = scratch.write("distinct", own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = scratch.write("edges", near_links(scratch, distinct.select("fp"), radius, bands).distinct())
+    edges = scratch.write("edges", near_links(scratch, distinct.select("fp"), radius, blocks).distinct())
     roots = scratch.write("roots", connected_components(scratch, edges))
     named = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.write("named", named)
     moved = scratch.write("moved", roots.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id"))
     of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     of = scratch.write("of", of)
-    scratch.drop("large", "edges", "roots", "named", "moved", "distinct")
+    scratch.drop("counts", "edges", "roots", "named", "moved", "distinct")
     return of
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, bands: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: 16 hex digits, and the smallest doc_id reachable by links."""
     scratch = Scratch(docs.sparkSession, "simhash")
     own = scratch.write("own", fingerprints(docs, shingle))
-    of = classes(scratch, own, radius, bands)
+    of = classes(scratch, own, radius, blocks)
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 3, shingle: int = 3, bands: int = 4) -> DataFrame:
+def representatives(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks: int = 6) -> DataFrame:
     """One row of each group, all columns of ``docs``: the smallest doc_id (null last), then the smallest text hash;
     of rows equal in both, any one."""
     scratch = Scratch(docs.sparkSession, "representatives")
     own = scratch.write("own", fingerprints(docs, shingle))
-    of = classes(scratch, own, radius, bands)
+    of = classes(scratch, own, radius, blocks)
     first = own.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("w"))
     first = scratch.write("first", first.select(F.coalesce("w.doc_id", F.lit(0)).alias("key_id"), F.col("w.none").alias("key_none"), F.col("w.h").alias("key_h")))
     keys = ["key_id", "key_none", "key_h"]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_none"), F.xxhash64(text_or_empty()).alias("key_h"))
+    keyed = docs.select(as_row(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_none"), F.xxhash64(text_or_empty()).alias("key_h"))
     return keyed.join(first, keys).groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")
