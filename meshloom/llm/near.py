@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, text_or_empty
+from .common import Scratch, as_row, connected_components, text_or_empty
 from .simhash import close_pairs, merge
 from .words import STEP, batches_of, grams, mix, words_of
 
@@ -166,7 +166,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     met = scratch.write("met", connected_components(scratch, scratch.write("edges", edges), "met-cc"))
     key_of = lambda w: [F.coalesce(F.col(f"{w}doc_id").cast("long"), F.lit(0)).alias("key_id"), F.col(f"{w}doc_id").isNull().alias("key_none")]
     keys = ["key_id", "key_none", "key_h"]
-    members = met.join(met.groupBy("root").agg(F.count("*").alias("n")), "root").join(sets, "node").select("root", "n", "node", *key_of("w."), F.col("w.h").alias("key_h"))
+    sizes = scratch.write("sizes", met.groupBy("root").agg(F.count("*").alias("n")))  # written: else the count would take the join's exchange, unsummed
+    members = met.join(sizes, "root").join(sets, "node").select("root", "n", "node", *key_of("w."), F.col("w.h").alias("key_h"))
     members = scratch.write("members", members)
     texts = docs.select(*key_of(""), F.xxhash64(text_or_empty()).alias("key_h"), text_or_empty().alias("text"))
     texts = texts.join(members, keys).select("root", "n", "node", "text")
@@ -176,6 +177,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     of = sets.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "w")
     first = of.groupBy("root").agg(F.min("w").alias("w")).select(*key_of("w."), F.col("w.h").alias("key_h"))
     first = scratch.write("first", first)
-    scratch.drop("own", "sets", "edges", "met", "members", "hashes", "links", "roots")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key_of(""), F.xxhash64(text_or_empty()).alias("key_h"))
+    scratch.drop("own", "sets", "edges", "met", "sizes", "members", "hashes", "links", "roots")
+    keyed = docs.select(as_row(docs), *key_of(""), F.xxhash64(text_or_empty()).alias("key_h"))
     return keyed.join(first, keys).groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")
