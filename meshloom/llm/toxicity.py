@@ -5,13 +5,14 @@ term, the vectors v give one to each pair of terms, such as an insult with the m
 
 Terms are whole words and byte n-grams (5, 7 and 8 bytes, a word's leading space included, after lower-casing), hashed
 to 2^22 slots; x_i is log2(1 + occurrences), at most 3. Whole texts are hashed, n-grams all at once per Arrow batch.
-Fitting takes a bounded sample of labelled rows (``most`` of each label, those with the smallest hashes), keeps at
+Fitting takes a bounded sample of labelled rows (``most`` of each label, those with the smallest hashes, and at most
+``most_bytes`` of text, both of them parameters), keeps at
 most ``terms`` slots, and runs AdaGrad on these. Terms are kept that surely tell the labels apart by chi square, alone
 or as a pair: of the ``PAIRED`` most frequent whole words, all pairs' joint occurrences are tested, so that words that
 matter only together stay. Both labels count alike while learning; w0 is then moved to the label share of the table.
 
 Defined cases: a null or empty text has no terms and gets the score of w0; rows with null ids or labels teach nothing;
-an id labelled twice counts twice; where no term tells the labels apart (few labelled rows, one label only, none)
+rows that repeat teach once; very long texts count whole, in pieces; extra columns may have any name; where no term tells the labels apart (few labelled rows, one label only, none)
 every score is the label share (0 where there is none) and nothing is predicted toxic, so that all rows are kept;
 repeated rows come back as often as they came; empty tables give no rows.
 """
@@ -23,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import as_row, text_or_empty
+from .words import batches_of
 
 SLOTS = 1 << 22
 GRAMS = (5, 7, 8)
 THRESHOLD = 0.3
 #: Labelled rows that are collected at most, of each label, and terms that are kept.
 MOST = 3000
+#: Bytes of text that are collected at most, of each label (one text more may begin below the bound).
+MOST_BYTES = 32 << 20
 TERMS = 4096
 FACTORS = 8
 #: Chi square that a term needs: about one in a million terms that say nothing passes.
@@ -37,6 +41,11 @@ SURE = 24.0
 #: Whole words whose pairs are tested, and the chi square that a pair needs, there being a thousand times as many tests.
 PAIRED = 2048
 SURE_PAIR = 40.0
+#: Whole words that are kept because they are frequent, whatever they tell alone or with one other word: their vectors
+#: may still add up to groups of words that matter together.
+FREQUENT = 1024
+#: Labelled rows below which frequent words say nothing.
+LEAST_ROWS = 500
 #: Bytes hashed at once.
 PIECE = 1 << 19
 
@@ -110,15 +119,17 @@ def counted(rows: np.ndarray, slots: np.ndarray):
     return key // SLOTS, key % SLOTS, np.minimum(np.log2(1.0 + n), 3.0)
 
 
-def paired_terms(texts: list[bytes], labels: np.ndarray, most: int = PAIRED, sure: float = SURE_PAIR) -> tuple[np.ndarray, np.ndarray]:
+def paired_terms(texts: list[bytes], labels: np.ndarray, most: int = PAIRED, sure: float = SURE_PAIR, frequent: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slot, best chi square) of whole words whose joint occurrence with another tells the labels apart, and more so
-    than either word alone."""
+    than either word alone; and the slots of the most frequent words."""
+    frequent = FREQUENT if frequent is None else frequent
     n, positive = len(labels), labels.sum()
     parts = [(i + r, s) for i in range(0, n, 64) for r, s, _ in [counted(*term_slots(texts[i : i + 64], sizes=()))]]
     row, slot = (np.concatenate(p) for p in zip(*parts))
     held = np.bincount(slot, minlength=SLOTS).astype(np.int32)
     slots = np.flatnonzero((held >= 3) & (held < n))
-    slots = np.sort(slots[np.argsort(-held[slots], kind="stable")[:most]])
+    by_count = slots[np.argsort(-held[slots], kind="stable")]
+    common, slots = by_count[:frequent], np.sort(by_count[:most])
     at = np.full(SLOTS, -1, np.int32)
     at[slots] = np.arange(len(slots))
     row, col = row[at[slot] >= 0], at[slot[at[slot] >= 0]]
@@ -138,7 +149,7 @@ def paired_terms(texts: list[bytes], labels: np.ndarray, most: int = PAIRED, sur
         chi = chi_square(a, b)
         chi[(chi < sure) | (chi <= 1.5 * np.maximum(alone[i : i + 128, None], alone)) | (a + b < 3)] = 0
         best[i : i + 128] = chi.max(1, initial=0)
-    return slots[best > 0], best[best > 0]
+    return slots[best > 0], best[best > 0], common
 
 
 class FactorizationMachine:
@@ -168,10 +179,13 @@ class FactorizationMachine:
         chi = (a * d - b * c) ** 2 * n / np.maximum((a + b) * (c + d) * positive * (n - positive), 1e-9)
         sure = np.flatnonzero(chi >= SURE)
         alone = dict(zip(kept[sure].tolist(), chi[sure].tolist()))
-        pairs, best = paired_terms(texts, labels)
+        pairs, best, common = paired_terms(texts, labels)
         value = {s: max(x, alone.get(s, 0.0)) for s, x in zip(pairs.tolist(), best.tolist())}
         value = alone | value
-        kept = np.sort(np.array(sorted(value, key=lambda s: (-value[s], s))[:terms], np.int64))
+        kept = np.array(sorted(value, key=lambda s: (-value[s], s))[:terms], np.int64)
+        if n >= LEAST_ROWS:
+            kept = np.concatenate((kept, common))
+        kept = np.unique(kept)
         share = positive / n if share is None else share
         prior = float(np.log(share / (1 - share)))
         if not len(kept):
@@ -199,7 +213,7 @@ class FactorizationMachine:
                 dv = e[:, None] * (sums[r] - v[k] * y[:, None])
                 touched = np.unique(k)
                 at = np.searchsorted(touched, k)
-                dv = np.stack([np.bincount(at, dv[:, f], len(touched)) for f in range(factors)], 1) / len(batch)
+                dv = np.stack([np.zeros(len(touched)), *(np.bincount(at, dv[:, f], len(touched)) for f in range(factors))], 1)[:, 1:] / len(batch)
                 d0 = err.mean()
                 g0 += d0 * d0
                 w0 -= rate * d0 / np.sqrt(g0)
@@ -214,15 +228,28 @@ class FactorizationMachine:
     @staticmethod
     def forward(w0, w, v, row, col, x, n):
         vx = v[col] * x[:, None]
-        sums = np.stack([np.bincount(row, vx[:, f], n) for f in range(v.shape[1])], 1)
+        sums = np.stack([np.zeros(n), *(np.bincount(row, vx[:, f], n) for f in range(v.shape[1]))], 1)[:, 1:]
         squares = np.bincount(row, (vx * vx).sum(1), n)
         return sums, np.clip(w0 + np.bincount(row, w[col] * x, n) + 0.5 * ((sums * sums).sum(1) - squares), -30, 30)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.w):
             return np.full(len(texts), 1 / (1 + np.exp(-self.w0)))
-        row, col, x = counted(*term_slots(texts, self.column))
-        return 1 / (1 + np.exp(-self.forward(self.w0, self.w, self.v, row, col, x, len(texts))[1]))
+        out = np.empty(len(texts))
+        for i, j in batches_of(texts, PIECE):  # memory stays that of one piece, however many rows a batch has
+            row, col, x = counted(*term_slots(texts[i:j], self.column))
+            out[i:j] = self.forward(self.w0, self.w, self.v, row, col, x, j - i)[1]
+        return 1 / (1 + np.exp(-out))
+
+    def parts(self) -> tuple:
+        """Plain arrays that ``of_parts`` makes the machine of; workers need not have this module to read them."""
+        return np.flatnonzero(self.column >= 0), self.w0, self.w, self.v
+
+    @classmethod
+    def of_parts(cls, slots, w0, w, v) -> FactorizationMachine:
+        column = np.full(SLOTS, -1, np.int32)
+        column[slots] = np.arange(len(slots))
+        return cls(column, w0, w, v)
 
 
 def held_out():
@@ -234,33 +261,46 @@ def lowered():
     return F.encode(F.lower(text_or_empty()), "UTF-8").alias("text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> FactorizationMachine:
-    """Fits on at most ``most`` labelled documents of each label, none of them held out."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES, factors: int = FACTORS) -> FactorizationMachine:
+    """Fits on a sample of documents of each label, none of them held out: at most ``most`` rows and ``most_bytes`` bytes
+    of text (one row at least)."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
     toxic, all_rows = marked.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     few = None
     for label in (0, 1):
         part = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         few = part if few is None else few.unionByName(part)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered()).join(F.broadcast(few), "doc_id").orderBy("doc_id", "toxic", "text").toArrow()
-    return FactorizationMachine.fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(np.float64), share=toxic / max(1, all_rows))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered()).withColumns({"h": F.xxhash64("text"), "size": F.octet_length("text").cast("long")})
+    # ids may repeat without bound: texts, not ids, are what is bounded, by number and size, before any is collected
+    found = own.join(F.broadcast(few.distinct()), "doc_id").select("doc_id", "h", "size", "toxic").distinct()
+    chosen = None
+    for label in (0, 1):
+        part = found.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    table = chosen.orderBy("toxic", F.xxhash64("doc_id"), "doc_id", "h").toPandas()
+    upto = table.groupby("toxic")["size"].cumsum() - table["size"]
+    kept = table[upto < most_bytes][["doc_id", "h", "toxic"]]
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame(list(kept.itertuples(index=False, name=None)), "doc_id long, h long, toxic int")
+    rows = own.join(F.broadcast(wanted), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.first("text").alias("text")).orderBy("doc_id", "toxic", "h").toArrow()
+    return FactorizationMachine.fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(np.float64), factors=factors, share=toxic / max(1, all_rows))
 
 
 def scored(docs: DataFrame, machine: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with score and predicted, which must be free names."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), lowered())
+    """(row, score, predicted): row holds all columns of ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine.parts())
+    inner = docs.select(as_row(docs), lowered())
 
     def run(batches):
+        machine = FactorizationMachine.of_parts(*sent.value)
         for batch in batches:
-            scores = sent.value.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(((scores >= threshold) & (len(sent.value.w) > 0)).astype(np.int32))], ["row", "score", "predicted"])
+            scores = machine.score(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(((scores >= threshold) & (len(machine.w) > 0)).astype(np.int32))], ["row", "score", "predicted"])
 
-    out = inner.mapInArrow(run, f"row {docs.schema.simpleString()}, score double, predicted int")
-    return out.select("row.*", "score", "predicted")
+    return inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels), threshold)
-    return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return rows.select("row.doc_id", "score", "predicted").select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshloom.llm import toxicity
 
@@ -39,6 +40,9 @@ def test_edge_cases(spark):
         out = toxicity.toxicity(docs, some).collect()
         assert len(out) == 6 and all(0 <= r.score <= 1 for r in out)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("score", "predicted", "held_out", "row", "h", "size")})
+    assert len(toxicity.toxicity(clash, labels).collect()) == 6
+    assert toxicity.scored(clash, toxicity.fit(clash, labels)).select("row.*").columns == clash.columns
 
 
 @pytest.mark.parametrize("piece", [64, 1 << 22])
@@ -64,6 +68,36 @@ def test_words_that_matter_only_together_are_learnt():
     assert hit.mean() > 0.9
 
 
+def test_additive_weights_miss_what_pairs_tell():
+    """Held-out accuracy with and without factors, on labels that hang on an insult and a group together:
+    one without the other is the clean kind here, so neither tells anything alone."""
+    rng = np.random.default_rng(8)
+    insults, groups = ["ins1", "ins2"], ["grp1", "grp2"]
+    texts, labels = [], []
+    for _ in range(3000):
+        i, g = rng.random(2) < 0.5
+        texts.append(" ".join([rng.choice(insults)] * int(i) + [rng.choice(groups)] * int(g) + [f"w{rng.integers(200)}" for _ in range(12)]).encode())
+        labels.append(float(i == g))
+    held, truth = texts[2000:], np.array(labels[2000:]) > 0
+    hit = {}
+    for factors in (0, toxicity.FACTORS):
+        m = toxicity.FactorizationMachine.fit(texts[:2000], np.array(labels[:2000]), factors=factors)
+        hit[factors] = ((m.score(held) >= 0.5) == truth).mean()
+    print(hit)
+    assert hit[toxicity.FACTORS] > 0.8 and hit[0] < 0.6
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    fit = toxicity.FactorizationMachine.fit.__func__
+    monkeypatch.setattr(toxicity.FactorizationMachine, "fit", classmethod(lambda cls, texts, labels, **kw: seen.append((texts, labels)) or fit(cls, texts, labels, **kw)))
+    docs = spark.createDataFrame([(i % 8, f"text {i} " + "x" * 1000) for i in range(400)] + [(1, "text 1 " + "x" * 1000)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] * 3, "doc_id long, toxic int")
+    toxicity.fit(docs, labels, most=20, most_bytes=5000)
+    texts, marks = seen[0]
+    assert 0 < len(texts) <= 12 and len(set(texts)) == len(texts) and {0.0, 1.0} == set(marks)
+
+
 def test_few_or_meaningless_labels_keep_all_documents(spark, tmp_path):
     import corpus_pipeline
 
