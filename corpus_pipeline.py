@@ -12,7 +12,7 @@ from meshloom.llm.common import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that score as toxic; the scorer learns from the labelled ones that are not held out."""
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, machine).where("predicted = 0").select(*docs.columns)
+    return toxicity.scored(docs, machine).where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
