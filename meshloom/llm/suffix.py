@@ -187,8 +187,17 @@ def ranged(texts: DataFrame, work, schema: str, keys: list[str], split: int) ->
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, max(4000, 4 * parts) / max(1, texts.count()))
-    some = texts.sample(share, seed=1).mapInArrow(work, schema).select(*keys[:split])
-    some = some.orderBy(F.rand(1)).limit(min(60 * parts, 1_000_000)).toArrow()
+    few = max(16, -(-120 * parts // max(1, texts.rdd.getNumPartitions())))
+
+    def some_keys(batches):
+        """At most ``few`` rows of a task, so that the driver gets a bounded number, and no task gets all."""
+        rows = [np.stack([np.asarray(batch.column(i)) for i in range(split)]) for batch in work(batches)]
+        if rows:
+            rows = np.concatenate(rows, axis=1)
+            pick = np.random.default_rng(1).permutation(rows.shape[1])[:few]
+            yield pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in rows], keys[:split])
+
+    some = texts.sample(share, seed=1).mapInArrow(some_keys, ", ".join(f"{k} long" for k in keys[:split])).toArrow()
     columns = [c.to_numpy() for c in some.columns]
     order = np.lexsort(columns[::-1])
     order = order[(np.arange(1, parts) * len(order)) // parts] if len(order) else order
