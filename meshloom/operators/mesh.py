@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshloom.functions import elements as el
+from meshloom.operators.tables import Tables
 
 
 class ContractError(ValueError):
@@ -46,8 +48,18 @@ def unit_square(spark: SparkSession, n: int, width: float = 1.0, height: float =
     return Mesh(nodes, cells, facets, tags)
 
 
-#: The six tetrahedra of a voxel around its diagonal a-h; corners a..h count x fastest.
-VOXEL = ("abdh", "adch", "acgh", "ageh", "aefh", "afbh")
+def voxel_paths() -> list[tuple[int, ...]]:
+    """The tetrahedra of a voxel: one for each order of the three axes, its corners on the way from corner 0 to corner 7
+    along these (bits 0, 1, 2 of a corner are x, y, z); odd orders swap two corners, so that all are positive."""
+    out = []
+    for order in itertools.permutations(range(3)):
+        path = [0, 1 << order[0], 1 << order[0] | 1 << order[1], 7]
+        odd = sum(a > b for a, b in itertools.combinations(order, 2)) % 2
+        out.append(tuple(path[i] for i in ((0, 2, 1, 3) if odd else (0, 1, 2, 3))))
+    return out
+
+
+VOXEL = voxel_paths()
 
 
 def tet_box(spark: SparkSession, nx: int, ny: int, nz: int) -> Mesh:
@@ -56,7 +68,7 @@ def tet_box(spark: SparkSession, nx: int, ny: int, nz: int) -> Mesh:
     c = F.col("id")
     nodes = spark.range((nx + 1) * sx).select(c.alias("node_id"), (F.floor(c / sx) / nx).alias("x"), (F.floor(c / sy) % (ny + 1) / ny).alias("y"), (c % sy / nz).alias("z"))
     base = F.floor(c / (ny * nz)) * sx + F.floor(c / nz) % ny * sy + c % nz
-    corner = {name: base + (k & 1) * sx + (k >> 1 & 1) * sy + (k >> 2) for k, name in enumerate("abcdefgh")}
+    corner = [base + (k & 1) * sx + (k >> 1 & 1) * sy + (k >> 2) for k in range(8)]
     six = F.array(*[F.array(*[corner[v] for v in tet]) for tet in VOXEL])
     cells = spark.range(nx * ny * nz).select("id", F.posexplode(six).alias("k", "nodes")).select((6 * c + F.col("k")).cast("long").alias("cell_id"), "nodes")
     return Mesh(nodes, cells)
@@ -96,20 +108,22 @@ def edge_map(mesh: Mesh) -> tuple[DataFrame, DataFrame]:
     """edges(edge_id, lo, hi) in lexicographic order, and cell_edges(cell_id, local, edge_id, sign)."""
     pick = F.array(*[F.struct(F.col("nodes")[a].alias("a"), F.col("nodes")[b].alias("b")) for a, b in (el.TETRAHEDRON_EDGES if mesh.corners == 4 else el.TRIANGLE_EDGES)])
     rows = mesh.cells.select("cell_id", F.posexplode(pick).alias("local", "e")).select("cell_id", "local", F.least("e.a", "e.b").alias("lo"), F.greatest("e.a", "e.b").alias("hi"), F.when(F.col("e.a") < F.col("e.b"), 1).otherwise(-1).alias("sign"))
-    if mesh.numbered_edges is None:  # several queries of a mesh read them; kept blocks are recomputed where lost
-        mesh.numbered_edges = numbered(rows.select("lo", "hi").distinct(), ["lo", "hi"], "edge_id").persist()
+    if mesh.numbered_edges is None:  # several queries of a mesh read them
+        mesh.numbered_edges = numbered(rows.select("lo", "hi").distinct(), ["lo", "hi"], "edge_id")
     edges = mesh.numbered_edges
     return edges.select("edge_id", "lo", "hi"), rows.join(edges, ["lo", "hi"]).select("cell_id", "local", "edge_id", "sign")
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers rows 0, 1, .. in a global order without one task seeing all rows: a range partition is counted, and the
-    offsets of the partitions (one row each) are joined back."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """Numbers rows 0, 1, .. in a global order without one task seeing all rows: range partitions are written once, as
+    their bounds are sampled and another evaluation might cut elsewhere; then each is counted, and the offsets of the
+    partitions (one row each) are joined back."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = Tables(df.sparkSession, "numbered").write("ranged", ranged)
     within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
-    return within.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_part", "_n", "_size", "_before")
+    return within.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_part", "_n", "_before")
 
 
 def cell_owners(mesh: Mesh, parts: int) -> DataFrame:

@@ -12,6 +12,7 @@ from meshloom.functions import elements as el
 from . import assembly as asm
 from . import solve
 from .mesh import Mesh, edge_map, geometry
+from .tables import Tables
 
 
 def side_nodes(mesh: Mesh, *names: str) -> DataFrame:
@@ -26,25 +27,37 @@ def basis(mesh: Mesh) -> DataFrame:
     Any case (k, q, left, right) is u = q / k u_source + left u_left + right u_right: geometry is solved once, whatever
     the number of cases.
     """
+    tables = Tables(mesh.cells.sparkSession, "basis")
     g = geometry(mesh)
-    k, f = asm.stiffness(g, F.lit(1.0)), asm.load(g, F.lit(1.0))
-    ends = side_nodes(mesh, "left", "right")
-    parts, loads = None, None
-    for case, (source, left, right) in enumerate(((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))):
-        fixed = ends.select("node_id", F.when(F.col("name") == "left", left).otherwise(right).alias("value"))
-        kk, ff = asm.dirichlet(k, f.withColumn("v", F.col("v") * source), fixed)
-        kk, ff = kk.withColumn("case_id", F.lit(case).cast("long")), ff.withColumn("case_id", F.lit(case).cast("long"))
-        parts, loads = (kk, ff) if parts is None else (parts.unionByName(kk), loads.unionByName(ff))
-    u = solve.solve_cases(parts, loads)
-    pick = lambda c: F.max(F.when(F.col("case_id") == c, F.col("u")))
-    wide = u.groupBy("node_id").agg(pick(0).alias("u_source"), pick(1).alias("u_left"), pick(2).alias("u_right"))
-    return wide.join(mesh.nodes, "node_id")
+    k, f = tables.write("K", asm.stiffness(g, F.lit(1.0))), asm.load(g, F.lit(1.0))
+    ends = side_nodes(mesh, "left", "right").groupBy("node_id").agg(*[F.max((F.col("name") == s).cast("double")).alias(f"u_{s}") for s in ("left", "right")])
+    ends = tables.write("ends", ends)
+    # one elimination for all three right-hand sides
+    free = k.join(ends.select(F.col("node_id").alias("row")), "row", "left_anti")
+    at = free.join(ends.withColumnRenamed("node_id", "col").withColumn("held", F.lit(True)), "col", "left")
+    moved = at.groupBy("row").agg(*[(-F.sum(F.col("v") * F.coalesce(c, F.lit(0.0)))).alias(c) for c in ("u_left", "u_right")])
+    loads = moved.join(f.withColumnRenamed("v", "u_source"), "row")
+    names = ["u_source", "u_left", "u_right"]
+    inner = solve.solve_columns(tables.write("A", at.where("held IS NULL").select("row", "col", "v")), tables.write("loads", loads), names)
+    held = ends.select("node_id", F.lit(0.0).alias("u_source"), "u_left", "u_right")
+    return tables.write("responses", inner.unionByName(held).join(mesh.nodes, "node_id"))
+
+
+#: Rows of responses that are broadcast at most; more are joined by blocks of nodes.
+BROADCAST_ROWS = 1 << 18
 
 
 def sweep(cases: DataFrame, responses: DataFrame) -> DataFrame:
-    """Nodal values u of every case(case_id, k, q, left, right); the responses are a mesh of fixed size, broadcast."""
+    """Nodal values u of every case(case_id, k, q, left, right): small meshes are broadcast, and of larger ones blocks of
+    nodes meet all cases, a block in a task at a time."""
     u = F.col("q") / F.col("k") * F.col("u_source") + F.col("left") * F.col("u_left") + F.col("right") * F.col("u_right")
-    return cases.crossJoin(F.broadcast(responses)).withColumn("u", u)
+    n = responses.count()
+    if n <= BROADCAST_ROWS:
+        return cases.crossJoin(F.broadcast(responses)).withColumn("u", u)
+    blocks = -(-n // BROADCAST_ROWS)
+    cases = cases.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    responses = responses.withColumn("_block", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"))
+    return cases.join(responses, "_block").drop("_block").withColumn("u", u)
 
 
 def joule(mesh: Mesh, potential: DataFrame, sigma: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from meshloom.plans import more, registry  # noqa: F401
+from meshloom.plans import registry
+
+registry.queries()
 
 
 @pytest.fixture(scope="module")
