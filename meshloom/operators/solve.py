@@ -55,6 +55,11 @@ def pcg(row, col, v, b, policy: CgPolicy = CgPolicy()):
     return (x if ok else np.full(n, np.nan)), k, error, ok
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities: both sides of a cogroup may come of one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def solve_cases(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy()) -> DataFrame:
     """(case_id, node_id, u, iterations, backward_error, converged) for K(case_id, row, col, v), f(case_id, row, v)."""
 
@@ -65,7 +70,7 @@ def solve_cases(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy()) -> Da
         x, n, error, ok = pcg(at(matrix["row"]), at(matrix["col"]), matrix["v"].to_numpy(), b, policy)
         return pd.DataFrame({"case_id": key[0], "node_id": ids, "u": x, "iterations": n, "backward_error": error, "converged": ok})
 
-    out = k.groupBy("case_id").cogroup(f.groupBy("case_id")).applyInPandas(solve, "case_id long, node_id long, u double, iterations int, backward_error double, converged boolean")
+    out = fresh(k).groupBy("case_id").cogroup(fresh(f).groupBy("case_id")).applyInPandas(solve, "case_id long, node_id long, u double, iterations int, backward_error double, converged boolean")
     return out.withColumn("u", F.coalesce("u", F.lit(float("nan"))))  # NaN leaves pandas as null
 
 
@@ -82,7 +87,7 @@ def solve_columns(k: DataFrame, b: DataFrame, names: list[str], policy: CgPolicy
             out[name] = pcg(row, col, matrix["v"].to_numpy(), rhs, policy)[0]
         return pd.DataFrame(out)
 
-    out = k.select(one, "row", "col", "v").groupBy("case_id").cogroup(b.select(one, "row", *names).groupBy("case_id"))
+    out = fresh(k.select(one, "row", "col", "v")).groupBy("case_id").cogroup(fresh(b.select(one, "row", *names)).groupBy("case_id"))
     out = out.applyInPandas(solve, "node_id long, " + ", ".join(f"{n} double" for n in names))
     return out.fillna(float("nan"), names)
 
