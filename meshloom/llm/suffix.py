@@ -20,7 +20,7 @@ neighbours in the cell and 7 bytes as they are. The flagged starts of a document
 
 Defined cases: a null text is empty; null ids count as larger than any id, rows with equal null-id texts as one
 document; rows with equal id and text are one document, and each gets its result; rows with equal id but different
-texts are ordered by a 24-bit hash of the text; very long texts are hashed in pieces of 1 MB that overlap, so every
+texts are ordered by a 24-bit hash of the text; very long texts are hashed in pieces of half a MB that overlap, so every
 window counts; other columns are never read, whatever their names; empty tables give no rows.
 """
 
@@ -39,7 +39,9 @@ from .words import BACK, STEP, mix, powers
 LENGTH = 100
 SEED = 36
 #: Bytes of text hashed at once; positions within fit the low bits of a hash.
-PIECE = 1 << 20
+PIECE = 1 << 19
+#: Rows of an Arrow batch that are held as Python objects at once.
+ROWS = 1024
 
 #: A random value for each byte, from a fixed rule.
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP))
@@ -220,9 +222,11 @@ def level_one(texts: DataFrame, length: int, seed: int) -> DataFrame:
 
     def anchors(batches):
         for batch in batches:
-            doc, t = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
-            for own, at, more, anchor, whole in anchor_runs(batch.column(2).to_pylist(), length, seed):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc[own]), pa.array(t[own] << 39 | at << 7 | more)], ["h", "f", "doc", "p"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                doc, t = np.asarray(part.column(0)), np.asarray(part.column(1)).astype(np.int64)
+                for own, at, more, anchor, whole in anchor_runs(part.column(2).to_pylist(), length, seed):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc[own]), pa.array(t[own] << 39 | at << 7 | more)], ["h", "f", "doc", "p"])
 
     def compare(batches):
         for (h, f, doc, p), first, last in sorted_groups(batches, 1):
