@@ -473,7 +473,7 @@ def evidence_rollup(spark, sf):
 
 
 def queries():
-    from meshloom.plans import gradients, more, partitions, solvers  # noqa: F401  registers the rest
+    from meshloom.plans import apps, gradients, more, partitions, ports, solvers, sources  # noqa: F401  registers the rest
 
     return dict(QUERIES)
 

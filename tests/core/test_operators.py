@@ -8,6 +8,7 @@ from meshloom.functions import elements as el
 from meshloom.functions import scalars as sc
 from meshloom.operators import assembly as asm
 from meshloom.operators import evidence, mesh, physics, solve, transfer
+from meshloom.sources import materials
 
 
 def one(df):
@@ -141,7 +142,7 @@ def test_evidence(spark):
     assert evidence.digest({"b": 1, "a": [1.5, "é"]}) == evidence.digest({"a": [1.5, "é"], "b": 1})
     for bad in ('{"a": 1, "a": 2}', '{"a": NaN}'):
         with pytest.raises(ValueError):
-            evidence.catalog(bad)
+            materials.Strict().decode(bad)
 
 
 def test_element_identities(spark):
