@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,19 @@ def as_row(docs: DataFrame):
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what is written meanwhile: rows that carry long texts, by the thousand,
+    would fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
