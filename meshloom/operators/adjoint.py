@@ -34,6 +34,15 @@ def implicit_solve(systems: DataFrame) -> DataFrame:
     return systems.groupBy("case_id").applyInPandas(run, "case_id long, row long, x double, multiplier double")
 
 
+def affine_coefficients(base: DataFrame, weights: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(cell_id, value): base(cell_id, value) plus the sum of weights(cell_id, name, w) times parameters(name, p); a weight
+    without its parameter is an error."""
+    rows = weights.join(F.broadcast(parameters), "name", "left")
+    part = F.when(F.col("p").isNotNull(), F.col("w") * F.col("p")).otherwise(F.raise_error(F.concat(F.lit("no parameter "), F.col("name"))).cast("double"))
+    moved = rows.groupBy("cell_id").agg(F.sum(part).alias("moved"))
+    return base.join(moved, "cell_id", "left").select("cell_id", (F.col("value") + F.coalesce("moved", F.lit(0.0))).alias("value"))
+
+
 class ScalarState:
     """-div k grad u = q on a mesh, u held at some nodes: the state, and pullbacks of functionals of it.
 

@@ -95,3 +95,13 @@ def coupled_gradient(spark, sf):
     out = adjoint.coupled_gradients(cases, m, physics.side_nodes(m, "left", "right"))
     near = F.abs(F.col("gradient") - F.col("difference")) <= 2e-5 * F.abs("gradient") + 1e-7
     return out.select("case_id", "parameter", near.alias("agrees"))
+
+
+@query("SELECT p_partkey AS cell_id, round(p_size + CASE WHEN p_partkey % 2 = 0 THEN 0.5 * 3 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 0.25 * p_size * 7 ELSE 0 END, 9) AS value FROM part")
+def affine_coefficients(spark, sf):
+    """Coefficients that are affine in two parameters, a cell a part."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("cell_id"), F.col("p_size").cast("double").alias("value"))
+    one = p.where("cell_id % 2 = 0").select("cell_id", F.lit("a").alias("name"), F.lit(0.5).alias("w"))
+    two = p.where("cell_id % 3 = 0").select("cell_id", F.lit("b").alias("name"), (0.25 * F.col("value")).alias("w"))
+    values = spark.createDataFrame([("a", 3.0), ("b", 7.0)], "name string, p double")
+    return adjoint.affine_coefficients(p, one.unionByName(two), values).select("cell_id", F.round("value", 9).alias("value"))
