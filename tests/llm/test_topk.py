@@ -1,8 +1,6 @@
 import math
 
 import numpy as np
-import pytest
-from pyspark.errors import SparkRuntimeException
 
 from meshloom.llm import topk
 
@@ -28,13 +26,36 @@ def test_matches_brute_force_over_many_norms(spark):
     assert topk.top_k(table.limit(0)).count() == 0
 
 
-def test_products_that_could_overflow_raise(spark):
-    table = spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>")
-    with pytest.raises(SparkRuntimeException):
-        topk.top_k(table).count()
+def test_very_long_vectors_are_multiplied_as_integers(spark):
+    rows = [(0, [1e30, 1.0]), (50, [3.0, -2.0]), (1, [-1e30, 5.0]), (2, [1e30, 7.0]), (3, [2.0, 2.0]), (4, [1e308, 1e308]), (100, [0.0, 3e9]), (5, [1e9, 3e9])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = (1 << 63) - 1
+    big = {i: [int(math.floor(256 * x)) if abs(x) < 1e300 else int(1.7976931348623157e308) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        score = {i: max(-most + 1, min(most, sum(a * b for a, b in zip(big[q], v)))) for i, v in big.items() if i != q}
+        want += [(q, n + 1, i, s) for n, (i, s) in enumerate(sorted(score.items(), key=lambda t: (-t[1], t[0]))[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table).collect()) == sorted(want)
 
 
-def test_pruning_skips_work_and_keeps_results():
+def test_pruning_saves_products():
+    """Clustered vectors of several lengths: most pairs are never multiplied, and nothing is lost."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(20, 32))
+    p = (400 * (centre[rng.integers(20, size=8000)] + 0.1 * rng.normal(size=(8000, 32))) * 1.5 ** rng.integers(-6, 1, 8000)[:, None]).astype(np.int64)
+    order = np.argsort(-(p**2).sum(1), kind="stable")
+    p, ids = p[order], np.arange(8000)
+    q = (400 * (centre[rng.integers(20, size=200)] + 0.1 * rng.normal(size=(200, 32)))).astype(np.int64)
+    s = topk.Searcher(np.arange(10_000, 10_200), q, 5)
+    for i in range(0, 8000, 500):
+        s.block(ids[i : i + 500], p[i : i + 500])
+    full = q @ p.T
+    for r in range(200):
+        assert s.who[r].tolist() == np.lexsort((ids, -full[r]))[:5].tolist()
+    assert s.products < 0.2 * full.size, s.products / full.size
+
+
+def test_blocks_keep_results():
     rng = np.random.default_rng(0)
     q, p = rng.integers(-256, 256, (30, 16)), rng.integers(-256, 256, (5000, 16))
     p[2500:] //= 20
