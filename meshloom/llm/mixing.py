@@ -10,8 +10,9 @@ Targets are powers of the observed shares: 1 keeps a marginal, 0 makes its value
 iterated on; margins are pre-aggregated sums, joined back.
 
 Defined cases: null and empty texts have no tokens and probability 1 (they weigh nothing); null source or language is
-a value of its own, "(none)"; a null id makes its number from the empty text; rows are decided one by one, so repeated
-rows are kept or left together; empty tables give no rows.
+a value of its own, "(none)"; a row with a null id makes its number from its text; rows are decided one by one, so repeated
+rows are kept or left together; very long texts count whole; cells with equal ratios (ties) share a probability; extra
+columns may have any name; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, as_row, text_or_empty
 
 #: Powers of the observed token shares that the three marginals shall have.
 TARGETS = {"mix_source": 0.5, "mix_lang": 0.7, "mix_topic": 0.7}
@@ -27,24 +28,34 @@ TARGETS = {"mix_source": 0.5, "mix_lang": 0.7, "mix_topic": 0.7}
 KEEP = 0.75
 #: Rounds of raking, each of which sets the three marginals in turn.
 ROUNDS = 8
+#: Greatest difference of a marginal from its target that is let stand, and rounds after which it is all the same.
+TOLERANCE, MOST = 1e-6, 40
 
 TOKENS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#$%&*|{}<>=_0-9]"
 
 
 def with_cells(docs: DataFrame, topic=None) -> DataFrame:
-    """Adds mix_tokens, mix_source, mix_lang and mix_topic; topic: a column expression, by default the text's form."""
+    """(row, mix_tokens, mix_source, mix_lang, mix_topic, _number): row holds all columns, _number lies in [0, 1). topic: a
+    column expression; documents without one are told apart by the form of their text."""
     text = text_or_empty()
-    rows = docs.withColumn("mix_tokens", F.regexp_count(text, F.lit(TOKENS)).cast("long"))
-    if topic is None:
-        symbols = F.regexp_count(text, F.lit(SYMBOLS))
-        topic = F.when(symbols * 10 > F.length(text), "symbols").when(F.col("mix_tokens") < 100, "brief").when(F.col("mix_tokens") >= 1000, "long").otherwise("prose")
     none = F.lit("(none)")
-    return rows.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), none), "mix_lang": F.coalesce(F.col("lang").cast("string"), none), "mix_topic": F.coalesce(topic, none)})
-
-
-def raked(cells: DataFrame, scratch: Scratch, targets=TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (the three marginals, tokens > 0) with w: the raked weights, which sum to 1."""
+    own = none if topic is None else topic
+    # a number from the id, or from the text where there is none
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text))
+    number = F.conv(F.substring(F.md5(F.encode(key, "UTF-8")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    rows = docs.select(
+        as_row(docs), F.regexp_count(text, F.lit(TOKENS)).cast("long").alias("mix_tokens"), F.regexp_count(text, F.lit(SYMBOLS)).alias("_symbols"), F.length(text).alias("_chars"),
+        F.coalesce(F.col("source").cast("string"), none).alias("mix_source"), F.coalesce(F.col("lang").cast("string"), none).alias("mix_lang"), own.cast("string").alias("_topic"), number.alias("_number"),
+    )
+    form = F.when(F.col("_symbols") * 10 > F.col("_chars"), "symbols").when(F.col("mix_tokens") < 100, "brief").when(F.col("mix_tokens") >= 1000, "long").otherwise("prose")
+    return rows.withColumn("mix_topic", form if topic is None else F.coalesce("_topic", none)).drop("_symbols", "_chars", "_topic")
+
+
+def raked(cells: DataFrame, scratch: Scratch, targets=TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
+    """cells (the three marginals, tokens > 0) with w: the raked weights, which sum to 1. At least ``rounds`` rounds, and
+    more, up to ``most``, while a marginal is off by more than the tolerance (targets that contradict each other never
+    meet; the last one set holds then)."""
     goals = {}
     for name, power in targets.items():
         share = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("raw"))
@@ -61,13 +72,24 @@ def raked(cells: DataFrame, scratch: Scratch, targets=TARGETS, rounds: int = ROU
                 out = out.join(now[name], name).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
         return out
 
-    for k in range(rounds):
+    for k in range(most):
         for name, goal in goals.items():
             sums = weighted(but=name).groupBy(name).agg(F.sum("w").alias("sum_w"))
             now[name] = scratch.write(f"{name}-{k}", sums.join(goal, name).select(name, (F.col("goal") / F.col("sum_w")).alias("factor")))
+        if k + 1 >= rounds and margin_error(weighted(), goals) <= tolerance:
+            break
     return weighted()
 
 
+def margin_error(weighted: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """The largest difference between a marginal of the weights and its goal; the cells are few."""
+    worst = 0.0
+    for name, goal in goals.items():
+        sums = weighted.groupBy(name).agg(F.sum("w").alias("sum_w")).join(goal, name)
+        worst = max(worst, sums.agg(F.max(F.abs(F.col("sum_w") - F.col("goal")))).first()[0] or 0.0)
+    return worst
+
+
 def probabilities(weighted: DataFrame, keep: float = KEEP) -> DataFrame:
     """Adds probability = min(1, lambda * w / tokens), lambda such that the expected tokens are ``keep`` of all."""
     cells = weighted.withColumn("ratio", F.col("w") / F.col("tokens"))
@@ -83,17 +105,18 @@ def probabilities(weighted: DataFrame, keep: float = KEEP) -> DataFrame:
     return cells.withColumn("probability", F.when(F.col("ratio") >= bound, 1.0).otherwise(F.least(F.lit(1.0), F.col("ratio") * scale)))
 
 
-def mixed(docs: DataFrame, targets=TARGETS, keep: float = KEEP, rounds: int = ROUNDS, topic=None) -> DataFrame:
-    """The kept documents: all their columns with mix_source, mix_lang, mix_topic, mix_tokens and mix_probability."""
+def mixed(docs: DataFrame, targets=TARGETS, keep: float = KEEP, rounds: int | None = None, topic=None) -> DataFrame:
+    """The kept documents: all their columns with mix_source, mix_lang, mix_topic, mix_tokens and mix_probability, which
+    take the place of columns so called. rounds: of raking, exactly; where it isn't given, until the marginals are met."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = with_cells(docs, topic)
     names = list(targets)
     cells = scratch.write("cells", rows.where("mix_tokens > 0").groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")))
-    weights = scratch.write("weights", raked(cells, scratch, targets, rounds))
+    weights = scratch.write("weights", raked(cells, scratch, targets, rounds or ROUNDS, most=rounds or MOST))
     chances = scratch.write("chances", probabilities(weights, keep).select(*names, "probability"))
-    number = F.conv(F.substring(F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     out = rows.join(chances, names, "left").withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.col("probability")).otherwise(1.0))
-    return out.where(number < F.col("mix_probability")).select(*docs.columns, *names, "mix_tokens", "mix_probability")
+    added = [*names, "mix_tokens", "mix_probability"]
+    return out.where(F.col("_number") < F.col("mix_probability")).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def mixing_sql(table: str = "documents", targets=TARGETS, keep: float = KEEP, rounds: int = ROUNDS) -> str:
@@ -105,7 +128,7 @@ WITH d AS (
          CAST(len(regexp_extract_all(coalesce(text, ''), '{TOKENS}')) AS BIGINT) AS mix_tokens
   FROM {table}
 ), t AS (
-  SELECT * EXCLUDE (text), CASE WHEN len(regexp_extract_all(text, '{SYMBOLS}')) * 10 > length(text) THEN 'symbols'
+  SELECT *, CASE WHEN len(regexp_extract_all(text, '{SYMBOLS}')) * 10 > length(text) THEN 'symbols'
          WHEN mix_tokens < 100 THEN 'brief' WHEN mix_tokens >= 1000 THEN 'long' ELSE 'prose' END AS mix_topic
   FROM d
 ), c AS MATERIALIZED (
@@ -133,5 +156,5 @@ WITH d AS (
 ), p AS (SELECT {", ".join(names)}, least(1.0, ratio * scale) AS probability FROM r, l)
 SELECT doc_id, mix_source, mix_lang, mix_topic, mix_tokens, round(CASE WHEN mix_tokens > 0 THEN probability ELSE 1 END, 6) AS probability
 FROM t LEFT JOIN p USING ({", ".join(names)})
-WHERE CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52} < CASE WHEN mix_tokens > 0 THEN probability ELSE 1 END""")
+WHERE CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || text)), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52} < CASE WHEN mix_tokens > 0 THEN probability ELSE 1 END""")
     return ",\n".join(steps)
