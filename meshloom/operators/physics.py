@@ -80,7 +80,8 @@ def balance(k: DataFrame, f: DataFrame, u: DataFrame, fixed: DataFrame) -> DataF
 
 
 def self_consistent(cases: DataFrame, mesh: Mesh, relax: float = 1.0, tolerance: float = 1e-12, most: int = 100) -> DataFrame:
-    """(case_id, t_max, power, iterations, residual, converged) of Joule heating with sigma(T) = s / (1 + a (T - t0)).
+    """(case_id, t_max, power, iterations, change, charge, heat, converged) of Joule heating with sigma(T) = s / (1 + a (T -
+    t0)); charge and heat are the relative imbalances of the ends' currents, and of the power and the heat that leaves.
 
     cases(case_id, sigma, alpha, volts, k, t0): potential 0 left and ``volts`` right, temperature t0 on both. The mesh
     has a fixed size, is read once and sent along; each case is a block Gauss-Seidel iteration in a worker.
@@ -125,11 +126,18 @@ def self_consistent(cases: DataFrame, mesh: Mesh, relax: float = 1.0, tolerance:
                     t, ok, it = t + relax * (new - t), ok1 and ok2, it + 1
                 good = bool(ok and change <= tolerance)
                 power = float((nodal.sum())) if good and it else float("nan")
-                out.append((c.case_id, float(t.max()) if good else float("nan"), power, it, float(change), good))
-            yield pd.DataFrame(out, columns=["case_id", "t_max", "power", "iterations", "change", "converged"])
-
-    out = cases.select("case_id", "sigma", "alpha", "volts", "k", "t0").mapInPandas(run, "case_id long, t_max double, power double, iterations int, change double, converged boolean")
-    return out.fillna(float("nan"), ["t_max", "power"])
+                charge = heat = float("nan")
+                if good and it:
+                    given = np.bincount(row, (local * s.mean(1)[:, None, None]).ravel() * phi[col], n)
+                    moved = np.bincount(row, (local * c.k).ravel() * t[col], n) - np.bincount(tri.ravel(), nodal.ravel(), n)
+                    one, other, gone = given[left].sum(), given[right].sum(), moved[held].sum()
+                    charge = abs(one + other) / max(1e-300, abs(one) + abs(other))
+                    heat = abs(power + gone) / max(1e-300, abs(power) + abs(gone))
+                out.append((c.case_id, float(t.max()) if good else float("nan"), power, it, float(change), charge, heat, good))
+            yield pd.DataFrame(out, columns=["case_id", "t_max", "power", "iterations", "change", "charge", "heat", "converged"])
+
+    out = cases.select("case_id", "sigma", "alpha", "volts", "k", "t0").mapInPandas(run, "case_id long, t_max double, power double, iterations int, change double, charge double, heat double, converged boolean")
+    return out.fillna(float("nan"), ["t_max", "power", "charge", "heat"])
 
 
 #: Vacuum permeability and permittivity.
