@@ -29,7 +29,7 @@ KEEP = 0.75
 #: Rounds of raking, each of which sets the three marginals in turn.
 ROUNDS = 8
 #: Greatest difference of a marginal from its target that is let stand, and rounds after which it is all the same.
-TOLERANCE, MOST = 1e-6, 40
+TOLERANCE, MOST = 1e-6, 16
 
 TOKENS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#$%&*|{}<>=_0-9]"
@@ -54,8 +54,8 @@ def with_cells(docs: DataFrame, topic=None) -> DataFrame:
 
 def raked(cells: DataFrame, scratch: Scratch, targets=TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
     """cells (the three marginals, tokens > 0) with w: the raked weights, which sum to 1. At least ``rounds`` rounds, and
-    more, up to ``most``, while a marginal is off by more than the tolerance (targets that contradict each other never
-    meet; the last one set holds then)."""
+    more, up to ``most``, while a marginal is off by more than the tolerance and a round halves that at least (targets that
+    contradict each other never meet; the last one set holds then)."""
     goals = {}
     for name, power in targets.items():
         share = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("raw"))
@@ -72,22 +72,28 @@ def raked(cells: DataFrame, scratch: Scratch, targets=TARGETS, rounds: int = ROU
                 out = out.join(now[name], name).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
         return out
 
+    before = float("inf")
     for k in range(most):
         for name, goal in goals.items():
             sums = weighted(but=name).groupBy(name).agg(F.sum("w").alias("sum_w"))
             now[name] = scratch.write(f"{name}-{k}", sums.join(goal, name).select(name, (F.col("goal") / F.col("sum_w")).alias("factor")))
-        if k + 1 >= rounds and margin_error(weighted(), goals) <= tolerance:
-            break
+        if rounds <= k + 1 < most:
+            error = margin_error(weighted(), goals)
+            if error <= tolerance or error > before / 2:
+                break
+            before = error
     return weighted()
 
 
 def margin_error(weighted: DataFrame, goals: dict[str, DataFrame]) -> float:
     """The largest difference between a marginal of the weights and its goal; the cells are few."""
-    worst = 0.0
+    rows = weighted.select(F.inline(F.array(*[F.struct(F.lit(n).alias("margin"), F.col(n).alias("value"), "w") for n in goals])))
+    sums = rows.groupBy("margin", "value").agg(F.sum("w").alias("sum_w"))
+    wanted = None
     for name, goal in goals.items():
-        sums = weighted.groupBy(name).agg(F.sum("w").alias("sum_w")).join(goal, name)
-        worst = max(worst, sums.agg(F.max(F.abs(F.col("sum_w") - F.col("goal")))).first()[0] or 0.0)
-    return worst
+        part = goal.select(F.lit(name).alias("margin"), F.col(name).alias("value"), "goal")
+        wanted = part if wanted is None else wanted.unionByName(part)
+    return sums.join(wanted, ["margin", "value"]).agg(F.max(F.abs(F.col("sum_w") - F.col("goal")))).first()[0] or 0.0
 
 
 def probabilities(weighted: DataFrame, keep: float = KEEP) -> DataFrame:
