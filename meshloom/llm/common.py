@@ -71,16 +71,22 @@ def as_row(docs: DataFrame):
 
 
 @contextmanager
-def rows_a_batch(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows for what is written meanwhile: rows that carry long texts, by the thousand,
-    would fill a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for what is written meanwhile."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def few_and_heavy(spark: SparkSession, rows: int):
+    """For rows that carry long texts and take long: Arrow batches of at most so many, as thousands would fill a worker's
+    memory, and all the shuffle's partitions, as their bytes say little about their work."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.adaptive.coalescePartitions.enabled": "false"})
 
 
 def text_or_empty(name: str = "text"):
