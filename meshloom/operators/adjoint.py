@@ -246,7 +246,7 @@ def coupled_gradients(cases: DataFrame, mesh: Mesh, ends: DataFrame) -> DataFram
                 p = {n: float(getattr(c, n)) for n in Coupled.NAMES}
                 wt, wp = np.full(problem.n, 1 / problem.n), np.zeros(problem.n)
                 for name, value in problem.gradient(p, wp, wt).items():
-                    step = 1e-4 * max(1e-3, abs(p[name]))
+                    step = 1e-3 * max(1e-3, abs(p[name]))
                     ends = [problem.functional({**p, name: p[name] + s * step}, wp, wt) for s in (1, -1)]
                     out.append((c.case_id, name, value, (ends[0] - ends[1]) / (2 * step)))
             yield pd.DataFrame(out, columns=["case_id", "parameter", "gradient", "difference"])

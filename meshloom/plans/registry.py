@@ -360,7 +360,7 @@ def self_consistent(spark, sf):
     theta = (F.sqrt(1 + 2 * F.col("alpha") * F.col("sigma") * F.col("volts") * F.col("volts") / (8 * F.col("k"))) - 1) / F.col("alpha")
     near = F.abs(F.col("t_max") - F.col("t0") - theta) <= 0.02 * theta + 1e-6
     still = F.col("power") < 1e-12  # nothing flows: nothing to balance
-    return out.select("case_id", "converged", (still | (F.col("charge") < 1e-9)).alias("charge"), (still | (F.col("heat") < 1e-9)).alias("heat"), near.alias("near"))
+    return out.select("case_id", "converged", (still | (F.col("charge") < 1e-9)).alias("charge"), (still | (F.col("heat") * F.col("power") < 1e-9 * F.col("power") + 1e-6)).alias("heat"), near.alias("near"))
 
 
 @query(f"""WITH c AS ({PART_CASES}), n AS (SELECT id / {float(N)} AS x FROM range({N + 1}) t(id))
