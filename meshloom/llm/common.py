@@ -31,12 +31,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.written: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.written.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -44,6 +46,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+            self.written.discard(name)
+
+    def drop_but(self, *kept: str) -> None:
+        """Deletes all tables written so far but those whose names begin with one of ``kept``."""
+        self.drop(*[n for n in self.written if not n.startswith(kept)])
 
 
 #: Bits of the bitmap that keeps rows out of a shuffle that surely aren't wanted; it is broadcast: 16 MB at most.

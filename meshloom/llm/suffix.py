@@ -367,7 +367,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
     whole = runs.where("kind = 0").select("doc", F.shiftright("p", 39).cast("int").alias("t"), F.expr("shiftright(p, 7) & 4294967295").alias("a"), F.expr("p & 127").cast("long").alias("n"))
     single = level_two(scratch, texts, runs, length, seed)
     flagged = whole.unionByName(single).groupBy("doc", "t").agg(F.collect_set(F.struct("a", "n")).alias("starts"))
-    return scratch, texts, scratch.write("flagged", flagged)
+    flagged = scratch.write("flagged", flagged)
+    scratch.drop_but("flagged")
+    return scratch, texts, flagged
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:

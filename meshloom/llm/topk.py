@@ -286,4 +286,5 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, query_block: int = QUER
         folded = spread.groupBy("query_id").agg(ordered(F.flatten(F.collect_list("best"))).alias("best"))
         folded.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), (-F.col("b.less")).alias("vec_id"), F.col("b.score").alias("score")).write.mode("append").parquet(scratch.path("best"))
         sent.unpersist()
+    scratch.drop("rows", "queries", "candidates")
     return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(scratch.path("best"))
