@@ -53,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = set(scratch.written)
         docs = scratch.write(name, stage(spark, docs, sf_dir))
+        scratch.drop(*before)  # the next stage reads the last one's rows only
     return docs
