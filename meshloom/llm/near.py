@@ -30,7 +30,7 @@ LEAST = 0.8
 RADIUS = 24
 BANDS = 20
 ROWS = 5
-BLOCK = 512
+BLOCK = 256
 #: White space becomes a space, all else stays.
 SPACES = bytes(32 if chr(c).isspace() and c < 128 and c not in (28, 29, 30, 31) else c for c in range(256))
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
