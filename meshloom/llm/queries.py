@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chaining, decontaminate, html, mixing, secrets, simhash, suffix, topk, toxicity, warc
+from . import chaining, decontaminate, html, lines, mixing, secrets, simhash, suffix, topk, toxicity, warc
 
 
 def table(spark, sf_dir, name):
@@ -52,6 +52,10 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark, sf_dir):
+    return lines.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -59,6 +63,7 @@ def queries():
 def oracle_sql():
     return {
         "op5_mixing": mixing.mixing_sql(),
+        "op11_line_dedup": lines.LINES_SQL,
         "op6_norm_bucketed_top_k": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshloom.llm import chaining, decontaminate, html, mixing, near, queries, secrets, simhash, suffix, topk, toxicity, warc
+from meshloom.llm import chaining, decontaminate, html, lines, mixing, near, queries, secrets, simhash, suffix, topk, toxicity, warc
 
 CLASH = (
     "row text_ blob findings digest first original h t doc p e fp node keys n g mine other root component_id fingerprint score predicted held_out toxic"
@@ -56,6 +56,7 @@ OPERATORS = {
     "op8": lambda d, _, b: decontaminate.contaminated(d, b),
     "op9": lambda d, l, _: toxicity.toxicity(d, l),
     "op10": lambda d, *_: simhash.near_duplicates(d),
+    "op11": lambda d, *_: lines.deduplicated(d).drop("kept"),
     "toxic rows": lambda d, l, _: toxicity.scored(d, toxicity.fit(d, l)).select("row.doc_id", "score"),
     "near": lambda d, *_: near.representatives(d).select("doc_id", "text"),
     "simhash rows": lambda d, *_: simhash.representatives(d).select("doc_id", "text"),
@@ -106,8 +107,9 @@ def test_queries_have_the_contracts_columns(spark, sf):
         "op7_warc_round_trip": "page_id payload_bytes payload_digest record_type refers_to",
         "op9_toxicity": "doc_id held_out score predicted",
         "op10_simhash_near_dedup": "doc_id fingerprint component_id",
+        "op11_line_dedup": "doc_id n_lines n_dropped kept_sha256",
     }
     made = queries.queries()
-    assert len(made) == 10
+    assert sorted(int(name[2:].split("_")[0]) for name in made) == list(range(1, len(made) + 1))
     for name, columns in want.items():
         assert made[name](spark, sf).columns == columns.split()
