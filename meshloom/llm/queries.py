@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chaining, decontaminate, html, lines, mixing, secrets, simhash, suffix, topk, toxicity, warc
+from . import chaining, decontaminate, html, lines, mixing, negatives, secrets, simhash, suffix, topk, toxicity, warc
 
 
 def table(spark, sf_dir, name):
@@ -56,6 +56,11 @@ def op11_line_dedup(spark, sf_dir):
     return lines.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.mined(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -64,6 +69,7 @@ def oracle_sql():
     return {
         "op5_mixing": mixing.mixing_sql(),
         "op11_line_dedup": lines.LINES_SQL,
+        "op12_hard_negatives": negatives.NEGATIVES_SQL,
         "op6_norm_bucketed_top_k": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshloom.llm import chaining, decontaminate, html, lines, mixing, near, queries, secrets, simhash, suffix, topk, toxicity, warc
+from meshloom.llm import chaining, decontaminate, html, lines, mixing, near, negatives, queries, secrets, simhash, suffix, topk, toxicity, warc
 
 CLASH = (
     "row text_ blob findings digest first original h t doc p e fp node keys n g mine other root component_id fingerprint score predicted held_out toxic"
@@ -97,6 +97,9 @@ def test_pages_and_vectors(spark):
     assert rows(html.extracted(wide)) == rows(html.extracted(pages)) and rows(warc.round_trip(wide)) == rows(warc.round_trip(pages))
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 120, 10)] + [(0, [0.0, 1.0]), (0, [5.0, 1.0]), (None, [1.0, 1.0]), (7, None)], "vec_id long, embedding array<double>")
     assert rows(topk.top_k(vectors.withColumns({c: F.lit("x") for c in ("v", "d", "x", "bucket", "block")}))) == rows(topk.top_k(vectors))
+    vectors = vectors.withColumn("label", (F.col("vec_id") / 10 % 2).cast("int"))
+    wide = vectors.withColumns({c: F.lit("x") for c in ("d", "x", "list", "a", "w", "n", "key", "dims", "windows", "least", "score")})
+    assert rows(negatives.mined(wide, every=20, low=1, high=99)) == rows(negatives.mined(vectors, every=20, low=1, high=99)) != []
 
 
 def test_queries_have_the_contracts_columns(spark, sf):
@@ -108,6 +111,7 @@ def test_queries_have_the_contracts_columns(spark, sf):
         "op9_toxicity": "doc_id held_out score predicted",
         "op10_simhash_near_dedup": "doc_id fingerprint component_id",
         "op11_line_dedup": "doc_id n_lines n_dropped kept_sha256",
+        "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
     }
     made = queries.queries()
     assert sorted(int(name[2:].split("_")[0]) for name in made) == list(range(1, len(made) + 1))
