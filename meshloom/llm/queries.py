@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chaining, decontaminate, html, lines, mixing, negatives, secrets, simhash, suffix, topk, toxicity, warc
+from . import chaining, decontaminate, html, lines, mixing, negatives, phrases, secrets, simhash, suffix, topk, toxicity, warc
 
 
 def table(spark, sf_dir, name):
@@ -61,6 +61,10 @@ def op12_hard_negatives(spark, sf_dir):
     return negatives.mined(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -70,6 +74,7 @@ def oracle_sql():
         "op5_mixing": mixing.mixing_sql(),
         "op11_line_dedup": lines.LINES_SQL,
         "op12_hard_negatives": negatives.NEGATIVES_SQL,
+        "op13_phrase_collocations": phrases.PHRASES_SQL,
         "op6_norm_bucketed_top_k": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

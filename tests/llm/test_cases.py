@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshloom.llm import chaining, decontaminate, html, lines, mixing, near, negatives, queries, secrets, simhash, suffix, topk, toxicity, warc
+from meshloom.llm import chaining, decontaminate, html, lines, mixing, near, negatives, phrases, queries, secrets, simhash, suffix, topk, toxicity, warc
 
 CLASH = (
     "row text_ blob findings digest first original h t doc p e fp node keys n g mine other root component_id fingerprint score predicted held_out toxic"
@@ -57,6 +57,7 @@ OPERATORS = {
     "op9": lambda d, l, _: toxicity.toxicity(d, l),
     "op10": lambda d, *_: simhash.near_duplicates(d),
     "op11": lambda d, *_: lines.deduplicated(d).drop("kept"),
+    "op13": lambda d, *_: phrases.mined(d, least=2),
     "toxic rows": lambda d, l, _: toxicity.scored(d, toxicity.fit(d, l)).select("row.doc_id", "score"),
     "near": lambda d, *_: near.representatives(d).select("doc_id", "text"),
     "simhash rows": lambda d, *_: simhash.representatives(d).select("doc_id", "text"),
@@ -112,6 +113,7 @@ def test_queries_have_the_contracts_columns(spark, sf):
         "op10_simhash_near_dedup": "doc_id fingerprint component_id",
         "op11_line_dedup": "doc_id n_lines n_dropped kept_sha256",
         "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+        "op13_phrase_collocations": "lang rank phrase a l r n score",
     }
     made = queries.queries()
     assert sorted(int(name[2:].split("_")[0]) for name in made) == list(range(1, len(made) + 1))
