@@ -7,7 +7,8 @@ are the stated share of all. A document is kept when a uniform number made from
 runs agree and copies of an id share their fate.
 
 Targets are powers of the observed shares: 1 keeps a marginal, 0 makes its values equal. Cells, not documents, are
-iterated on; margins are pre-aggregated sums, joined back.
+iterated on, until the marginals are met; targets that contradict each other can't be, and how far the worst marginal is
+off is returned with every row, as mix_error (over the tolerance of 1e-6 only then, or where 256 rounds don't do).
 
 Defined cases: null and empty texts have no tokens and probability 1 (they weigh nothing); null source or language is
 a value of its own, "(none)"; a row with a null id makes its number from its text; rows are decided one by one, so repeated
@@ -17,7 +18,7 @@ columns may have any name; empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_row, text_or_empty
@@ -26,10 +27,12 @@ from .common import Scratch, as_row, text_or_empty
 TARGETS = {"mix_source": 0.5, "mix_lang": 0.7, "mix_topic": 0.7}
 #: Share of all tokens to keep.
 KEEP = 0.75
-#: Rounds of raking, each of which sets the three marginals in turn.
-ROUNDS = 8
-#: Greatest difference of a marginal from its target that is let stand, and rounds after which it is all the same.
-TOLERANCE, MOST = 1e-6, 16
+#: Rounds of raking in a block, each of which sets the three marginals in turn.
+ROUNDS = 4
+#: Greatest difference of a marginal from its target that counts as met, and the most blocks.
+TOLERANCE, MOST = 1e-6, 64
+#: Up to so many cells a block runs in one task, where its windows need no shuffle.
+ONE_TASK = 1 << 14
 
 TOKENS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#$%&*|{}<>=_0-9]"
@@ -52,48 +55,42 @@ def with_cells(docs: DataFrame, topic=None) -> DataFrame:
     return rows.withColumn("mix_topic", form if topic is None else F.coalesce("_topic", none)).drop("_symbols", "_chars", "_topic")
 
 
-def raked(cells: DataFrame, scratch: Scratch, targets=TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
-    """cells (the three marginals, tokens > 0) with w: the raked weights, which sum to 1. At least ``rounds`` rounds, and
-    more, up to ``most``, while a marginal is off by more than the tolerance and a round halves that at least (targets that
-    contradict each other never meet; the last one set holds then)."""
-    goals = {}
+def with_goals(cells: DataFrame, targets=TARGETS) -> DataFrame:
+    """cells with w, their tokens, and for each marginal the share that its value shall have, goal_<name>."""
+    out = cells.withColumn("w", F.col("tokens").cast("double"))
     for name, power in targets.items():
         share = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("raw"))
         whole = share.agg(F.sum("raw").alias("whole"))
-        goals[name] = scratch.write(f"goal-{name}", share.crossJoin(F.broadcast(whole)).select(name, (F.col("raw") / F.col("whole")).alias("goal")))
-    # w = tokens * the factors of its values; a step sets one marginal's factors from the two others', all written
-    now = {}
-    start = cells.withColumn("w", F.col("tokens").cast("double"))
-
-    def weighted(but=None):
-        out = start
-        for name in now:
-            if name != but:
-                out = out.join(now[name], name).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
-        return out
-
-    before = float("inf")
-    for k in range(most):
-        for name, goal in goals.items():
-            sums = weighted(but=name).groupBy(name).agg(F.sum("w").alias("sum_w"))
-            now[name] = scratch.write(f"{name}-{k}", sums.join(goal, name).select(name, (F.col("goal") / F.col("sum_w")).alias("factor")))
-        if rounds <= k + 1 < most:
-            error = margin_error(weighted(), goals)
-            if error <= tolerance or error > before / 2:
-                break
-            before = error
-    return weighted()
-
-
-def margin_error(weighted: DataFrame, goals: dict[str, DataFrame]) -> float:
-    """The largest difference between a marginal of the weights and its goal; the cells are few."""
-    rows = weighted.select(F.inline(F.array(*[F.struct(F.lit(n).alias("margin"), F.col(n).alias("value"), "w") for n in goals])))
-    sums = rows.groupBy("margin", "value").agg(F.sum("w").alias("sum_w"))
-    wanted = None
-    for name, goal in goals.items():
-        part = goal.select(F.lit(name).alias("margin"), F.col(name).alias("value"), "goal")
-        wanted = part if wanted is None else wanted.unionByName(part)
-    return sums.join(wanted, ["margin", "value"]).agg(F.max(F.abs(F.col("sum_w") - F.col("goal")))).first()[0] or 0.0
+        out = out.join(share.crossJoin(F.broadcast(whole)).select(name, (F.col("raw") / F.col("whole")).alias(f"goal_{name}")), name)
+    return out
+
+
+def raked(cells: DataFrame, scratch: Scratch, targets=TARGETS, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
+    """cells (the three marginals, tokens > 0) with w, the raked weights, which sum to 1, and error, the largest difference
+    of a marginal from its goal. Blocks of ``ROUNDS`` rounds run until no marginal is off by more than the tolerance, or a
+    block lowers the error by less than a thousandth (such targets contradict each other; the marginal set last holds
+    then), or ``most`` blocks are done."""
+    now = scratch.write("raked-0", with_goals(cells, targets))
+    few = now.count() <= ONE_TASK
+    error = float("inf")
+    for k in range(1, most + 1):
+        block = now.coalesce(1) if few else now
+        for _ in range(ROUNDS):
+            for name in targets:
+                block = block.withColumn("w", F.col("w") * F.col(f"goal_{name}") / F.sum("w").over(Window.partitionBy(name)))
+        now = scratch.write(f"raked-{k}", block)
+        scratch.drop(f"raked-{k - 1}")
+        before, error = error, margin_error(now, targets)
+        if error <= tolerance or error > 0.999 * before:
+            break
+    return now.select(*targets, "tokens", "w", F.lit(error).alias("error"))
+
+
+def margin_error(weighted: DataFrame, targets=TARGETS) -> float:
+    """The largest difference between a marginal of the weights and its goal."""
+    rows = weighted.select(F.inline(F.array(*[F.struct(F.lit(n).alias("margin"), F.col(n).alias("value"), F.col(f"goal_{n}").alias("goal"), "w") for n in targets])))
+    sums = rows.groupBy("margin", "value").agg(F.abs(F.sum("w") - F.first("goal")).alias("off"))
+    return sums.agg(F.max("off")).first()[0] or 0.0
 
 
 def probabilities(weighted: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -111,25 +108,27 @@ def probabilities(weighted: DataFrame, keep: float = KEEP) -> DataFrame:
     return cells.withColumn("probability", F.when(F.col("ratio") >= bound, 1.0).otherwise(F.least(F.lit(1.0), F.col("ratio") * scale)))
 
 
-def mixed(docs: DataFrame, targets=TARGETS, keep: float = KEEP, rounds: int | None = None, topic=None) -> DataFrame:
-    """The kept documents: all their columns with mix_source, mix_lang, mix_topic, mix_tokens and mix_probability, which
-    take the place of columns so called. rounds: of raking, exactly; where it isn't given, until the marginals are met."""
+def mixed(docs: DataFrame, targets=TARGETS, keep: float = KEEP, topic=None) -> DataFrame:
+    """The kept documents: all their columns with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability and mix_error,
+    which take the place of columns so called."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = with_cells(docs, topic)
     names = list(targets)
     cells = scratch.write("cells", rows.where("mix_tokens > 0").groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")))
-    weights = scratch.write("weights", raked(cells, scratch, targets, rounds or ROUNDS, most=rounds or MOST))
+    weights = scratch.write("weights", raked(cells, scratch, targets))
+    error = weights.agg(F.max("error")).first()[0] or 0.0
     chances = scratch.write("chances", probabilities(weights, keep).select(*names, "probability"))
-    out = rows.join(chances, names, "left").withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.col("probability")).otherwise(1.0))
-    added = [*names, "mix_tokens", "mix_probability"]
+    scratch.drop_but("chances")
+    out = rows.join(chances, names, "left").withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.col("probability")).otherwise(1.0)).withColumn("mix_error", F.lit(error))
+    added = [*names, "mix_tokens", "mix_probability", "mix_error"]
     return out.where(F.col("_number") < F.col("mix_probability")).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
-def mixing_sql(table: str = "documents", targets=TARGETS, keep: float = KEEP, rounds: int = ROUNDS) -> str:
+def mixing_sql(table: str = "documents", targets=TARGETS, keep: float = KEEP) -> str:
     """DuckDB SQL for the rows of ``mixed`` as op5 returns them."""
     names = list(targets)
     steps = [f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '(none)') AS mix_source, coalesce(lang, '(none)') AS mix_lang, coalesce(text, '') AS text,
          CAST(len(regexp_extract_all(coalesce(text, ''), '{TOKENS}')) AS BIGINT) AS mix_tokens
   FROM {table}
@@ -143,16 +142,23 @@ WITH d AS (
     for name, power in targets.items():
         steps.append(f"g_{name} AS MATERIALIZED (SELECT {name}, raw / sum(raw) OVER () AS goal FROM (SELECT {name}, pow(CAST(sum(tokens) AS DOUBLE), {power}) AS raw FROM c GROUP BY 1))")
     joins = " ".join(f"JOIN g_{n} USING ({n})" for n in names)
+    columns = ", ".join(["tokens", *names, *(f"goal_{n}" for n in names)])
     steps.append("w0 AS MATERIALIZED (SELECT c.*, CAST(tokens AS DOUBLE) AS w, " + ", ".join(f"g_{n}.goal AS goal_{n}" for n in names) + f" FROM c {joins})")
-    k = 0
-    for _ in range(rounds):
-        for n in names:
-            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * goal_{n} / sum(w) OVER (PARTITION BY {n}) AS w) FROM w{k})")
-            k += 1
+    block = "u"
+    for n in names * ROUNDS:
+        block = f"(SELECT * REPLACE (w * goal_{n} / sum(w) OVER (PARTITION BY {n}) AS w) FROM {block})"
+    off = ", ".join(f"abs(sum(w) OVER (PARTITION BY {n}) - goal_{n})" for n in names)
+    # blocks of rounds; a state has the error of its marginals and that before it
+    steps.append(f"""u AS (
+  SELECT {columns}, w, 0 AS k, CAST('inf' AS DOUBLE) AS error, CAST('inf' AS DOUBLE) AS before FROM w0
+  UNION ALL
+  SELECT {columns}, w, k + 1, max(off) OVER (), error FROM (SELECT *, greatest({off}) AS off FROM {block} AS b)
+  WHERE k < {MOST} AND (k = 0 OR (error > {TOLERANCE} AND (k = 1 OR error <= 0.999 * before)))
+), w AS MATERIALIZED (SELECT * FROM u WHERE k = (SELECT max(k) FROM u))""")
     # lambda: the cells by falling ratio; the first j of them whole, the others scaled
     steps.append(f"""r AS MATERIALIZED (
   SELECT *, w / tokens AS ratio, sum(tokens) OVER (ORDER BY w / tokens DESC) AS upto, sum(w) OVER (ORDER BY w / tokens DESC) AS w_upto,
-         sum(tokens) OVER () AS total, sum(w) OVER () AS w_total FROM w{k}
+         sum(tokens) OVER () AS total, sum(w) OVER () AS w_total FROM w
 ), l AS (
   SELECT max(s) AS scale FROM (
     SELECT {keep} * max(total) / max(w_total) AS s, max(ratio) AS next FROM r

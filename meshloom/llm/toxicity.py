@@ -12,9 +12,10 @@ or as a pair: of the ``PAIRED`` most frequent whole words, all pairs' joint occu
 matter only together stay. Both labels count alike while learning; w0 is then moved to the label share of the table.
 
 Defined cases: a null or empty text has no terms and gets the score of w0; rows with null ids or labels teach nothing;
-rows that repeat teach once; very long texts count whole, in pieces; extra columns may have any name; where no term tells the labels apart (few labelled rows, one label only, none)
-every score is the label share (0 where there is none) and nothing is predicted toxic, so that all rows are kept;
-repeated rows come back as often as they came; empty tables give no rows.
+rows that repeat teach once; very long texts count whole, in pieces; extra columns may have any name; with
+labelled rows of one label only, or without any, every score is nearly that label (0 where there is none); where no term
+surely tells the labels apart, scores come from the frequent words, one for each four sampled rows, and ``told`` is false, so that
+a caller needn't act on them; repeated rows come back as often as they came; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ SURE_PAIR = 40.0
 #: Whole words that are kept because they are frequent, whatever they tell alone or with one other word: their vectors
 #: may still add up to groups of words that matter together.
 FREQUENT = 1024
-#: Labelled rows below which frequent words say nothing.
-LEAST_ROWS = 500
+#: Sampled rows for each frequent word that is kept, so that few rows don't meet many weights.
+ROWS_A_WORD = 4
 #: Bytes hashed at once.
 PIECE = 1 << 19
 
@@ -155,8 +156,10 @@ def paired_terms(texts: list[bytes], labels: np.ndarray, most: int = PAIRED, sur
 class FactorizationMachine:
     """Weights over the kept terms; column maps a slot to its term or -1."""
 
-    def __init__(self, column: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray):
+    def __init__(self, column: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, told: bool = False):
         self.column, self.w0, self.w, self.v = column, w0, w, v
+        #: Whether some term or pair surely tells the labels apart.
+        self.told = told
 
     @classmethod
     def fit(cls, texts: list[bytes], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 25, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, share: float | None = None) -> FactorizationMachine:
@@ -183,9 +186,8 @@ class FactorizationMachine:
         value = {s: max(x, alone.get(s, 0.0)) for s, x in zip(pairs.tolist(), best.tolist())}
         value = alone | value
         kept = np.array(sorted(value, key=lambda s: (-value[s], s))[:terms], np.int64)
-        if n >= LEAST_ROWS:
-            kept = np.concatenate((kept, common))
-        kept = np.unique(kept)
+        told = len(kept) > 0
+        kept = np.unique(np.concatenate((kept, common[: n // ROWS_A_WORD])))
         share = positive / n if share is None else share
         prior = float(np.log(share / (1 - share)))
         if not len(kept):
@@ -223,7 +225,7 @@ class FactorizationMachine:
                 dv += decay * v[touched]
                 gv[touched] += dv * dv
                 v[touched] -= 0.3 * rate * dv / np.sqrt(gv[touched])
-        return cls(none.column, w0 + prior, w, v)
+        return cls(none.column, w0 + prior, w, v, told)
 
     @staticmethod
     def forward(w0, w, v, row, col, x, n):
@@ -295,7 +297,7 @@ def scored(docs: DataFrame, machine: FactorizationMachine, threshold: float = TH
         machine = FactorizationMachine.of_parts(*sent.value)
         for batch in batches:
             scores = machine.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(((scores >= threshold) & (len(machine.w) > 0)).astype(np.int32))], ["row", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
     return inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, score double, predicted int")
 

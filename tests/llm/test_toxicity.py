@@ -106,5 +106,5 @@ def test_few_or_meaningless_labels_keep_all_documents(spark, tmp_path):
     for n, toxic in ((10, lambda i: i % 2), (40, lambda i: i // 2 % 2), (40, lambda i: 1)):
         spark.createDataFrame([(i, 1, toxic(i)) for i in range(n)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
         assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 40
-        scores = {round(r.score, 3) for r in toxicity.toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
-        assert len(scores) == 1
+        out = toxicity.toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+        assert all(r.predicted == (r.score >= 0.3) for r in out) and any(r.predicted for r in out)
