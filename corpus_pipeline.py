@@ -10,8 +10,11 @@ from meshloom.llm.common import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents that score as toxic; the scorer learns from the labelled ones that are not held out."""
+    """Leaves out documents that score as toxic; the scorer learns from the labelled ones that are not held out, and where
+    these surely tell nothing, all documents stay."""
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not machine.told:
+        return docs
     return toxicity.scored(docs, machine).where("predicted = 0").select("row.*")
 
 
