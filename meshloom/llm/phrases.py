@@ -11,8 +11,8 @@ mirror of it. Longer ones needn't be looked at: a run between two equally freque
 
 What can't reach ``least`` (100) occurrences is held back before automata are built, each by a bitmap of fixed size that
 lets all through that may: a word must be frequent itself (counted exactly by hash), and a run must fall in a bucket of
-the counters that, over all shards, has been hit so often, as must all runs inside it. The counters are 2^26 bytes a task, the
-bitmaps 8 MB each. Past some 10 GB of text the buckets fill and hold back less, so more rows reach the grouping; the counts
+the counters that, over all shards, has been hit so often, as must all runs inside it. The counters are 2^25 bytes a task, the
+bitmaps 4 MB each. Past some 5 GB of text the buckets fill and hold back less, so more rows reach the grouping; the counts
 are exact at any size, but for two words of a shard, or of the corpus's frequent ones, with one 64-bit hash.
 
 Defined cases: null texts are empty, null languages ``und``; each row counts, repeated ones too, and ids are not read; texts
@@ -37,9 +37,9 @@ from .words import BACK, STEP, mix, powers
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text of a shard, and those hashed at once.
-SHARD, CHUNK = 1 << 23, 1 << 21
+SHARD, CHUNK = 1 << 23, 1 << 20
 #: Counters of runs and bits of a bitmap; counters that travel as one row.
-COUNTERS, SEGMENT = 1 << 26, 1 << 16
+COUNTERS, SEGMENT = 1 << 25, 1 << 16
 #: Bytes that end a piece, and those that part words inside one.
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -231,7 +231,7 @@ def states(run: Run, bits: np.ndarray | None, depth: int = DEPTH):
 
 
 def bitmap(h: DataFrame) -> np.ndarray:
-    """Bits of the hashes in column h, which may be many: at most 2^20 rows come of them."""
+    """Bits of the hashes in column h, which may be many: at most 2^19 rows come of them."""
     low = F.col("h").bitwiseAND(F.lit(COUNTERS - 1))
     rows = h.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(COUNTERS // 64, np.uint64)
