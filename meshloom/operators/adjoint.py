@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import elements as el
 
 from . import assembly as asm
-from . import solve
+from . import krylov
 from .mesh import Mesh, geometry
 from .tables import Tables
 
@@ -61,9 +61,7 @@ class ScalarState:
         self.u = self.tables.write("u", self.solved(*asm.dirichlet(self.k, self.f, self.fixed), "u"))
 
     def solved(self, k: DataFrame, f: DataFrame, name: str) -> DataFrame:
-        case = F.lit(0).cast("long")
-        out = solve.solve_cases(k.withColumn("case_id", case), f.withColumn("case_id", case))
-        return out.select("node_id", F.col("u").alias(name))
+        return krylov.solved(k, f).select("node_id", F.col("u").alias(name))
 
     def multiplier(self, cotangent: DataFrame, name: str = "lam") -> DataFrame:
         """(node_id, lam): K lam = w on free nodes, 0 on held ones (K is symmetric)."""

@@ -2,7 +2,7 @@
 solved by a Cholesky factor whose size is bounded and checked.
 
 Vectors and matrices of the fine levels are tables; restriction, prolongation and Galerkin products are joins and sums.
-For systems that fit a worker, the same preconditioner runs on arrays in one group (``pcg_multilevel``).
+Vectors may have a case_id: all cases share the hierarchy.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from . import assembly as asm
 from .mesh import ContractError
-from .solve import CgPolicy, solve_large
+from .krylov import solve_large
+from .solve import CgPolicy
 from .tables import Tables
 
 
@@ -39,14 +40,18 @@ def free_transfer(transfer: DataFrame, fine_free: DataFrame, coarse_free: DataFr
     return transfer.join(fine_free.withColumnRenamed("node_id", "fine"), "fine", "left_semi").join(coarse_free.withColumnRenamed("node_id", "coarse"), "coarse", "left_semi")
 
 
+def of_case(vector: DataFrame) -> list[str]:
+    return [c for c in vector.columns if c == "case_id"]
+
+
 def restrict(transfer: DataFrame, r: DataFrame) -> DataFrame:
-    """(node_id, r) = P^T r on the coarse level."""
-    return r.join(transfer, r.node_id == transfer.fine).groupBy(F.col("coarse").alias("node_id")).agg(F.sum(F.col("w") * F.col("r")).alias("r"))
+    """([case_id,] node_id, r) = P^T r on the coarse level."""
+    return r.join(transfer, r.node_id == transfer.fine).groupBy(*of_case(r), F.col("coarse").alias("node_id")).agg(F.sum(F.col("w") * F.col("r")).alias("r"))
 
 
 def prolong(transfer: DataFrame, z: DataFrame) -> DataFrame:
-    """(node_id, z) = P z on the fine level."""
-    return z.join(transfer, z.node_id == transfer.coarse).groupBy(F.col("fine").alias("node_id")).agg(F.sum(F.col("w") * F.col("z")).alias("z"))
+    """([case_id,] node_id, z) = P z on the fine level."""
+    return z.join(transfer, z.node_id == transfer.coarse).groupBy(*of_case(z), F.col("fine").alias("node_id")).agg(F.sum(F.col("w") * F.col("z")).alias("z"))
 
 
 def jacobi(matrix: DataFrame, least: float = 1e-14) -> DataFrame:
@@ -107,27 +112,29 @@ def prepare(matrix: DataFrame, transfers: list[DataFrame], policy: MultilevelPol
 
 
 def coarse_solve(h: Hierarchy, r: DataFrame) -> DataFrame:
-    """(node_id, z) on the coarsest level: its residual has a bounded number of rows and is collected to one group."""
-    ids, inverse = h.ids, h.inverse
+    """([case_id,] node_id, z) on the coarsest level: a residual of it has a bounded number of rows, one group a case."""
+    ids, inverse, case = h.ids, h.inverse, of_case(r)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         full = np.zeros(len(ids))
         full[np.searchsorted(ids, part["node_id"])] = part["r"]
-        return pd.DataFrame({"node_id": ids, "z": inverse @ full})
+        out = pd.DataFrame({"node_id": ids, "z": inverse @ full})
+        return out.assign(case_id=part["case_id"].iloc[0])[["case_id", "node_id", "z"]] if case else out
 
-    return r.groupBy(F.lit(0).alias("_one")).applyInPandas(run, "node_id long, z double")
+    return r.groupBy(*(case or [F.lit(0).alias("_one")])).applyInPandas(run, ("case_id long, " if case else "") + "node_id long, z double")
 
 
 def preconditioner(h: Hierarchy):
-    """A function from (node_id, r) to (node_id, z)."""
+    """A function from ([case_id,] node_id, r) to ([case_id,] node_id, z)."""
     diagonals = [jacobi(m, h.policy.least_diagonal) for m in h.matrices[:-1]]
 
     def apply(r: DataFrame, level: int = 0) -> DataFrame:
         if level == len(h.transfers):
             return coarse_solve(h, r)
-        own = r.join(diagonals[level], "node_id").select("node_id", (h.policy.diagonal_weight * F.col("r") / F.col("d")).alias("z"))
+        keys = [*of_case(r), "node_id"]
+        own = r.join(diagonals[level], "node_id").select(*keys, (h.policy.diagonal_weight * F.col("r") / F.col("d")).alias("z"))
         below = prolong(h.transfers[level], apply(restrict(h.transfers[level], r), level + 1))
-        return own.unionByName(below).groupBy("node_id").agg(F.sum("z").alias("z"))
+        return own.unionByName(below).groupBy(*keys).agg(F.sum("z").alias("z"))
 
     return apply
 
@@ -137,80 +144,3 @@ def solve(matrix: DataFrame, load: DataFrame, transfers: list[DataFrame], policy
     h = prepare(matrix, transfers, policy)
     u, report = solve_large(matrix, load, cg, preconditioner(h))
     return u, report | h.found
-
-
-def pcg_multilevel(matrix: DataFrame, load: DataFrame, transfers: list[DataFrame], policy: MultilevelPolicy = MultilevelPolicy(), cg: CgPolicy = CgPolicy(relative=1e-12)) -> DataFrame:
-    """(node_id, u, iterations, plain_iterations, backward_error, converged) on arrays in one group, beside plain CG."""
-    tables = [matrix.select(F.lit(0).alias("kind"), "row", "col", "v"), load.select(F.lit(-1).alias("kind"), "row", F.col("row").alias("col"), "v")]
-    tables += [p.select(F.lit(k + 1).alias("kind"), F.col("fine").alias("row"), F.col("coarse").alias("col"), F.col("w").alias("v")) for k, p in enumerate(transfers)]
-    rows = tables[0]
-    for t in tables[1:]:
-        rows = rows.unionByName(t)
-    levels = len(transfers)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        def of(kind):
-            t = part[part["kind"] == kind]
-            return t["row"].to_numpy(), t["col"].to_numpy(), t["v"].to_numpy()
-
-        r, c, v = of(0)
-        ids = [np.unique(r)]
-        mats = [(np.searchsorted(ids[0], r), np.searchsorted(ids[0], c), v)]
-        ps = []
-        for k in range(levels):
-            f, co, w = of(k + 1)
-            ids.append(np.unique(co))
-            ps.append((np.searchsorted(ids[k], f), np.searchsorted(ids[k + 1], co), w))
-        br, _, bv = of(-1)
-        b = np.bincount(np.searchsorted(ids[0], br), bv, len(ids[0]))
-
-        def product(k, x):
-            i, j, w = mats[k]
-            return np.bincount(i, w * x[j], len(ids[k]))
-
-        def down(k, x):
-            f, co, w = ps[k]
-            return np.bincount(co, w * x[f], len(ids[k + 1]))
-
-        def up(k, x):
-            f, co, w = ps[k]
-            return np.bincount(f, w * x[co], len(ids[k]))
-
-        for k in range(levels):  # P^T K P, column by column of the coarse level
-            n = len(ids[k + 1])
-            dense = np.stack([down(k, product(k, up(k, e))) for e in np.eye(n)], 1)
-            i, j = np.nonzero(dense)
-            mats.append((i, j, dense[i, j]))
-        admitted(dense, policy)
-        factor = np.linalg.inv(np.linalg.cholesky((dense + dense.T) / 2))
-        inverse = factor.T @ factor
-        diags = [np.bincount(i[i == j], w[i == j], len(n)) for (i, j, w), n in zip(mats, ids)]
-
-        def additive(r, k=0):
-            if k == levels:
-                return inverse @ r
-            return policy.diagonal_weight * r / diags[k] + up(k, additive(down(k, r), k + 1))
-
-        def cg_run(precondition):
-            x, res = np.zeros(len(b)), b.copy()
-            z = precondition(res)
-            p, rz, n = z.copy(), res @ z, 0
-            while res @ res > cg.relative**2 * (b @ b) and n < cg.most:
-                q = product(0, p)
-                a = rz / (p @ q)
-                x, res = x + a * p, res - a * q
-                z = precondition(res)
-                rz, old = res @ z, rz
-                p, n = z + rz / old * p, n + 1
-            return x, n
-
-        x, n = cg_run(additive)
-        _, plain = cg_run(lambda r: r)
-        i, j, w = mats[0]
-        scale = np.linalg.norm(np.bincount(i, np.abs(w) * np.abs(x)[j], len(b)) + np.abs(b))
-        error = float(np.linalg.norm(b - product(0, x)) / scale) if scale else 0.0
-        ok = error <= cg.backward
-        return pd.DataFrame({"node_id": ids[0], "u": x if ok else np.nan, "iterations": n, "plain_iterations": plain, "backward_error": error, "converged": ok})
-
-    out = rows.groupBy(F.lit(0).alias("_one")).applyInPandas(run, "node_id long, u double, iterations int, plain_iterations int, backward_error double, converged boolean")
-    return out.fillna(float("nan"), ["u"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import elements as el
 
 from . import assembly as asm
-from . import solve
+from . import krylov, solve
 from .mesh import Mesh, edge_map, geometry
 from .tables import Tables
 
@@ -32,13 +32,14 @@ def basis(mesh: Mesh) -> DataFrame:
     k, f = tables.write("K", asm.stiffness(g, F.lit(1.0))), asm.load(g, F.lit(1.0))
     ends = side_nodes(mesh, "left", "right").groupBy("node_id").agg(*[F.max((F.col("name") == s).cast("double")).alias(f"u_{s}") for s in ("left", "right")])
     ends = tables.write("ends", ends)
-    # one elimination for all three right-hand sides
+    # one elimination for all three right-hand sides, which share the matrix
     free = k.join(ends.select(F.col("node_id").alias("row")), "row", "left_anti")
     at = free.join(ends.withColumnRenamed("node_id", "col").withColumn("held", F.lit(True)), "col", "left")
     moved = at.groupBy("row").agg(*[(-F.sum(F.col("v") * F.coalesce(c, F.lit(0.0)))).alias(c) for c in ("u_left", "u_right")])
-    loads = moved.join(f.withColumnRenamed("v", "u_source"), "row")
     names = ["u_source", "u_left", "u_right"]
-    inner = solve.solve_columns(tables.write("A", at.where("held IS NULL").select("row", "col", "v")), tables.write("loads", loads), names)
+    loads = moved.join(f.withColumnRenamed("v", "u_source"), "row").select("row", F.posexplode(F.array(*names)).alias("case_id", "v"))
+    out = krylov.conjugate_gradients(at.where("held IS NULL").select("row", "col", "v"), tables.write("loads", loads.withColumn("case_id", F.col("case_id").cast("long"))), solve.CgPolicy(relative=1e-13, most=10_000))
+    inner = out.groupBy("node_id").agg(*[F.max(F.when(F.col("case_id") == k, F.col("u"))).alias(n) for k, n in enumerate(names)])
     held = ends.select("node_id", F.lit(0.0).alias("u_source"), "u_left", "u_right")
     return tables.write("responses", inner.unionByName(held).join(mesh.nodes, "node_id"))
 

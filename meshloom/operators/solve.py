@@ -1,4 +1,4 @@
-"""Solvers: one Arrow group per case for systems that fit a worker, a driver loop over tables for larger ones.
+"""Solvers of many small systems, one Arrow group per case; ``krylov`` has those of any size, over tables.
 
 Every solution carries its recomputed residual and a converged flag; what isn't admitted is NaN.
 """
@@ -12,9 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assembly import matvec
 from .mesh import ContractError
-from .tables import Tables
 
 
 @dataclass(frozen=True)
@@ -74,69 +72,6 @@ def solve_cases(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy()) -> Da
     return out.withColumn("u", F.coalesce("u", F.lit(float("nan"))))  # NaN leaves pandas as null
 
 
-def solve_columns(k: DataFrame, b: DataFrame, names: list[str], policy: CgPolicy = CgPolicy()) -> DataFrame:
-    """(node_id, <names>) of one matrix K(row, col, v) and several right-hand sides b(row, <names>), in one group."""
-    one = F.lit(0).alias("case_id")
-
-    def solve(matrix: pd.DataFrame, loads: pd.DataFrame) -> pd.DataFrame:
-        ids = np.union1d(matrix["row"].to_numpy(), loads["row"].to_numpy())
-        row, col = (np.searchsorted(ids, matrix[c].to_numpy()) for c in ("row", "col"))
-        out = {"node_id": ids}
-        for name in names:
-            rhs = np.bincount(np.searchsorted(ids, loads["row"].to_numpy()), loads[name].to_numpy(), len(ids))
-            out[name] = pcg(row, col, matrix["v"].to_numpy(), rhs, policy)[0]
-        return pd.DataFrame(out)
-
-    out = fresh(k.select(one, "row", "col", "v")).groupBy("case_id").cogroup(fresh(b.select(one, "row", *names)).groupBy("case_id"))
-    out = out.applyInPandas(solve, "node_id long, " + ", ".join(f"{n} double" for n in names))
-    return out.fillna(float("nan"), names)
-
-
-def solve_large(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-10, most=500), precondition=None) -> tuple[DataFrame, dict]:
-    """PCG whose vectors are tables: an iteration is one product, one written state and two rows of dot products.
-
-    precondition(r) maps (node_id, r) to (node_id, z); the diagonal's inverse where it is None. States that nothing reads
-    any more are deleted. Of K, which is written once by column, no iteration shuffles more than the vectors.
-    """
-    spark = k.sparkSession
-    tables = Tables(spark, "cg")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = tables.write("K", k.repartition(parts, "col"))
-    diag = k.where("row = col").select(F.col("row").alias("node_id"), F.col("v").alias("d"))
-
-    def with_z(state):
-        if precondition is None:
-            return state.withColumn("z", F.col("r") / F.col("d"))
-        return state.join(precondition(state.select("node_id", "r")), "node_id")
-
-    state = diag.join(f.select(F.col("row").alias("node_id"), F.col("v").alias("b")), "node_id", "left").select("node_id", "d", F.coalesce("b", F.lit(0.0)).alias("b"))
-    state = tables.write("s0", with_z(state.select("*", F.lit(0.0).alias("x"), F.col("b").alias("r"))).withColumn("p", F.col("z")))
-    bb, rz = state.agg(F.sum(F.col("b") * F.col("b")), F.sum(F.col("r") * F.col("z"))).first()
-    target, rr, n = max(policy.relative**2 * (bb or 0.0), policy.absolute**2), bb or 0.0, 0
-    while rr > target and n < policy.most:
-        q = matvec(k, state.select("node_id", F.col("p").alias("u"))).withColumnsRenamed({"row": "node_id", "v": "q"})
-        with_q = tables.write(f"q{n}", state.drop("z").join(q, "node_id", "left").fillna(0.0, ["q"]))
-        curve = with_q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        if not curve > 0:
-            break
-        a = rz / curve
-        moved = with_z(with_q.withColumns({"x": F.col("x") + a * F.col("p"), "r": F.col("r") - a * F.col("q")}).drop("q"))
-        if precondition is not None:
-            moved = tables.write(f"z{n}", moved)
-        rr, new = moved.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("z"))).first()
-        state = tables.write(f"s{n + 1}", moved.withColumn("p", F.col("z") + new / rz * F.col("p")))
-        tables.drop(f"s{n}", f"q{n}", f"z{n}")
-        rz, n = new, n + 1
-    x = state.select("node_id", F.col("x").alias("u"))
-    size = k.select("row", "col", F.abs("v").alias("v"))
-    ax, aax = matvec(k, x), matvec(size, x.withColumn("u", F.abs("u"))).withColumnRenamed("v", "s")
-    check = state.join(ax, state.node_id == ax.row, "left").drop("row").join(aax, state.node_id == aax.row, "left")
-    res, scale = check.agg(F.sqrt(F.sum(F.pow(F.col("b") - F.coalesce("v", F.lit(0.0)), 2.0))), F.sqrt(F.sum(F.pow(F.coalesce("s", F.lit(0.0)) + F.abs("b"), 2.0)))).first()
-    error = res / scale if scale else 0.0
-    ok = error <= policy.backward
-    return (x if ok else x.withColumn("u", F.lit(float("nan")))), {"iterations": n, "backward_error": error, "converged": ok}
-
-
 def assert_converged(report: dict) -> dict:
     """The report, or an error where the solution was not admitted."""
     if not report["converged"]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import assembly as asm
-from . import port, solve
+from . import krylov, port
 from .contracts import Capabilities, Parameter, Reference, constraints, free_nodes, on_cells, repeats, resolve
 from .evidence import digest
 from .mesh import ContractError, Mesh, geometry, validate
@@ -279,9 +279,7 @@ def steady_solution(problem: Steady, mesh: Mesh, parameters: dict[str, Parameter
         measured = asm.facet_measure(mesh.facets.join(flux, "facet_id", "left_semi"), mesh.nodes).join(flux, "facet_id")
         f = asm.add(f, asm.flux_load(measured, F.col("g")))
     f = tables.write("f", f)
-    case = F.lit(0).cast("long")
-    kk, ff = asm.dirichlet(k, f, held)
-    u = tables.write("u", solve.solve_cases(kk.withColumn("case_id", case), ff.withColumn("case_id", case)).select("node_id", "u"))
+    u = tables.write("u", krylov.solved(*asm.dirichlet(k, f, held)))
     return u, k, f, held, cells
 
 

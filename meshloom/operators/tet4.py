@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import assembly as asm
-from . import solve
+from . import krylov
 from .mesh import ContractError, Mesh, boundary_facets, components, geometry, sides
 from .physics import joule
 from .tables import Tables
@@ -87,11 +87,6 @@ def prepare(plan: Plan) -> Plan:
     return Plan(plan.mesh, conductor, tables.write("thermal", plan.thermal), potential, temperature, tables.write("robin", plan.robin))
 
 
-def one_case(k: DataFrame, f: DataFrame) -> DataFrame:
-    case = F.lit(0).cast("long")
-    return solve.solve_cases(k.withColumn("case_id", case), f.withColumn("case_id", case)).select("node_id", "u")
-
-
 def reaction(k: DataFrame, f: DataFrame, u: DataFrame, fixed: DataFrame) -> DataFrame:
     """(node_id, r): K u - f at the held nodes."""
     ku = k.join(u.select(F.col("node_id").alias("col"), "u"), "col").groupBy("row").agg(F.sum(F.col("v") * F.col("u")).alias("ku"))
@@ -107,7 +102,7 @@ def solve_plan(plan: Plan) -> dict[str, DataFrame]:
     inner = g.join(conductor, "cell_id")
     k1 = tables.write("k1", asm.stiffness(inner, F.col("sigma")))
     zero = k1.select("row").distinct().withColumn("v", F.lit(0.0))
-    phi = tables.write("potential", one_case(*asm.dirichlet(k1, zero, plan.potential.join(zero.select(F.col("row").alias("node_id")), "node_id", "left_semi"))))
+    phi = tables.write("potential", krylov.solved(*asm.dirichlet(k1, zero, plan.potential.join(zero.select(F.col("row").alias("node_id")), "node_id", "left_semi"))))
     part = Mesh(plan.mesh.nodes, plan.mesh.cells.join(conductor.select("cell_id"), "cell_id", "left_semi"))
     field = tables.write("field", joule(part, phi, conductor))
     heat = tables.write("heat", g.select("cell_id", "volume").join(field.select("cell_id", "heat"), "cell_id", "left").select("cell_id", "volume", F.coalesce("heat", F.lit(0.0)).alias("heat")))
@@ -116,7 +111,7 @@ def solve_plan(plan: Plan) -> dict[str, DataFrame]:
     measured = asm.facet_measure(plan.robin.select("facet_id", "nodes"), plan.mesh.nodes).join(plan.robin.select("facet_id", "h", "ambient"), "facet_id")
     kr, fr = asm.robin(measured, F.col("h"), F.col("ambient"))
     k2, f2 = tables.write("k2", asm.add(k2, kr)), tables.write("f2", asm.add(f2, fr))
-    temperature = tables.write("temperature", one_case(*asm.dirichlet(k2, f2, plan.temperature)))
+    temperature = tables.write("temperature", krylov.solved(*asm.dirichlet(k2, f2, plan.temperature)))
     r1 = tables.write("r1", reaction(k1, zero, phi, plan.potential)).join(plan.potential, "node_id")
     charge = r1.agg(F.abs(F.sum("r")).alias("a"), F.sum(F.abs("r")).alias("b"), F.sum(F.col("r") * F.col("value")).alias("supplied")).select((F.col("a") / F.col("b")).alias("charge"), "supplied")
     power = field.agg(F.sum(F.col("size") * F.col("heat")).alias("power"))

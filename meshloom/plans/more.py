@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import elements as el
 from meshloom.functions import scalars as sc
 from meshloom.operators import assembly as asm
-from meshloom.operators import contracts, mesh, physics, solve, transfer
+from meshloom.operators import contracts, krylov, mesh, physics, transfer
 from meshloom.plans.registry import EDGES_SQL, GK_SQL, N, STIFF_SQL, box_sql, dot, pair_sql, query, r9, square_sql, square_with_tables, table
 
 
@@ -131,8 +131,7 @@ def interface_solve(spark, sf):
     g = mesh.geometry(m)
     fixed = contracts.constraints(m, {"left": 0.0, "right": 1.0})
     k, f = asm.dirichlet(asm.stiffness(g, F.when(F.col("x0") + F.col("x1") + F.col("x2") < 1.5, 2.0).otherwise(1.0)), asm.load(g, F.lit(0.0)), fixed)
-    case = F.lit(0).cast("long")
-    return solve.solve_cases(k.withColumn("case_id", case), f.withColumn("case_id", case)).select("node_id", r9(F.col("u")).alias("t"))
+    return krylov.solved(k, f).select("node_id", r9(F.col("u")).alias("t"))
 
 
 @query(f"""WITH {square_sql(4)}, {EDGES_SQL}, ids AS (SELECT lo, hi, row_number() OVER (ORDER BY lo, hi) - 1 AS edge_id FROM (SELECT DISTINCT lo, hi FROM ce)),

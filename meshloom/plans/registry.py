@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import elements as el
 from meshloom.functions import scalars as sc
 from meshloom.operators import assembly as asm
-from meshloom.operators import evidence, mesh, physics, solve, transfer
+from meshloom.operators import evidence, krylov, mesh, physics, transfer
 
 N = 8
 
@@ -345,7 +345,7 @@ def electrothermal(spark, sf):
     k, f = asm.stiffness(heat, F.lit(1.0)), asm.load(heat, F.col("heat"))
     ends = physics.side_nodes(m, "left", "right").select("node_id", F.lit(0.0).alias("value")).distinct()
     kk, ff = asm.dirichlet(k, f, ends)
-    rise = solve.solve_cases(kk.withColumn("case_id", F.lit(0).cast("long")), ff.withColumn("case_id", F.lit(0).cast("long"))).agg(F.max("u").alias("rise"))
+    rise = krylov.solved(kk, ff).agg(F.max("u").alias("rise"))
     one = F.broadcast(totals.crossJoin(rise))
     s, v = F.col("sigma"), F.col("volts")
     return conductors(spark, sf).crossJoin(one).select("case_id", F.round(s * v * v * F.col("p1"), 6).alias("power"), (F.round(s * v * F.col("i1"), 6) + 0.0).alias("current"), F.round(300 + s * v * v * F.col("rise") / 100, 6).alias("t_max"))
@@ -373,7 +373,7 @@ def adjoint_gradient(spark, sf):
     ends = physics.side_nodes(m, "left", "right").select("node_id", F.lit(0.0).alias("value")).distinct()
     seeds = m.nodes.select(F.col("node_id").alias("row"), F.lit(1.0 / (N + 1) ** 2).alias("v"))
     kk, ff = asm.dirichlet(k, seeds, ends)
-    lam = solve.solve_cases(kk.withColumn("case_id", F.lit(0).cast("long")), ff.withColumn("case_id", F.lit(0).cast("long"))).select("node_id", F.col("u").alias("lam"))
+    lam = krylov.solved(kk, ff).select("node_id", F.col("u").alias("lam"))
     # k (K u) = q f on free rows: dJ/dk = -lam.K u / k = -q lam.f / k^2 and dJ/dq = lam.f / k
     weight = lam.join(f, lam.node_id == f.row).agg(F.sum(F.col("lam") * F.col("v")).alias("lf"))
     return part_cases(spark, sf).crossJoin(F.broadcast(weight)).select("case_id", (F.round(-F.col("q") * F.col("lf") / (F.col("k") * F.col("k")), 12) + 0.0).alias("d_k"), F.round(F.col("lf") / F.col("k"), 12).alias("d_q"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meshloom.functions import elements as el
 from meshloom.operators import assembly as asm
-from meshloom.operators import contracts, mesh, multilevel, solve, tet4, transfer
-from meshloom.plans.registry import query, r9, sized, sized_square_sql, square_sql
+from meshloom.operators import contracts, krylov, mesh, multilevel, solve, tet4, transfer
+from meshloom.operators.tables import Tables
+from meshloom.plans.registry import SIZE_SQL, query, r9, sized, square_sql, table
 
 
 def levels(spark, n: int, depth: int):
@@ -27,61 +29,132 @@ def interior_system(m, contrast: float = 1.0):
     return k.select("row", "col", "v"), f
 
 
-@query(f"""WITH {sized_square_sql()} SELECT node_id, round(2 + 3 * x - y, 6) + 0.0 AS u FROM nodes WHERE x > 0 AND x < 1 AND y > 0 AND y < 1""")
-def mesh_scale_cg(spark, sf):
-    """A field that is linear, held on the rim, found again inside with conductivities from the parts' field of 1: PCG over
-    tables on a mesh that grows with the part table."""
-    m = mesh.unit_square(spark, sized(spark, sf))
-    k = asm.stiffness(mesh.geometry(m), F.lit(1.0))
-    exact = m.nodes.withColumn("value", 2 + 3 * F.col("x") - F.col("y"))
-    rim = exact.where("x = 0 OR x = 1 OR y = 0 OR y = 1").select("node_id", "value")
-    moved = k.join(rim.withColumnRenamed("node_id", "col"), "col").groupBy("row").agg((-F.sum(F.col("v") * F.col("value"))).alias("v"))
-    inner = k.join(rim.select(F.col("node_id").alias("row")), "row", "left_anti").join(rim.select(F.col("node_id").alias("col")), "col", "left_anti").select("row", "col", "v")
-    load = moved.join(rim.select(F.col("node_id").alias("row")), "row", "left_anti")
-    u = solve.solve_columns(spark_kept(spark, inner, "inner"), spark_kept(spark, load, "load").withColumnRenamed("v", "u"), ["u"])
-    return u.select("node_id", F.round("u", 6).alias("u"))
+#: SQL of a square with a power of two of intervals, as many as the parts allow, and of its strips' conductivities.
+DYADIC_SQL = f"""{SIZE_SQL}, dyadic AS (SELECT CAST(pow(2, floor(log2(n))) AS BIGINT) AS n FROM size)"""
+STRIPS_SQL = "strips AS (SELECT p_partkey AS j, CAST(p_size AS DOUBLE) * p_size AS k FROM part, dyadic WHERE p_partkey < n)"
+
+
+def dyadic(spark, sf) -> int:
+    """The greatest power of two of intervals within ``sized``."""
+    return 1 << (sized(spark, sf).bit_length() - 1)
+
 
+def column_of(n: int):
+    """The column of intervals that a cell of ``unit_square`` lies in."""
+    return F.floor(F.col("cell_id") / 2).cast("long") % n
 
-def spark_kept(spark, df, name):
-    from meshloom.operators.tables import Tables
 
+def held_apart(k, f, fixed):
+    """K(row, col, v) and f(row, v) on the nodes that aren't fixed(node_id, value)."""
+    ids = fixed.select(F.col("node_id").alias("row"))
+    moved = k.join(fixed.withColumnRenamed("node_id", "col"), "col").groupBy("row").agg((-F.sum(F.col("v") * F.col("value"))).alias("v"))
+    return asm.free_block(k, fixed), asm.add(f, moved).join(ids, "row", "left_anti")
+
+
+@query(f"""WITH {DYADIC_SQL}, {STRIPS_SQL}, d AS (SELECT j, 1 / k / (SELECT sum(1 / k) FROM strips) AS d FROM strips),
+u AS (SELECT j + 1 AS i, sum(d) OVER (ORDER BY j) AS t FROM d UNION ALL SELECT 0, 0.0)
+SELECT node_id, round(t, 6) + 0.0 AS u FROM (SELECT n, unnest(range((n + 1) * (n + 1))) AS node_id FROM dyadic) JOIN u ON node_id % (n + 1) = i WHERE i > 0 AND i < n""")
+def mesh_scale_cg(spark, sf):
+    """Heat through strips whose conductivities are the squared sizes of parts (1 to 2500), from 0 left to 1 right: PCG over
+    tables on a mesh that grows with the part table."""
+    n = dyadic(spark, sf)
+    m = mesh.unit_square(spark, n)
+    strips = table(spark, sf, "part").where(F.col("p_partkey") < n).select(F.col("p_partkey").alias("j"), (F.col("p_size").cast("double") * F.col("p_size")).alias("k"))
+    g = mesh.geometry(m).withColumn("j", column_of(n)).join(strips, "j")
+    ends = m.nodes.where("x = 0 OR x = 1").select("node_id", F.col("x").alias("value"))
+    k, f = held_apart(asm.stiffness(g, F.col("k")), asm.load(g, F.lit(0.0)), ends)
+    return krylov.solved(k, f).select("node_id", r9(F.round("u", 6)).alias("u"))
+
+
+LAYERED = 4
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS case_id, p_size * (1 + (p_partkey + 3 * j) % 9) / 10e0 AS k, j, 2e0 * (1 + p_partkey % 7) AS q, 3e2 AS lo, 3e2 + p_retailprice / 97e0 AS hi FROM part, (SELECT unnest(range({LAYERED})) AS j)),
+a AS (SELECT case_id, (max(hi - lo) + max(q) / {LAYERED**2}e0 * sum(j / k)) / sum(1 / k) AS a FROM c GROUP BY 1),
+u AS (SELECT case_id, j + 1 AS i, lo + sum((a - j * q / {LAYERED**2}e0) / k) OVER (PARTITION BY case_id ORDER BY j) AS t FROM c JOIN a USING (case_id))
+SELECT case_id, CAST(r * {LAYERED + 1} + i AS BIGINT) AS node_id, round(t, 6) AS t FROM u, (SELECT unnest(range({LAYERED + 1})) AS r) WHERE i < {LAYERED}""")
+def layered_heat(spark, sf):
+    """Heat with a source through each part's own strips of different conductivity: one conjugate gradient iteration over
+    tables advances all parts, each with its step size, and parts that are done leave."""
+    m = mesh.unit_square(spark, LAYERED)
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"), "p_size", (2.0 * (1 + F.col("p_partkey") % 7)).alias("q"), (300.0 + F.col("p_retailprice") / 97.0).alias("hi"))
+    k, f = case_systems(m, parts, F.col("p_size") * (1 + (F.col("case_id") + 3 * column_of(LAYERED)) % 9) / 10.0, F.when(F.col("x") == 0, 300.0).when(F.col("x") == 1, F.col("hi")))
+    return krylov.conjugate_gradients(k, f, solve.CgPolicy(relative=1e-12, most=500)).select("case_id", "node_id", F.round("u", 6).alias("t"))
+
+
+def case_systems(m, cases, conductivity, value):
+    """K(case_id, row, col, v) and f(case_id, row, v) on the nodes without a held value, for cases(case_id, q, ...): columns of
+    cells and cases give the conductivity, columns of nodes and cases the held values (null: free)."""
+    tables = Tables(m.cells.sparkSession, "cases")
+    g = mesh.geometry(m).crossJoin(cases).withColumn("k", conductivity)  # a row for each cell of each case's own mesh
+    k = tables.write("k", g.select("case_id", F.inline(el.stiffness(g, F.col("k")))).groupBy("case_id", "row", "col").agg(F.sum("v").alias("v")))
+    f = g.select("case_id", F.inline(el.loads(g, F.col("q")))).groupBy("case_id", "row").agg(F.sum("v").alias("v"))
+    held = tables.write("held", m.nodes.crossJoin(cases).select("case_id", "node_id", value.alias("value")).where("value IS NOT NULL"))
+    ids = held.select("case_id", F.col("node_id").alias("row"))
+    moved = k.join(held.withColumnRenamed("node_id", "col"), ["case_id", "col"]).groupBy("case_id", "row").agg((-F.sum(F.col("v") * F.col("value"))).alias("v"))
+    f = f.unionByName(moved).groupBy("case_id", "row").agg(F.sum("v").alias("v")).join(ids, ["case_id", "row"], "left_anti")
+    free = k.join(ids, ["case_id", "row"], "left_anti").join(ids.withColumnRenamed("row", "col"), ["case_id", "col"], "left_anti")
+    return free, f
+
+
+@query(f"""SELECT s_suppkey AS case_id, round((1 + s_nationkey) * {(LAYERED - 1) ** 2}e0 / {LAYERED**2}, 6) AS load, 0.0 AS off, 1.0 AS energy FROM supplier""")
+def cell_heat(spark, sf):
+    """Every supplier's square has a conductivity of its own in each cell (1 to 97) and is held all around: the load, the
+    greatest |K u - f| against the greatest |f|, and u.K u against u.f, case by case."""
+    m = mesh.unit_square(spark, LAYERED)
+    cases = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("case_id"), (1.0 + F.col("s_nationkey")).alias("q"))
+    rim = F.when(F.expr("x = 0 OR x = 1 OR y = 0 OR y = 1"), 0.0)
+    tables = Tables(spark, "cell-heat")
+    k, f = (tables.write(n, t) for n, t in zip("kf", case_systems(m, cases, (1 + (F.col("cell_id") * 31 + F.col("case_id") * 17) % 97).cast("double"), rim)))
+    u = krylov.conjugate_gradients(k, f)
+    ku = k.join(u.select("case_id", F.col("node_id").alias("col"), "u"), ["case_id", "col"]).groupBy("case_id", "row").agg(F.sum(F.col("v") * F.col("u")).alias("ku"))
+    rows = f.join(ku, ["case_id", "row"]).join(u.select("case_id", F.col("node_id").alias("row"), "u"), ["case_id", "row"])
+    out = rows.groupBy("case_id").agg(F.round(F.sum("v"), 6).alias("load"), (F.round(F.max(F.abs(F.col("ku") - F.col("v"))) / F.max(F.abs("v")), 6) + 0.0).alias("off"), F.round(F.sum(F.col("u") * F.col("ku")) / F.sum(F.col("u") * F.col("v")), 6).alias("energy"))
+    return out.select("case_id", "load", "off", "energy")
+
+
+def kept(spark, df, name):
     return Tables(spark, "kept").write(name, df)
 
 
-@query("SELECT true AS converged, true AS exact, true AS few")
+@query(f"WITH {DYADIC_SQL} SELECT (n - 1) * (n - 1) AS nodes, round((n - 1) * (n - 1) / CAST(n * n AS DOUBLE), 6) AS load, 0.0 AS off, 1.0 AS energy FROM dyadic")
 def table_cg(spark, sf):
-    """PCG whose vectors are tables: admitted by its recomputed residual, right, and within the dofs' number of steps."""
-    m = mesh.unit_square(spark, 6)
-    k, f = interior_system(m)
-    u, report = solve.solve_large(k, f)
-    solve.assert_converged(report)
-    direct = solve.solve_columns(spark_kept(spark, k, "k"), spark_kept(spark, f, "f").withColumnRenamed("v", "w"), ["w"])
-    far = u.join(direct, "node_id").agg(F.max(F.abs(F.col("u") - F.col("w"))).alias("far"))
-    return far.select(F.lit(report["converged"]).alias("converged"), (F.col("far") < 1e-8).alias("exact"), F.lit(report["iterations"] <= 25).alias("few"))
+    """A source in a square of contrast 50, PCG over tables with the inverse diagonal."""
+    m = mesh.unit_square(spark, dyadic(spark, sf))
+    k, f = (kept(spark, d, n) for n, d in zip("kf", interior_system(m, 50.0)))
+    return agreement(k, f, krylov.solved(k, f))
 
 
-@query("SELECT true AS converged, true AS exact, true AS few, true AS sound")
-def table_multilevel(spark, sf):
-    """Multilevel PCG over tables: restriction, coarse solve and prolongation as joins."""
-    (m, *_), _, ps = levels(spark, 8, 2)
-    k, f = interior_system(m, 50.0)
-    u, report = multilevel.solve(spark_kept(spark, k, "k"), spark_kept(spark, f, "f"), ps, cg=solve.CgPolicy(relative=1e-9, most=40))
-    direct = solve.solve_columns(spark_kept(spark, k, "k"), spark_kept(spark, f, "f").withColumnRenamed("v", "w"), ["w"])
-    far = u.join(direct, "node_id").agg(F.max(F.abs(F.col("u") - F.col("w"))).alias("far"))
-    sound = report["asymmetry"] < 1e-10 and report["condition"] < 1e4 and report["diagonal"] > 1e-3
-    return far.select(F.lit(report["converged"]).alias("converged"), (F.col("far") < 1e-7).alias("exact"), F.lit(report["iterations"] < 30).alias("few"), F.lit(sound).alias("sound"))
+def agreement(k, f, u):
+    """One row: unknowns, load, greatest |K u - f| against the greatest |f|, and u.K u against u.f."""
+    ku = asm.matvec(k, u).withColumnRenamed("v", "ku")
+    rows = f.join(ku, "row").join(u.withColumnRenamed("node_id", "row"), "row")
+    off = F.max(F.abs(F.col("ku") - F.col("v"))) / F.max(F.abs("v"))
+    return rows.agg(F.count("*").alias("nodes"), F.round(F.sum("v"), 6).alias("load"), (F.round(off, 6) + 0.0).alias("off"), F.round(F.sum(F.col("u") * F.col("ku")) / F.sum(F.col("u") * F.col("v")), 6).alias("energy"))
+
+
+def multilevel_solution(spark, n: int, contrast: float):
+    """K, f, u and the report of multilevel PCG on a square of n intervals, down to four."""
+    depth = max(2, n.bit_length() - 2)
+    (m, *_), _, ps = levels(spark, n, depth)
+    k, f = (kept(spark, d, name) for name, d in zip("kf", interior_system(m, contrast)))
+    u, report = multilevel.solve(k, f, ps, cg=solve.CgPolicy(relative=1e-10, most=120))
+    return k, f, u, solve.assert_converged(report)
 
 
-@query("SELECT true AS converged, true AS faster, true AS balanced, 961 AS nodes")
+@query(f"WITH {DYADIC_SQL} SELECT (n - 1) * (n - 1) AS nodes, round((n - 1) * (n - 1) / CAST(n * n AS DOUBLE), 6) AS load, 0.0 AS off, 1.0 AS energy FROM dyadic")
 def multilevel_pcg(spark, sf):
-    """Three levels on a 32 by 32 square with a contrast of 100: admitted, in fewer steps than plain CG, energy balanced."""
-    (m, *_), _, ps = levels(spark, 32, 3)
-    k, f = (spark_kept(spark, d, n) for d, n in zip(interior_system(m, 100.0), "kf"))
-    u = spark_kept(spark, multilevel.pcg_multilevel(k, f, ps), "u")
-    ku = k.join(u.select(F.col("node_id").alias("col"), "u"), "col").groupBy("row").agg(F.sum(F.col("v") * F.col("u")).alias("ku"))
-    far = ku.join(f, "row").agg(F.max(F.abs(F.col("ku") - F.col("v"))).alias("far"))
-    one = u.agg(F.min("converged").alias("converged"), F.max(F.col("iterations") * 2 < F.col("plain_iterations")).alias("faster"), F.count("*").cast("int").alias("nodes"))
-    return one.crossJoin(far).select("converged", "faster", (F.col("far") < 1e-9).alias("balanced"), "nodes")
+    """The same with a contrast of 100, restriction, coarse solve and prolongation as joins, on levels down to 4 by 4."""
+    k, f, u, _ = multilevel_solution(spark, dyadic(spark, sf), 100.0)
+    return agreement(k, f, u)
+
+
+@query("SELECT 225 AS nodes, round(225 / 256e0, 6) AS load, 0.0 AS off, 1.0 AS energy, true AS few, true AS sound FROM (SELECT count(*) FROM part)")
+def table_multilevel(spark, sf):
+    """Three levels on 16 by 16: fewer steps than unknowns in a row ask for, and an admitted coarse matrix."""
+    k, f, u, report = multilevel_solution(spark, 16, 50.0)
+    sound = report["asymmetry"] < 1e-10 and report["condition"] < 1e4 and report["diagonal"] > 1e-3
+    return agreement(k, f, u).select("*", F.lit(report["iterations"] < 40).alias("few"), F.lit(sound).alias("sound"))
 
 
 @query(f"""WITH {square_sql(4)}, f AS (SELECT id AS node_id, (id % 9) / 8e0 AS x, (id // 9) / 8e0 AS y FROM range(81) t(id)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import elements as el
 from meshloom.functions import scalars as sc
 from meshloom.operators import assembly as asm
-from meshloom.operators import evidence, mesh, physics, solve, transfer
+from meshloom.operators import evidence, krylov, mesh, physics, solve, transfer
 from meshloom.sources import materials
 
 
@@ -54,7 +54,7 @@ def test_table_solver_agrees_and_reports_its_residual(spark, tmp_path):
     g = mesh.geometry(m)
     fixed = m.nodes.where("x = 0 or x = 1").select("node_id", F.lit(0.0).alias("value"))
     k, f = asm.dirichlet(asm.stiffness(g, F.lit(1.0)), asm.load(g, F.lit(2.0)), fixed)
-    u, report = solve.solve_large(k, f)
+    u, report = krylov.solve_large(k, f)
     out = u.join(m.nodes, "node_id").toPandas()
     assert report["converged"] and abs(out.u - out.x * (1 - out.x)).max() < 1e-9
 
