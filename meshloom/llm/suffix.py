@@ -1,12 +1,12 @@
-"""Exact removal of repeated byte strings by longest-previous-factor arrays over a distributed, truncated suffix order.
+"""Exact removal of repeated byte strings by grouped hashes of their windows, in place of a suffix array.
+
+No suffix order, longest previous factors or smaller neighbours are computed: what decides is only whether a window of
+``length`` bytes stood earlier, which is equality of truncated suffixes and the order of their places.
 
 A byte goes when a string of ``length`` bytes (100) that covers it also starts earlier: in a document with a smaller
 id, or before in the same one. So a suffix matters only up to its first ``length`` bytes. Suffixes equal that far lie
-side by side in suffix order; ordered by position within such a run, each one's previous smaller position is its
-predecessor, and no next smaller position shares the whole prefix. Its longest previous factor thus reaches ``length``
-exactly if it isn't first in its run: the first copy stays, later ones go.
-
-The order is spread over the cluster in two levels.
+side by side in suffix order; ordered by place within such a run, a suffix has an earlier match of ``length`` bytes exactly
+if it isn't first in its run: the first copy stays, later ones go. Runs are found without the order, in two levels.
 1. Each suffix belongs to an anchor: the smallest hash among the ``seed``-byte strings in its first ``length`` bytes.
    Equal prefixes have equal anchors. Runs of suffixes with one anchor travel as one row: the anchor's hash, the hash
    of all the bytes of the run, and the place. Rows are range-partitioned by (anchor, bytes, place), which cuts hot keys
