@@ -2,12 +2,14 @@
 
 A vector is a table (case_id, node_id, value), a matrix K(case_id, row, col, v), or K(row, col, v) shared by all cases. What
 belongs to a case, such as a step size, is an aggregate by case_id, joined back; nothing of a system meets in one group
-or on the driver. One iteration advances all cases, finished ones are masked, and leave the state whenever it is looked at.
+or on the driver. One iteration advances all cases, finished ones are masked, and leave the state when
+they are more than half of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from .tables import Tables
 #: Entries of a matrix in a partition.
 ENTRIES = 200_000
 #: Iterations between two looks at how many cases are left.
-LOOK = 4
+LOOK = 2
 #: A solution whose recomputed residual is above the target is corrected, from where it stands, so often.
 CORRECTIONS = 1
 
@@ -47,60 +49,64 @@ class Matrix:
         rows = self.entries.join(x.select("case_id", "node_id", name), self.keys)
         return rows.groupBy("case_id", F.col("row").alias("node_id")).agg(F.sum(F.col("v") * F.col(name)).alias(out))
 
-    def absolute(self) -> DataFrame:
-        return self.entries.withColumn("v", F.abs("v"))
-
     def diagonal(self) -> DataFrame:
         """([case_id,] node_id, d)"""
         return self.entries.where("row = node_id").select(*self.keys, F.col("v").alias("d"))
 
 
-def conjugate_gradients(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-11, most=400), start: DataFrame | None = None, precondition: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def conjugate_gradients(k: DataFrame | Matrix, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-11, most=400), start: DataFrame | None = None, precondition: Callable[[DataFrame], DataFrame] | None = None, verify: bool = True) -> DataFrame:
     """(case_id, node_id, u, iterations, backward_error, converged) of K u = f for every case of f(case_id, row, v).
 
     Preconditioned conjugate gradients with one product and one reduction an iteration: a step is one written state, from
     which the next one's step sizes are summed by case. ``precondition`` maps (case_id, node_id, r) to (case_id, node_id, z); the
     inverse diagonal where it is None. ``start``(case_id, node_id, u) is where the iteration begins. A solution counts if its
-    recomputed residual is small against |K| |u| + |f|; else it is NaN.
+    recomputed residual is small against |K| |u| + |f|; else it is NaN. Without ``verify``, as
+    inside an outer iteration that has its own test, the last state is returned as it is. Many solves with one matrix share a
+    ``Matrix``.
     """
-    tables = Tables(k.sparkSession, "cg")
-    with Matrix(tables, k) as matrix:
-        b = f.select("case_id", F.col("row").alias("node_id"), F.col("v").alias("b"))
-        # the unknowns: all rows of the matrix, for a shared one in every case of f
-        if matrix.shared:
-            # cases of a shared matrix are right-hand sides, few enough to lie in one row
-            cases = f.select("case_id").distinct().agg(F.collect_set("case_id").alias("cases"))
-            unknowns = matrix.diagonal().crossJoin(F.broadcast(cases)).select(F.explode("cases").alias("case_id"), "node_id", "d")
-        else:
-            unknowns = matrix.diagonal()
-        unknowns = unknowns.join(b, ["case_id", "node_id"], "left").select("case_id", "node_id", "d", F.coalesce("b", F.lit(0.0)).alias("b"))
-        unknowns = tables.write("unknowns", unknowns)
-        x = None if start is None else start.select("case_id", "node_id", F.col("u").alias("x"))
-        steps = 0
+    tables = Tables(f.sparkSession, "cg")
+    with nullcontext(k) if isinstance(k, Matrix) else Matrix(tables, k) as matrix:
+        x = None if start is None else start.select("case_id", "node_id", F.col("u").alias("x"), F.lit(0).alias("steps"))
         for attempt in range(CORRECTIONS + 1):
-            x, used = run(tables, matrix, unknowns, x, policy, precondition, attempt)
-            steps += used
-            checked = tables.write(f"checked-{attempt}", errors(matrix, unknowns, x))
-            if attempt == CORRECTIONS or not checked.where(f"backward_error > {policy.backward}").count():
-                break
-        good = F.col("backward_error") <= policy.backward
-        out = x.join(checked, "case_id").select("case_id", "node_id", F.when(good, F.col("x")).otherwise(F.lit(float("nan"))).alias("u"), F.col("steps").alias("iterations"), "backward_error", good.alias("converged"))
-        return tables.write("solution", out)
-
-
-def errors(matrix: Matrix, unknowns: DataFrame, x: DataFrame) -> DataFrame:
-    """(case_id, backward_error): the recomputed residual against |K| |x| + |b|; infinite where the diagonal isn't positive."""
-    size = matrix.absolute().join(x.select("case_id", "node_id", F.abs("x").alias("x")), matrix.keys).groupBy("case_id", F.col("row").alias("node_id")).agg(F.sum(F.col("v") * F.col("x")).alias("size"))
-    rows = unknowns.join(matrix.times(x, "x", "kx"), ["case_id", "node_id"], "left").join(size, ["case_id", "node_id"], "left").fillna(0.0, ["kx", "size"])
-    both = rows.groupBy("case_id").agg(F.sqrt(F.sum(F.pow(F.col("b") - F.col("kx"), 2.0))).alias("off"), F.sqrt(F.sum(F.pow(F.col("size") + F.abs("b"), 2.0))).alias("of"), F.min("d").alias("d"))
+            x = run(tables, matrix, unknowns(matrix, f), x, policy, precondition, attempt)
+            good = F.col("backward_error") <= policy.backward
+            out = x if not verify else x.join(F.broadcast(errors(matrix, x)), "case_id")
+            u = F.col("x") if not verify else F.when(good, F.col("x")).otherwise(F.lit(float("nan")))
+            told = [F.lit(None).cast("double").alias("backward_error"), F.lit(None).cast("boolean").alias("converged")] if not verify else ["backward_error", good.alias("converged")]
+            out = out.select("case_id", "node_id", u.alias("u"), F.col("steps").alias("iterations"), *told)
+            if not verify:
+                return out
+            out = tables.write(f"solution-{attempt}", out)
+            if attempt == CORRECTIONS or not out.where("NOT converged").count():
+                return out
+
+
+def unknowns(matrix: Matrix, f: DataFrame) -> DataFrame:
+    """(case_id, node_id, d, b): a row for each row of the matrix, of a shared one in every case of f."""
+    rows = matrix.diagonal()
+    if matrix.shared:
+        # cases of a shared matrix are right-hand sides, few enough to lie in one row
+        cases = f.select("case_id").distinct().agg(F.collect_set("case_id").alias("cases"))
+        rows = rows.crossJoin(F.broadcast(cases)).select(F.explode("cases").alias("case_id"), "node_id", "d")
+    b = f.select("case_id", F.col("row").alias("node_id"), F.col("v").alias("b"))
+    return rows.join(b, ["case_id", "node_id"], "left").select("case_id", "node_id", "d", F.coalesce("b", F.lit(0.0)).alias("b"))
+
+
+def errors(matrix: Matrix, x: DataFrame) -> DataFrame:
+    """(case_id, backward_error) of x(case_id, node_id, d, b, x): the recomputed residual against |K| |x| + |b|; infinite where
+    the diagonal isn't positive."""
+    both = matrix.entries.join(x.select("case_id", "node_id", "x"), matrix.keys).groupBy("case_id", F.col("row").alias("node_id"))
+    both = both.agg(F.sum(F.col("v") * F.col("x")).alias("kx"), F.sum(F.abs(F.col("v") * F.col("x"))).alias("size"))
+    rows = x.join(both, ["case_id", "node_id"], "left").fillna(0.0, ["kx", "size"])
+    sums = rows.groupBy("case_id").agg(F.sqrt(F.sum(F.pow(F.col("b") - F.col("kx"), 2.0))).alias("off"), F.sqrt(F.sum(F.pow(F.col("size") + F.abs("b"), 2.0))).alias("of"), F.min("d").alias("d"))
     error = F.when(F.col("d") <= 0, float("inf")).when(F.col("of") > 0, F.col("off") / F.col("of")).otherwise(0.0)
-    return both.select("case_id", error.alias("backward_error"))
+    return sums.select("case_id", error.alias("backward_error"))
 
 
-def run(tables: Tables, matrix: Matrix, unknowns: DataFrame, x: DataFrame | None, policy: CgPolicy, precondition, attempt: int) -> tuple[DataFrame, int]:
-    """(case_id, node_id, x, steps) and the iterations taken, from x(case_id, node_id, x) or zero."""
+def run(tables: Tables, matrix: Matrix, rows: DataFrame, x: DataFrame | None, policy: CgPolicy, precondition, attempt: int) -> DataFrame:
+    """(case_id, node_id, d, b, x, steps) from x(case_id, node_id, x, steps) or zero; rows: (case_id, node_id, d, b)."""
     name = lambda n: f"{attempt}-{n}"
-    ids = ["case_id", "node_id"]
+    ids, kept = ["case_id", "node_id"], ["case_id", "node_id", "d", "b", "x", "steps"]
 
     def with_products(rows: DataFrame) -> DataFrame:
         """Adds u, the preconditioned residual, and w = K u."""
@@ -110,47 +116,45 @@ def run(tables: Tables, matrix: Matrix, unknowns: DataFrame, x: DataFrame | None
             rows = rows.join(precondition(rows.select(*ids, "r")).withColumnRenamed("z", "u"), ids)
         return rows.join(matrix.times(rows, "u", "w"), ids, "left").fillna(0.0, ["w"])
 
-    bound = unknowns.groupBy("case_id").agg(F.greatest(policy.relative**2 * F.sum(F.col("b") * F.col("b")), F.lit(policy.absolute**2)).alias("target"))
-    rows = unknowns.join(bound, "case_id")
     if x is None:
         rows = rows.withColumns({"x": F.lit(0.0), "r": F.col("b"), "steps": F.lit(0)})
     else:
-        has = "steps" in x.columns
-        rows = rows.join(x, ids, "left").fillna(0.0, ["x"])
+        rows = rows.join(x.select(*ids, "x", "steps"), ids, "left").fillna(0.0, ["x"]).fillna(0, ["steps"])
         rows = rows.join(matrix.times(rows, "x", "kx"), ids, "left").withColumn("r", F.col("b") - F.coalesce("kx", F.lit(0.0))).drop("kx")
-        rows = rows.withColumn("steps", F.coalesce("steps", F.lit(0)) if has else F.lit(0))
-    rows = rows.drop("b").withColumns({"p": F.lit(0.0), "s": F.lit(0.0), "gamma0": F.lit(None).cast("double"), "alpha0": F.lit(None).cast("double")})
+    rows = rows.withColumns({"p": F.lit(0.0), "s": F.lit(0.0), "gamma0": F.lit(None).cast("double"), "alpha0": F.lit(None).cast("double")})
     state, done, n = tables.write(name(0), with_products(rows)), [], 0
     while True:
         sums = state.groupBy("case_id").agg(
             F.sum(F.col("r") * F.col("u")).alias("gamma"), F.sum(F.col("w") * F.col("u")).alias("delta"), F.sum(F.col("r") * F.col("r")).alias("rr"),
-            F.max("target").alias("limit"), F.max("gamma0").alias("before"), F.max("alpha0").alias("last"),
+            F.sum(F.col("b") * F.col("b")).alias("bb"), F.max("gamma0").alias("before"), F.max("alpha0").alias("last"),
         )
         beta = F.coalesce(F.try_divide("gamma", "before"), F.lit(0.0))
         curve = F.col("delta") - F.coalesce(beta * F.try_divide("gamma", "last"), F.lit(0.0))
         # a case goes on while its residual is above its target and the matrix bends upwards along the step
-        sums = sums.select("case_id", beta.alias("beta"), F.when((F.col("rr") > F.col("limit")) & (curve > 0), F.col("gamma") / curve).alias("alpha"), "gamma")
-        if n % LOOK == 0:
-            sums = tables.write(name(f"sums-{n}"), sums)
-            left = sums.agg(F.count("*"), F.count("alpha")).first()
-            if left[1] < left[0] or n >= policy.most:
-                over = state.join(sums.where("alpha IS NULL") if n < policy.most else sums, "case_id", "left_semi")
-                done.append(tables.write(name(f"done-{n}"), over.select(*ids, "x", "steps")))
-            if not left[1] or n >= policy.most:
+        far = F.col("rr") > F.greatest(policy.relative**2 * F.col("bb"), F.lit(policy.absolute**2))
+        sums = sums.select("case_id", beta.alias("beta"), F.when(far & (curve > 0), F.col("gamma") / curve).alias("alpha"), "gamma")
+        if n >= policy.most:
+            break
+        if n % LOOK == 0 and (n or x is not None):
+            cases, left = sums.agg(F.count("*"), F.count("alpha")).first()
+            if not left:
                 break
-            sums = sums.where("alpha IS NOT NULL")
-        moved = state.drop("gamma0", "alpha0").join(sums, "case_id")
+            if 2 * left < cases:
+                over = state.join(sums.where("alpha IS NULL"), "case_id", "left_semi")
+                done.append(tables.write(name(f"done-{n}"), over.select(*kept)))
+                sums = sums.where("alpha IS NOT NULL")
         going = F.col("alpha").isNotNull()
+        moved = state.drop("gamma0", "alpha0").join(sums, "case_id")
         moved = moved.withColumns({"p": F.when(going, F.col("u") + F.col("beta") * F.col("p")).otherwise(F.col("p")), "s": F.when(going, F.col("w") + F.col("beta") * F.col("s")).otherwise(F.col("s"))})
         moved = moved.withColumns({"x": F.when(going, F.col("x") + F.col("alpha") * F.col("p")).otherwise(F.col("x")), "r": F.when(going, F.col("r") - F.col("alpha") * F.col("s")).otherwise(F.col("r"))})
         moved = moved.withColumns({"steps": F.col("steps") + going.cast("int"), "gamma0": F.col("gamma"), "alpha0": F.coalesce("alpha", F.lit(1.0))}).drop("u", "w", "alpha", "beta", "gamma")
         state = tables.write(name(n + 1), with_products(moved))
         tables.drop(name(n))
         n += 1
-    out = done[0]
-    for part in done[1:]:
+    out = state.select(*kept)
+    for part in done:
         out = out.unionByName(part)
-    return out, n
+    return out
 
 
 def solve_large(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-10, most=500), precondition=None) -> tuple[DataFrame, dict]:

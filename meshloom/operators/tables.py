@@ -19,15 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Tables:
-    """A folder of its own for one run's tables."""
+    """A folder for one run's tables: its own, or that of an earlier run that shall go on."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.root = spark, root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def read(self, name: str) -> DataFrame | None:
+        """A table that was written whole, by this run or one before it; None where there is none."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def last(self, name: str) -> int | None:
+        """The greatest n of the tables <name>-n that were written whole."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return max((int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in found), default=None)
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import elements as el
 from meshloom.operators import assembly as asm
-from meshloom.operators import contracts, krylov, mesh, multilevel, solve, tet4, transfer
+from meshloom.operators import contracts, coupled, gmres, krylov, mesh, multilevel, solve, tet4, transfer
 from meshloom.operators.tables import Tables
 from meshloom.plans.registry import SIZE_SQL, query, r9, sized, square_sql, table
 
@@ -169,6 +169,60 @@ def restriction(spark, sf):
     return multilevel.restrict(p, r).select("node_id", F.round("r", 9).alias("r"))
 
 
+@query(f"WITH {SIZE_SQL}, d AS (SELECT CAST(greatest(4, pow(2, floor(log2(n)) - 1)) AS BIGINT) AS n FROM size) SELECT (n - 1) * (n - 1) AS nodes, round((n - 1) * (n - 1) / CAST(n * n AS DOUBLE), 6) AS load, 0.0 AS off, 1.0 AS work FROM d")
+def shifted_gmres(spark, sf):
+    """A lossy wave, (K - (20 - 5i) M) u = f with u = 0 on the rim, where M is the mass, on a mesh that grows with the part table:
+    complex, indefinite, solved by GMRES over tables. Unknowns, load, greatest |A u - f| against the greatest |f|, and u.A u
+    against u.f."""
+    m = mesh.unit_square(spark, max(4, dyadic(spark, sf) // 2))
+    g = mesh.geometry(m)
+    rim = m.nodes.where("x = 0 OR x = 1 OR y = 0 OR y = 1").select("node_id")
+    stiff = asm.stiffness(g, F.lit(1.0)).select("row", "col", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    mass = asm.mass(g, F.lit(1.0)).select("row", "col", (-20.0 * F.col("v")).alias("re"), (5.0 * F.col("v")).alias("im"))
+    a = stiff.unionByName(mass).groupBy("row", "col").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    a = kept(spark, asm.free_block(a, rim).select("row", "col", "re", "im"), "a")
+    f = kept(spark, asm.load(g, F.lit(1.0)).join(rim.withColumnRenamed("node_id", "row"), "row", "left_anti").select("row", F.col("v").alias("re"), F.lit(0.0).alias("im")), "f")
+    u, report = gmres.gmres(a, f, 1e-9)
+    solve.assert_converged({**report, "backward_error": report["residual"]})
+    u = u.select(F.col("node_id").alias("col"), F.col("re").alias("ur"), F.col("im").alias("ui"))
+    au = a.join(u, "col").groupBy("row").agg(F.sum(F.col("re") * F.col("ur") - F.col("im") * F.col("ui")).alias("ar"), F.sum(F.col("re") * F.col("ui") + F.col("im") * F.col("ur")).alias("ai"))
+    rows = f.join(au, "row").join(u.withColumnRenamed("col", "row"), "row")
+    off = F.max(F.hypot(F.col("ar") - F.col("re"), F.col("ai") - F.col("im"))) / F.max(F.abs("re"))
+    work = F.sum(F.col("ur") * F.col("ar") - F.col("ui") * F.col("ai")) / F.sum(F.col("ur") * F.col("re"))
+    return rows.agg(F.count("*").alias("nodes"), F.round(F.sum("re"), 6).alias("load"), (F.round(off, 6) + 0.0).alias("off"), F.round(work, 6).alias("work"))
+
+
+def nations(spark, sf):
+    return table(spark, sf, "nation").selectExpr("n_nationkey AS case_id", "1.0 + n_nationkey AS sigma", "(1 + n_regionkey) / 1000D AS alpha", "2.0 + n_nationkey % 3 AS volts", "1.0 + n_nationkey % 4 AS k", "300.0 AS t0")
+
+
+@query("SELECT n_nationkey AS case_id, 1.0 AS peak, 0.0 AS charge, 0.0 AS heat FROM nation")
+def coupled_tables(spark, sf):
+    """Joule heating with sigma(T) for every nation, over tables, on a mesh that grows with the part table: the peak against that
+    of the continuous problem, theta + alpha theta^2 / 2 = sigma V^2 / (8 k), and the imbalances of currents and heat."""
+    cases = nations(spark, sf)
+    with coupled.Coupled(cases, mesh.unit_square(spark, max(4, dyadic(spark, sf) // 4)), tolerance=1e-8) as problem:
+        problem.solve()
+        rows = kept(spark, problem.report(), "report").join(cases, "case_id")
+    theta = (F.sqrt(1 + F.col("alpha") * F.col("sigma") * F.col("volts") * F.col("volts") / (4 * F.col("k"))) - 1) / F.col("alpha")
+    return rows.select("case_id", F.round(F.col("rise_max") / theta, 1).alias("peak"), *[F.round(c, 6).alias(c) for c in ("charge", "heat")])
+
+
+@query("SELECT n_nationkey AS case_id, 1.0 AS by_volts, 1.0 AS by_k, 1.0 AS by_alpha FROM nation")
+def coupled_slopes(spark, sf):
+    """Its gradients by the adjoint fixed point, for every nation. The rise is a function of alpha sigma V^2 / k over alpha, also
+    on a mesh, from which follow V d_V = 2 sigma d_sigma, k d_k = - sigma d_sigma and alpha d_alpha = sigma d_sigma - mean rise: the
+    ratios of both sides."""
+    cases = nations(spark, sf)
+    with coupled.Coupled(cases, mesh.unit_square(spark, max(2, dyadic(spark, sf) // 8)), tolerance=1e-7) as problem:
+        problem.solve()
+        state = kept(spark, problem.report(), "report")
+        slopes = kept(spark, problem.gradient().select("case_id", *[F.col(c).alias(f"d_{c}") for c in ("sigma", "alpha", "k", "volts")]), "slopes")
+    one = F.col("sigma") * F.col("d_sigma")
+    ratios = {"by_volts": F.col("volts") * F.col("d_volts") / (2 * one), "by_k": -F.col("k") * F.col("d_k") / one, "by_alpha": (F.col("alpha") * F.col("d_alpha") + F.col("rise_mean")) / one}
+    return state.join(slopes, "case_id").join(cases, "case_id").select("case_id", *[F.round(c, 4).alias(n) for n, c in ratios.items()])
+
+
 # --- tetrahedra -------------------------------------------------------------------------------------------------------
 
 
