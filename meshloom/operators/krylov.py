@@ -9,10 +9,10 @@ they are more than half of it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import nullcontext
+from contextlib import contextmanager, nullcontext
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .solve import CgPolicy
@@ -26,6 +26,18 @@ LOOK = 2
 CORRECTIONS = 1
 
 
+@contextmanager
+def shuffles(spark: SparkSession, parts: int):
+    """No more partitions of a shuffle than the matrix has, within: small systems don't pay for empty tasks."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), parts)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Matrix:
     """A matrix that is written, and kept in memory by the column that products join on: no product shuffles its entries. What
     an executor loses is read again."""
@@ -35,8 +47,8 @@ class Matrix:
         self.keys = ["node_id"] if self.shared else ["case_id", "node_id"]
         ids = [] if self.shared else ["case_id"]
         written = tables.write(name, k.select(*ids, "row", F.col("col").alias("node_id"), "v"))
-        parts = max(1, -(-written.count() // ENTRIES))
-        self.entries = written.repartition(parts, *self.keys).persist(StorageLevel.MEMORY_AND_DISK)
+        self.parts = max(1, -(-written.count() // ENTRIES))
+        self.entries = written.repartition(self.parts, *self.keys).persist(StorageLevel.MEMORY_AND_DISK)
 
     def __enter__(self) -> Matrix:
         return self
@@ -65,7 +77,7 @@ def conjugate_gradients(k: DataFrame | Matrix, f: DataFrame, policy: CgPolicy =
     ``Matrix``.
     """
     tables = Tables(f.sparkSession, "cg")
-    with nullcontext(k) if isinstance(k, Matrix) else Matrix(tables, k) as matrix:
+    with nullcontext(k) if isinstance(k, Matrix) else Matrix(tables, k) as matrix, shuffles(f.sparkSession, matrix.parts):
         x = None if start is None else start.select("case_id", "node_id", F.col("u").alias("x"), F.lit(0).alias("steps"))
         for attempt in range(CORRECTIONS + 1):
             x = run(tables, matrix, unknowns(matrix, f), x, policy, precondition, attempt)
