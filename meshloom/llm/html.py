@@ -8,6 +8,10 @@ whether an article or main element encloses it. So a form around the page or a b
 nothing, as it holds all of the text. A decision tree decides, grown on the labelled blocks of pages in thirteen layouts
 (``layouts.py``), whose class names mislead on purpose.
 
+Two plain rules come before the tree, as comments of running text look like an article's: where an article element holds
+the page's first h1, nothing outside of it is kept; and where the article or the title is known, parts called after
+readers' replies that don't hold it aren't. Comments that neither tag nor name nor place marks are kept.
+
 Character references are decoded, white space within a block becomes one space, kept blocks are joined by line feeds
 in page order. Scripts, styles and other elements that hold no text for readers never form blocks.
 
@@ -50,6 +54,8 @@ PART = frozenset(
     " navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply"
     " respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar widget widgets".split()
 )
+#: Words of class and id that name what readers wrote.
+REPLIES = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 
 OPEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -118,6 +124,7 @@ class Page:
         #: parent, enclosing part by tag, by name, enclosing article (numbers of elements, 0 for none), words, whether it
         #: holds the first article or main, whether it holds the first h1
         self.parent, self.by_tag, self.by_name, self.article = [0], [0], [0], [0]
+        self.replies = [0]  # enclosing part called after readers' replies
         self.first_article = self.first_h1 = self.main = 0
         self.read(page)
         n = len(self.parent)
@@ -151,6 +158,22 @@ class Page:
 
         tags = tags_of(page)
         skip = None
+        ahead: dict[str, re.Match | None] = {}
+
+        def search(mark: str, at: int) -> re.Match | None:
+            """The first tag beginning with ``mark`` from ``at`` on; what was found once is kept, so all searches together are linear."""
+            if mark not in ahead or ahead[mark] and ahead[mark].start() < at:
+                ahead[mark] = re.compile(rf"{re.escape(mark)}\b", re.I).search(page, at)
+            return ahead[mark]
+
+        def after(mark: str, at: int) -> int | None:
+            """Where the first end tag ``mark`` from ``at`` on ends."""
+            found = search(mark, at)
+            close = page.find(">", found.end()) if found else -1
+            if found and close < 0:
+                ahead[mark] = None  # nothing ends after it
+            return close + 1 if close >= 0 else None
+
         while True:
             try:
                 data, closing, name, attributes, at = tags.send(skip)
@@ -165,12 +188,12 @@ class Page:
             if not name:
                 continue
             if not closing and name in RAW and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                end = after(f"</{name}", at)
                 if name == "head":  # its end tag may be left out
-                    body = re.compile(r"<body\b", re.I).search(page, at)
-                    skip = min((x for x in (end and end.end(), body and body.start()) if x is not None), default=at)
+                    body = search("<body", at)
+                    skip = min((x for x in (end, body and body.start()) if x is not None), default=at)
                 else:
-                    skip = end.end() if end else len(page)
+                    skip = len(page) if end is None else end
                 continue
             if name == "a":
                 in_link = not closing
@@ -202,8 +225,9 @@ class Page:
                 within = self.article[parent]
                 part = name in ASIDE and not (name == "header" and within and self.by_tag[parent] <= within)
                 self.by_tag.append(new if part else self.by_tag[parent])
-                called = "=" in attributes and bool(names(attributes) & PART)
-                self.by_name.append(new if called else self.by_name[parent])
+                called = names(attributes) if "=" in attributes else set()
+                self.by_name.append(new if called & PART else self.by_name[parent])
+                self.replies.append(new if called & REPLIES else self.replies[parent])
                 self.article.append(new if name in ("article", "main") else within)
                 if name == "main":
                     self.main = self.main or new
@@ -227,6 +251,20 @@ FEATURES = (
 )
 
 
+def outside(page: Page) -> np.ndarray:
+    """The blocks that the two rules leave out."""
+    up = page.first_h1
+    while up and up != page.first_article:
+        up = page.parent[up]
+    titled = up > 0  # an article element holds the first h1
+    known = any(page.holds)
+    out = []
+    for *_, e in page.blocks:
+        article, replies = page.article[e], page.replies[e]
+        out.append(titled and not (article and page.holds[article]) or known and replies > 0 and not page.holds[replies])
+    return np.array(out, bool)
+
+
 def features(page: Page) -> np.ndarray:
     n = len(page.blocks)
     own = np.array([(w, links / w, w / (1 + len(text) // 80)) for text, w, links, *_ in page.blocks], float).reshape(-1, 3)
@@ -308,7 +346,7 @@ def main_text(html: str, tree: Tree) -> str:
     page = Page(html)
     if not page.blocks:
         return ""
-    return "\n".join(b[0] for b, keep in zip(page.blocks, tree.keep(features(page))) if keep)
+    return "\n".join(b[0] for b, keep in zip(page.blocks, tree.keep(features(page)) & ~outside(page)) if keep)
 
 
 def extracted(pages: DataFrame, tree: Tree | None = None) -> DataFrame:

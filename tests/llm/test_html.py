@@ -73,7 +73,7 @@ def test_names_of_wrappers_drop_nothing(page):
     assert out == "\n".join(("Its title", PROSE.strip(), PROSE.strip() + " y z"))
 
 
-@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\">", "<!--", "<a <b>", "<b>", "<div>", "</x>", "<script>", "&amp", "<", "<p class='"])
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\">", "<!--", "<a <b>", "<b>", "<div>", "</x>", "<script>", "&amp", "<", "<p class='", "<head>", "<head><p>", "<script></script", "</script", "<style>x</style"])
 def test_malformed_markup_takes_linear_time(piece):
     began = time.time()
     html.main_text(piece * 100_000, html.default_tree())
@@ -95,3 +95,26 @@ def test_part_names_on_wrappers_keep_the_article():
         assert html.main_text(wrap.format(text), tree) == text.strip()
     listed = f'<main><article class="post has-comments"><p>{text}</p></article><div id="comments"><article class="comment"><p>I liked it very much, thank you for all that.</p></article></div></main>'
     assert html.main_text(listed, tree) == text.strip()
+
+
+COMMENT = "I liked this and want to say that in my view the matter is another, as one sees when one looks at the many cases that were known before. " * 4
+
+
+@pytest.mark.parametrize("after", ["<div id='comments'><p>{}</p></div>", "<section><h2>What readers say</h2><p>{}</p></section>", "<section><p>{}</p><p>{}</p></section>", "<div><h3>More stories</h3><ul><li><a href=1>One story of it</a><li><a href=2>Another one</a></ul></div><div class=replies><p>{}</p></div>", "<ol class=commentlist><li class=comment><p>{}</p></ol>"])
+def test_what_follows_an_article_is_left_out(after):
+    tree = html.default_tree()
+    body = f"<h1>Its title</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    after = after.replace("{}", COMMENT)
+    wanted = "\n".join(("Its title", PROSE.strip(), PROSE.strip()))
+    assert html.main_text(f"<body><article>{body}</article>{after}</body>", tree) == wanted
+    if "commentlist" in after:
+        assert html.main_text(f"<body><div>{body}</div>{after}</body>", tree) == wanted
+
+
+def test_rules_before_the_tree_drop_no_main_text():
+    for _, text, kept in layouts.labelled_pages(5, 60):
+        page, left = html.Page(text), list(reversed(kept))
+        for (block, *_), out in zip(page.blocks, html.outside(page)):
+            if left and left[-1] == block:
+                left.pop()
+                assert not out
