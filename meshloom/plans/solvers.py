@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import elements as el
 from meshloom.operators import assembly as asm
-from meshloom.operators import contracts, coupled, gmres, krylov, mesh, multilevel, solve, tet4, transfer
+from meshloom.operators import contracts, coupled, gmres, krylov, mesh, multilevel, project, solve, tet4, transfer
 from meshloom.operators.tables import Tables
-from meshloom.plans.registry import SIZE_SQL, query, r9, sized, square_sql, table
+from meshloom.plans.registry import SIZE_SQL, query, r9, sized, sized_square_sql, square_sql, table
 
 
 def levels(spark, n: int, depth: int):
@@ -288,3 +288,16 @@ def oriented_faces(spark, sf):
     facets = mesh.boundary_facets(m).select((F.col("cell_id") * 4 + F.col("local")).alias("facet_id"), F.array_sort("nodes").alias("nodes"))
     out = tet4.oriented_boundary(m, facets)
     return out.agg(F.count("*").alias("face"), F.max(F.size("nodes")).cast("int").alias("nodes_out"))
+
+
+@query(f"""WITH {sized_square_sql()} SELECT CAST(n_nationkey AS BIGINT) AS case_id, node_id, round((1 + n_nationkey) * x - n_regionkey * y, 6) + 0.0 AS ex, round(2 + n_regionkey * x + y / (1 + n_nationkey), 6) + 0.0 AS ey
+FROM nodes, nation""")
+def projected_fields(spark, sf):
+    """Each nation's field, known at nine points of every cell, projected to nodes by the consistent mass matrix: all nations
+    and both components in one iteration over tables, on a mesh that grows with the part table. A linear field comes back whole."""
+    g = mesh.geometry(mesh.unit_square(spark, sized(spark, sf)))
+    cases = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("case_id"), (1.0 + F.col("n_nationkey")).alias("a"), F.col("n_regionkey").cast("double").alias("b"))
+    points = project.quadrature_points(g).crossJoin(F.broadcast(cases))  # 25 nations
+    fields = {"ex": F.col("a") * F.col("x") - F.col("b") * F.col("y"), "ey": 2.0 + F.col("b") * F.col("x") + F.col("y") / F.col("a")}
+    u = project.projected(g, points, fields)
+    return u.select("case_id", "node_id", (F.round("ex", 6) + 0.0).alias("ex"), (F.round("ey", 6) + 0.0).alias("ey"))
