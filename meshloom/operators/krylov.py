@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager, nullcontext
+from itertools import count
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import substructure
+from .mesh import ContractError
 from .solve import CgPolicy
 from .tables import Tables
 
@@ -66,7 +69,7 @@ class Matrix:
         return self.entries.where("row = node_id").select(*self.keys, F.col("v").alias("d"))
 
 
-def conjugate_gradients(k: DataFrame | Matrix, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-11, most=400), start: DataFrame | None = None, precondition: Callable[[DataFrame], DataFrame] | None = None, verify: bool = True) -> DataFrame:
+def conjugate_gradients(k: DataFrame | Matrix, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-11, most=400), start: DataFrame | None = None, precondition: Callable[[DataFrame], DataFrame] | None = None, verify: bool = True, direct: bool = False) -> DataFrame:
     """(case_id, node_id, u, iterations, backward_error, converged) of K u = f for every case of f(case_id, row, v).
 
     Preconditioned conjugate gradients with one product and one reduction an iteration: a step is one written state, from
@@ -74,13 +77,15 @@ def conjugate_gradients(k: DataFrame | Matrix, f: DataFrame, policy: CgPolicy =
     inverse diagonal where it is None. ``start``(case_id, node_id, u) is where the iteration begins. A solution counts if its
     recomputed residual is small against |K| |u| + |f|; else it is NaN. Without ``verify``, as
     inside an outer iteration that has its own test, the last state is returned as it is. Many solves with one matrix share a
-    ``Matrix``.
+    ``Matrix``. With ``direct`` the first solution is that of ``substructure`` where the numbering allows it, whose rounds don't
+    grow with the condition; the iteration then corrects what isn't admitted.
     """
     tables = Tables(f.sparkSession, "cg")
     with nullcontext(k) if isinstance(k, Matrix) else Matrix(tables, k) as matrix, shuffles(f.sparkSession, matrix.parts):
         x = None if start is None else start.select("case_id", "node_id", F.col("u").alias("x"), F.lit(0).alias("steps"))
         for attempt in range(CORRECTIONS + 1):
-            x = run(tables, matrix, unknowns(matrix, f), x, policy, precondition, attempt)
+            found = by_substructures(tables, matrix, f) if direct and not attempt else None
+            x = found if found is not None else run(tables, matrix, unknowns(matrix, f), x, policy, precondition, attempt)
             good = F.col("backward_error") <= policy.backward
             out = x if not verify else x.join(F.broadcast(errors(matrix, x)), "case_id")
             u = F.col("x") if not verify else F.when(good, F.col("x")).otherwise(F.lit(float("nan")))
@@ -93,6 +98,31 @@ def conjugate_gradients(k: DataFrame | Matrix, f: DataFrame, policy: CgPolicy =
                 return out
 
 
+def by_substructures(tables: Tables, matrix: Matrix, f: DataFrame) -> DataFrame | None:
+    """(case_id, node_id, d, b, x, steps) by direct solution, None where the numbering doesn't allow it."""
+    rows = tables.write("unknowns", unknowns(matrix, f))
+    k = matrix.entries.withColumnRenamed("node_id", "col")
+    u = substructure.solve(tables, "direct", k, rows.select("case_id", F.col("node_id").alias("row"), F.col("b").alias("v")), matrix.parts)
+    if u is None:
+        return None
+    return rows.join(u.withColumnRenamed("u", "x"), ["case_id", "node_id"], "left").select("case_id", "node_id", "d", "b", "x", F.lit(0).alias("steps"))
+
+
+def exact(tables: Tables, k: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A preconditioner for K(row, col, v): the solution by substructures, so that few steps are needed whatever the condition."""
+    k, calls = tables.write("exact-K", k.select("row", "col", "v")), count()
+
+    def apply(r: DataFrame) -> DataFrame:
+        name = f"exact-{next(calls)}"
+        r = tables.write(f"{name}-r", r.select("case_id", F.col("node_id").alias("row"), F.col("r").alias("v")))
+        z = substructure.solve(tables, name, k, r)
+        if z is None:
+            raise ContractError("linked nodes' numbers are too far apart")
+        return z.withColumnRenamed("u", "z")
+
+    return apply
+
+
 def unknowns(matrix: Matrix, f: DataFrame) -> DataFrame:
     """(case_id, node_id, d, b): a row for each row of the matrix, of a shared one in every case of f."""
     rows = matrix.diagonal()
@@ -147,7 +177,7 @@ def run(tables: Tables, matrix: Matrix, rows: DataFrame, x: DataFrame | None, po
         sums = sums.select("case_id", beta.alias("beta"), F.when(far & (curve > 0), F.col("gamma") / curve).alias("alpha"), "gamma")
         if n >= policy.most:
             break
-        if n % LOOK == 0 and (n or x is not None):
+        if n % (LOOK if precondition is None else 1) == 0 and (n or x is not None):
             cases, left = sums.agg(F.count("*"), F.count("alpha")).first()
             if not left:
                 break
@@ -169,13 +199,18 @@ def run(tables: Tables, matrix: Matrix, rows: DataFrame, x: DataFrame | None, po
     return out
 
 
-def solve_large(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-10, most=500), precondition=None) -> tuple[DataFrame, dict]:
+def solve_large(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-10, most=500), precondition=None, direct: bool = False) -> tuple[DataFrame, dict]:
     """(node_id, u) of one system K(row, col, v), f(row, v), and a report of it."""
-    out = conjugate_gradients(k, f.select(F.lit(0).cast("long").alias("case_id"), "row", "v"), policy, precondition=precondition)
+    out = conjugate_gradients(k, f.select(F.lit(0).cast("long").alias("case_id"), "row", "v"), policy, precondition=precondition, direct=direct)
     report = out.agg(F.max("iterations").alias("iterations"), F.max("backward_error").alias("backward_error"), F.min("converged").alias("converged")).first()
     return out.select("node_id", "u"), report.asDict()
 
 
 def solved(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-12, most=2000)) -> DataFrame:
-    """(node_id, u) of one system; NaN where it isn't admitted."""
-    return solve_large(k, f, policy)[0]
+    """(node_id, u) of one system by substructures, corrected by the iteration; NaN where it isn't admitted."""
+    return solve_large(k, f, policy, direct=True)[0]
+
+
+def iterated(k: DataFrame, f: DataFrame, policy: CgPolicy = CgPolicy(relative=1e-12, most=50)) -> DataFrame:
+    """(node_id, u) of one system by conjugate gradients that substructures precondition; NaN where it isn't admitted."""
+    return solve_large(k, f, policy, exact(Tables(k.sparkSession, "exact"), k))[0]

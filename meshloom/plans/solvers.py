@@ -63,7 +63,7 @@ def mesh_scale_cg(spark, sf):
     g = mesh.geometry(m).withColumn("j", column_of(n)).join(strips, "j")
     ends = m.nodes.where("x = 0 OR x = 1").select("node_id", F.col("x").alias("value"))
     k, f = held_apart(asm.stiffness(g, F.col("k")), asm.load(g, F.lit(0.0)), ends)
-    return krylov.solved(k, f).select("node_id", r9(F.round("u", 6)).alias("u"))
+    return krylov.iterated(*(kept(spark, d, n) for n, d in zip("kf", (k, f)))).select("node_id", r9(F.round("u", 6)).alias("u"))
 
 
 LAYERED = 4
