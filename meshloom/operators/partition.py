@@ -55,9 +55,13 @@ def missing_dofs(dofs: DataFrame, free: DataFrame) -> DataFrame:
 
 def prepare(dofs: DataFrame, owners: DataFrame) -> Topology:
     """The topology of cells(cell_id, local, dof) under owners(cell_id, owner)."""
-    cells = dofs.join(owners, "cell_id").select("cell_id", "owner", "local", "dof")
+    return of_cells(dofs.join(owners, "cell_id").select("cell_id", "owner", "local", "dof"))
+
+
+def of_cells(cells: DataFrame, own: DataFrame | None = None) -> Topology:
+    """The topology of cells(cell_id, owner, local, dof), with the owners of dofs where they are known."""
     seen = cells.where("dof IS NOT NULL").select("dof", F.col("owner").alias("user")).distinct()
-    own = seen.groupBy("dof").agg(F.min("user").alias("owner"))
+    own = own or seen.groupBy("dof").agg(F.min("user").alias("owner"))
     return Topology(cells, own, seen.join(own, "dof").where("user <> owner").select("user", "owner", "dof"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from meshloom.functions import elements as el
 from meshloom.operators import mesh, partition, physics
+from meshloom.operators.tables import Tables, only_marked_broadcasts
 from meshloom.plans.registry import EDGES_SQL, GK_SQL, OWNER_SQL, dot, query, r9, sized, sized_square_sql, square_sql, square_with_tables
 
 PARTS = 5
@@ -23,9 +26,29 @@ rowsum AS (SELECT km.cell_id, i, sum(v * u) AS v FROM km JOIN ca ON km.cell_id =
 part_sum AS (SELECT td.owner AS usr, td.dof, sum(v) AS v FROM rowsum JOIN td ON rowsum.cell_id = td.cell_id AND i = local WHERE td.dof IS NOT NULL GROUP BY 1, 2)"""
 
 
+def by_shuffles(run):
+    """A query over parts whose rows are written while no table of the mesh may be broadcast."""
+
+    @functools.wraps(run)
+    def written(spark, sf):
+        with only_marked_broadcasts(spark):
+            return Tables(spark, "parts").write(run.__name__, run(spark, sf))
+
+    return written
+
+
+def kept(t: partition.Topology) -> partition.Topology:
+    """The topology, written: a query reads it several times."""
+    tables = Tables(t.cells.sparkSession, "topology")
+    cells = tables.write("cells", t.cells)
+    seen = partition.of_cells(cells)
+    own = tables.write("own", seen.own)
+    return partition.Topology(cells, own, tables.write("ghosts", partition.of_cells(cells, own).ghosts))
+
+
 def topology(m) -> partition.Topology:
     free = m.nodes.where("x > 0 AND x < 1 AND y > 0 AND y < 1").select(F.col("node_id").alias("dof"))
-    return partition.prepare(partition.reduced(partition.node_dofs(m), free), mesh.cell_owners(m, PARTS))
+    return kept(partition.prepare(partition.reduced(partition.node_dofs(m), free), mesh.cell_owners(m, PARTS)))
 
 
 def values(m):
@@ -40,6 +63,7 @@ BASE = f"{GK_SQL}, {OWNER_SQL}, {TOPOLOGY_SQL}, {LOCAL_SQL}"
 
 
 @query(f"WITH {sized_square_sql()}, {OWNER_SQL}, {TOPOLOGY_SQL} SELECT usr AS user, owner, dof, round(u, 9) AS u FROM gh JOIN xv USING (dof)")
+@by_shuffles
 def halo_exchange(spark, sf):
     """Ghost values, from their owners to those that need them."""
     m = mesh.unit_square(spark, sized(spark, sf))
@@ -48,6 +72,7 @@ def halo_exchange(spark, sf):
 
 
 @query(f"WITH {sized_square_sql()}, {OWNER_SQL}, {TOPOLOGY_SQL} SELECT cell_id, owner, local, round(coalesce(u, 0), 9) + 0.0 AS u FROM td LEFT JOIN xv USING (dof)")
+@by_shuffles
 def cell_gather(spark, sf):
     """Values at the corners of every owner's cells, zero at constrained ones."""
     m = mesh.unit_square(spark, sized(spark, sf))
@@ -57,6 +82,7 @@ def cell_gather(spark, sf):
 
 
 @query(f"{BASE}, {PRODUCT_SQL} SELECT usr AS user, dof, round(v, 9) + 0.0 AS v FROM part_sum")
+@by_shuffles
 def local_products(spark, sf):
     """Each owner's part of the product, before ghost rows are summed."""
     m, g = square_with_tables(spark, sf)
@@ -66,6 +92,7 @@ def local_products(spark, sf):
 
 
 @query(f"{BASE}, {PRODUCT_SQL} SELECT owner, dof, round(sum(v), 9) + 0.0 AS v FROM part_sum JOIN dn USING (dof) GROUP BY 1, 2")
+@by_shuffles
 def ghost_reduction(spark, sf):
     """Ghost rows added to those of their owners."""
     m, g = square_with_tables(spark, sf)
@@ -75,6 +102,7 @@ def ghost_reduction(spark, sf):
 
 
 @query(f"{BASE}, {PRODUCT_SQL} SELECT dof, round(sum(v), 9) + 0.0 AS v FROM part_sum GROUP BY 1")
+@by_shuffles
 def owned_matvec(spark, sf):
     """The product by halos and ghost sums equals the product without owners."""
     m, g = square_with_tables(spark, sf)
@@ -82,13 +110,14 @@ def owned_matvec(spark, sf):
 
 
 @query("SELECT true AS equal, 0.0 AS far")
+@by_shuffles
 def owner_invariance(spark, sf):
     """One row: owned and serial products agree, whatever the number of owners."""
     m, g = square_with_tables(spark, sf)
     matrix, x = cell_matrices(g), values(m)
     free = m.nodes.where("x > 0 AND x < 1 AND y > 0 AND y < 1").select(F.col("node_id").alias("dof"))
     dofs = partition.reduced(partition.node_dofs(m), free)
-    owned = partition.owned_matvec(partition.prepare(dofs, mesh.cell_owners(m, 3)), matrix, x)
+    owned = partition.owned_matvec(kept(partition.prepare(dofs, mesh.cell_owners(m, 3))), matrix, x)
     far = partition.relative_difference(partition.require_finite(owned, "v"), partition.serial_matvec(dofs, matrix, x))
     return far.select((F.col("difference") < 1e-12).alias("equal"), F.round("difference", 9).alias("far"))
 
@@ -96,6 +125,7 @@ def owner_invariance(spark, sf):
 @query(f"""WITH {sized_square_sql()}, {OWNER_SQL}, {TOPOLOGY_SQL}, c AS (SELECT owner, count(DISTINCT cell_id) AS cells FROM td GROUP BY 1),
 o AS (SELECT owner, count(*) AS owned FROM dn GROUP BY 1), h AS (SELECT usr AS owner, count(*) AS ghosts FROM gh GROUP BY 1)
 SELECT owner, cells, coalesce(owned, 0) AS owned, coalesce(ghosts, 0) AS ghosts FROM c LEFT JOIN o USING (owner) LEFT JOIN h USING (owner)""")
+@by_shuffles
 def owner_layout(spark, sf):
     """Cells, owned dofs and ghosts of each owner: the sizes of its arrays."""
     t = topology(mesh.unit_square(spark, sized(spark, sf)))
@@ -104,6 +134,7 @@ def owner_layout(spark, sf):
 
 
 @query(f"WITH {sized_square_sql()}, {OWNER_SQL}, {TOPOLOGY_SQL} SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY dof) - 1 AS slot, dof, round(u, 9) AS u FROM dn JOIN xv USING (dof)")
+@by_shuffles
 def packed_vector(spark, sf):
     """Values in slots of their owner, in the order of the dofs."""
     m = mesh.unit_square(spark, sized(spark, sf))
@@ -112,6 +143,7 @@ def packed_vector(spark, sf):
 
 
 @query(f"WITH {sized_square_sql()}, {OWNER_SQL}, {TOPOLOGY_SQL} SELECT dof, round(u, 9) AS u FROM dn JOIN xv USING (dof)")
+@by_shuffles
 def unpacked_vector(spark, sf):
     """Packed values back in the order of the dofs."""
     m = mesh.unit_square(spark, sized(spark, sf))
@@ -122,12 +154,14 @@ def unpacked_vector(spark, sf):
 
 @query(f"""WITH {sized_square_sql()}, {OWNER_SQL}, {TOPOLOGY_SQL}, o AS (SELECT owner, count(*) AS owned FROM dn GROUP BY 1)
 SELECT owner, s.slot, s.slot < owned AS active FROM o, (SELECT unnest(range((SELECT max(owned) FROM o))) AS slot) s""")
+@by_shuffles
 def packed_mask(spark, sf):
     """Which slots of equally long owners' arrays hold a dof."""
     return partition.owned_mask(topology(mesh.unit_square(spark, sized(spark, sf))))
 
 
 @query(f"{BASE}, sl AS (SELECT cell_id, owner, row_number() OVER (PARTITION BY owner ORDER BY cell_id) - 1 AS slot FROM own) SELECT owner, slot, cell_id, i, j, round(v, 9) + 0.0 AS v FROM km JOIN sl USING (cell_id)")
+@by_shuffles
 def packed_cell_matrix(spark, sf):
     """Cell matrices in slots of their owner."""
     m, g = square_with_tables(spark, sf)
@@ -135,6 +169,7 @@ def packed_cell_matrix(spark, sf):
 
 
 @query(f"{BASE}, sl AS (SELECT cell_id, owner, row_number() OVER (PARTITION BY owner ORDER BY cell_id) - 1 AS slot FROM own) SELECT owner, slot, cell_id, i, round(q * area / 3, 9) + 0.0 AS v FROM gk JOIN sl USING (cell_id), (SELECT unnest([0, 1, 2]) AS i)")
+@by_shuffles
 def packed_cell_vector(spark, sf):
     """Cell loads in slots of their owner."""
     m, g = square_with_tables(spark, sf)
@@ -143,6 +178,7 @@ def packed_cell_vector(spark, sf):
 
 
 @query(f"{BASE} SELECT dof, round(sum(q * area / 3), 9) + 0.0 AS v FROM gk JOIN td USING (cell_id) WHERE dof IS NOT NULL GROUP BY 1")
+@by_shuffles
 def rhs_assembly(spark, sf):
     """Loads summed within each owner, then at the owners of the dofs."""
     m, g = square_with_tables(spark, sf)
@@ -158,6 +194,7 @@ def placement_report(spark, sf):
 
 
 @query(f"WITH {sized_square_sql()}, {OWNER_SQL}, {TOPOLOGY_SQL} SELECT round(sum(u * u), 6) AS dot FROM dn JOIN xv USING (dof)")
+@by_shuffles
 def owner_dot(spark, sf):
     """The global product of owned vectors; ghosts don't count twice."""
     m = mesh.unit_square(spark, sized(spark, sf))
