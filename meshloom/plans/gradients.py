@@ -42,11 +42,11 @@ def state_pullback(spark, sf):
     return both.select("parameter", r9(F.col("g")).alias("gradient"))
 
 
-@query(f"WITH {SIZE_SQL} SELECT 2 * CAST(pow(2, 2 * greatest(2, floor(log2(n)) - 1)) AS BIGINT) AS cells, 1.0 AS ratio FROM size")
+@query(f"WITH {SIZE_SQL} SELECT 2 * n * n AS cells, 1.0 AS ratio FROM size")
 def source_cotangent(spark, sf):
     """Derivatives by each cell's additive source on a mesh that grows with the parts: they predict the change that a step
     of the source makes, exactly, as the state is linear in it."""
-    n = max(4, 1 << (sized(spark, sf).bit_length() - 2))
+    n = sized(spark, sf)
     m = mesh.unit_square(spark, n)
     coefficients = cell_k(spark, sf, 2 * n * n).join(cell_q(spark, sf, 2 * n * n), "cell_id")
     weight = mean_weight(m)

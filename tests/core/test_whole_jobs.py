@@ -15,3 +15,10 @@ def test_port_shifts_cover_the_first_eight(spark, sf):
     assert set(range(8)) <= cases
     out = registry.QUERIES["port_shift_solve"](spark, sf).collect()
     assert {r.case_id for r in out} == cases and all(r.solved and r.plain and r.inverted for r in out)
+
+
+def test_source_cotangent_has_the_whole_mesh(spark, sf):
+    """Every cell of the mesh that grows with the parts, not of one with a power of two of intervals, halved."""
+    n = registry.sized(spark, sf)
+    row = registry.QUERIES["source_cotangent"](spark, sf).first()
+    assert (row.cells, row.ratio) == (2 * n * n, 1.0)
