@@ -182,6 +182,8 @@ def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1)
     """(case_id, node_id, u) of K u = f for K([case_id,] row, col, v) and f(case_id, row, v), which has a row for each row of K
     (in each case of f, if K is shared); written, systems of a small span in so many ``parts``. None where the numbers are too far apart."""
     shared = "case_id" not in k.columns
+    # tasks return long ids, whatever type the cases' table has
+    k, f = (t.withColumns({c: F.col(c).cast("long") for c in ("case_id", "row", "col") if c in t.columns}) for t in (k, f))
     found = extent(k)
     if found.lo is None:
         return None

@@ -45,6 +45,8 @@ def test_each_case_its_own_matrix(spark, monkeypatch, n):
     k, f = tables[0]
     for p, q in tables[1:]:
         k, f = k.unionByName(p), f.unionByName(q)
+    k = k.withColumn("case_id", k.case_id.cast("int"))  # as nations' numbers are
+    f = f.withColumn("case_id", f.case_id.cast("int"))
     got = {}
     for r in substructure.solve(Tables(spark, "sub"), "x", k, f, 3).collect():
         got.setdefault(r.case_id, {})[r.node_id] = r.u
