@@ -79,7 +79,7 @@ def layered_heat(spark, sf):
     m = mesh.unit_square(spark, LAYERED)
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"), "p_size", (2.0 * (1 + F.col("p_partkey") % 7)).alias("q"), (300.0 + F.col("p_retailprice") / 97.0).alias("hi"))
     k, f = case_systems(m, parts, F.col("p_size") * (1 + (F.col("case_id") + 3 * column_of(LAYERED)) % 9) / 10.0, F.when(F.col("x") == 0, 300.0).when(F.col("x") == 1, F.col("hi")))
-    return krylov.conjugate_gradients(k, f, solve.CgPolicy(relative=1e-12, most=500)).select("case_id", "node_id", F.round("u", 6).alias("t"))
+    return krylov.conjugate_gradients(k, f, solve.CgPolicy(relative=1e-12, most=500), direct=True).select("case_id", "node_id", F.round("u", 6).alias("t"))
 
 
 def case_systems(m, cases, conductivity, value):
@@ -106,7 +106,7 @@ def cell_heat(spark, sf):
     rim = F.when(F.expr("x = 0 OR x = 1 OR y = 0 OR y = 1"), 0.0)
     tables = Tables(spark, "cell-heat")
     k, f = (tables.write(n, t) for n, t in zip("kf", case_systems(m, cases, (1 + (F.col("cell_id") * 31 + F.col("case_id") * 17) % 97).cast("double"), rim)))
-    u = krylov.conjugate_gradients(k, f)
+    u = krylov.conjugate_gradients(k, f, direct=True)
     ku = k.join(u.select("case_id", F.col("node_id").alias("col"), "u"), ["case_id", "col"]).groupBy("case_id", "row").agg(F.sum(F.col("v") * F.col("u")).alias("ku"))
     rows = f.join(ku, ["case_id", "row"]).join(u.select("case_id", F.col("node_id").alias("row"), "u"), ["case_id", "row"])
     out = rows.groupBy("case_id").agg(F.round(F.sum("v"), 6).alias("load"), (F.round(F.max(F.abs(F.col("ku") - F.col("v"))) / F.max(F.abs("v")), 6) + 0.0).alias("off"), F.round(F.sum(F.col("u") * F.col("ku")) / F.sum(F.col("u") * F.col("v")), 6).alias("energy"))
