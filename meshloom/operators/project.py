@@ -38,6 +38,6 @@ def projected(geometry: DataFrame, points: DataFrame, components: dict[str, Colu
     # all components from one pass over the points; a system's number is case_id * components + component
     entries = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"n{k}").alias("row"), (F.col("weight") * F.col(f"l{k}") * components[c]).alias("v")) for i, c in enumerate(names) for k in range(3)])
     f = points.select("case_id", F.inline(entries)).groupBy((F.col("case_id") * len(names) + F.col("part")).alias("case_id"), "row").agg(F.sum("v").alias("v"))
-    u = krylov.conjugate_gradients(asm.mass(geometry, F.lit(1.0)), f, policy)
+    u = krylov.conjugate_gradients(asm.mass(geometry, F.lit(1.0)), f, policy, direct=True)
     case, part = F.floor(F.col("case_id") / len(names)).cast("long"), F.col("case_id") % len(names)
     return u.groupBy(case.alias("case_id"), "node_id").agg(*[F.max(F.when(part == i, F.col("u"))).alias(c) for i, c in enumerate(names)])
