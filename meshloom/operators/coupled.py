@@ -152,12 +152,12 @@ class Coupled:
             k, load = self.conduction(self.wide(active, ["rise"], some), f"K-{n}")
             load = load.join(volts, "case_id").select("case_id", "row", (F.col("v") * F.col("volts")).alias("v"))
             free = active.where("end IS NULL")
-            phi = krylov.conjugate_gradients(k, load, POLICY, start=free.select("case_id", "node_id", F.col("phi").alias("u")), verify=False)
+            phi = krylov.conjugate_gradients(k, load, POLICY, start=free.select("case_id", "node_id", F.col("phi").alias("u")), verify=False, direct=True)
             now = active.join(phi.select("case_id", "node_id", "u"), ["case_id", "node_id"], "left").withColumn("phi", F.coalesce("u", "phi")).drop("u")
             now = self.tables.write(f"potential-{n}", now)
             wide = self.wide(now, ["rise", "phi"], some)
             source = self.on_free(self.summed(wide.withColumn("area", F.col("area") / F.col("k")), self.heat()))
-            rise = krylov.conjugate_gradients(self.unit, source, POLICY, start=free.select("case_id", "node_id", F.col("rise").alias("u")), verify=False)
+            rise = krylov.conjugate_gradients(self.unit, source, POLICY, start=free.select("case_id", "node_id", F.col("rise").alias("u")), verify=False, direct=True)
             moved = now.join(rise.select("case_id", "node_id", "u"), ["case_id", "node_id"], "left").fillna(0.0, ["u"])
             moved = self.tables.write(f"moved-{n}", moved.withColumn("now", F.col("u") - F.col("rise")))
             moved = relaxed(moved, [("rise", "now", "step")], "change", self.relax)
@@ -204,10 +204,10 @@ class Coupled:
                 seed = seed.select("case_id", "node_id", (F.col("w") / F.col("k")).alias("v"))
                 right = self.on_free(direct.unionByName(seed).groupBy("case_id", "node_id").agg(F.sum("v").alias("v")))
                 start = lambda c: adjoint.where("end IS NULL").select("case_id", "node_id", F.col(c).alias("u"))  # noqa: B023, E731
-                lt = krylov.conjugate_gradients(self.unit, right, POLICY, start=start("lt"), verify=False)
+                lt = krylov.conjugate_gradients(self.unit, right, POLICY, start=start("lt"), verify=False, direct=True)
                 half = self.tables.write(f"half-{n}", self.with_step(adjoint, lt, "lt"))
                 tried = half.withColumn("lt", F.col("lt") + F.col("lt_now"))
-                lp = krylov.conjugate_gradients(matrix, self.on_free(self.summed(self.wide(tried, names), self.load_by_phi())), POLICY, start=start("lp"), verify=False)
+                lp = krylov.conjugate_gradients(matrix, self.on_free(self.summed(self.wide(tried, names), self.load_by_phi())), POLICY, start=start("lp"), verify=False, direct=True)
                 moved = self.tables.write(f"both-{n}", self.with_step(half, lp, "lp"))
                 moved = relaxed(moved, [("lt", "lt_now", "lt_step"), ("lp", "lp_now", "lp_step")], "change", 1.0)
                 moved = self.tables.write(f"adjoint-{n + 1}", moved.select(*adjoint.columns))
