@@ -10,7 +10,7 @@ In Spark this takes two passes. The first visits only the ``FIRST`` leading list
 scores found there hold back all other lists that can't matter from the second. A visit (list, the anchors that need
 it) is a row, joined to the list's rows in parts of ``PART``; long lists are dealt to several keys, so one that holds a third
 of all rows is spread. Tasks return k rows an anchor, window and part, and a limited window merges them. What is
-broadcast are centroids, radii and sizes: ``LISTS`` at most for a number of components.
+broadcast are centroids, radii and sizes: ``LISTS`` at most for a number of components; no table is.
 
 Positives are one window over the same label without bounds; the windows of the negatives follow from their scores.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, few_and_heavy
+from .common import Scratch, few_and_heavy, settings
 
 SCALE = 256.0
 #: Rows that the centroids are fitted on, the most lists of a number of components, and rounds of k-means.
@@ -70,9 +70,10 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarra
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x), np.int64)
     half = 0.5 * (c * c).sum(1)
-    for i in range(0, len(x), 4096):
+    step = max(1, (1 << 20) // len(c))
+    for i in range(0, len(x), step):
         with np.errstate(all="ignore"):
-            out[i : i + 4096] = np.nan_to_num(half - x[i : i + 4096] @ c.T, nan=np.inf).argmin(1)
+            out[i : i + step] = np.nan_to_num(half - x[i : i + step] @ c.T, nan=np.inf).argmin(1)
     return out
 
 
@@ -285,7 +286,8 @@ def mined(table: DataFrame, every: int = 100, positives: int = 5, negatives: int
     spark = table.sparkSession
     scratch = Scratch(spark, "negatives")
     rows = scratch.write("rows", integer_rows(table))
-    with few_and_heavy(spark, 64):
+    # a written table of vectors is many times its file, by which Spark would choose it for a broadcast
+    with few_and_heavy(spark, 64), settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         index = Lists(scratch, rows, lists)
         anchors = scratch.write("anchors", index.rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("a", F.monotonically_increasing_id()))
 
@@ -305,8 +307,9 @@ def mined(table: DataFrame, every: int = 100, positives: int = 5, negatives: int
         asked = scratch.write("asked", asked)
         far = both_passes("negatives", asked, negatives, False)
     pairs = near.select("a", (F.col("n") - 1).alias("w"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    pairs = pairs.join(anchors.select("a", F.col("vec_id").alias("anchor_id")), "a")
-    out = far.select("a", "w", F.col("n").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).join(pairs, ["a", "w"])
+    # these joins run when the result is read, under settings of the caller
+    pairs = pairs.join(anchors.select("a", F.col("vec_id").alias("anchor_id")).hint("merge"), "a")
+    out = far.select("a", "w", F.col("n").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).hint("merge").join(pairs, ["a", "w"])
     scratch.drop_but("positives", "negatives", "anchors")
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

@@ -75,3 +75,20 @@ def test_bounds_hold_and_skip_lists():
         assert need[i, own[scores[i] >= least[i]]].all()
     near = np.full(50, 10)
     assert negatives.needed(middle, lower, upper, -near, near, none, False).mean() < 1  # lists outside a window are skipped
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    """Before, lists of vectors whose file is small were collected on the driver: a file tells little of what it unpacks to."""
+    plans = []
+    write = negatives.Scratch.write
+
+    def seen(self, name, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, name, df)
+
+    monkeypatch.setattr(negatives.Scratch, "write", seen)
+    rows = [(i, [math.sin(i), math.cos(i)], i % 3) for i in range(300)]
+    out = negatives.mined(table_of(spark, rows))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert got(out) == brute(rows) and len(plans) > 8
+    assert not any("Broadcast" in p for p in plans)
