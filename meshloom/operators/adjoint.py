@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import elements as el
 
 from . import assembly as asm
-from . import krylov
+from . import krylov, solve
 from .mesh import Mesh, geometry
 from .tables import Tables
 
@@ -126,9 +126,17 @@ class Electrothermal:
 # --- the coupled problem ----------------------------------------------------------------------------------------------
 
 
+def scattered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values (..., i) by at[i] in 0 .. n - 1."""
+    rows = values.reshape(-1, len(at))
+    where = np.arange(len(rows))[:, None] * n + at
+    return np.bincount(where.ravel(), rows.ravel(), len(rows) * n).reshape(*values.shape[:-1], n)
+
+
 class Coupled:
     """phi and T of sigma(T) = s / (1 + a (T - t0)) on arrays: the state by block iteration, gradients by one transposed
-    solve with the Jacobian of both residuals. For meshes that fit a worker."""
+    solve with the Jacobian of both residuals. Parameters are numbers, or arrays of many cases, whose states then have their
+    axes before that of the nodes. For meshes that fit a worker."""
 
     NAMES = ("sigma", "alpha", "k", "volts", "t0")
 
@@ -137,6 +145,8 @@ class Coupled:
         self.left, self.right = left, right
         self.held = np.union1d(left, right)
         self.free = np.setdiff1d(np.arange(n), self.held)
+        self.local = np.einsum("cia,cja,c->cij", grads, grads, area)
+        self.unit = self.blocks(self.local)
 
     @classmethod
     def of(cls, mesh: Mesh, ends: DataFrame) -> Coupled:
@@ -147,89 +157,101 @@ class Coupled:
         left, right = (np.sort(at.loc[at["name"] == s, "node_id"].to_numpy()) for s in ("left", "right"))
         return cls(tri, grads, g["area"].to_numpy(), left, right, int(tri.max()) + 1)
 
+    def blocks(self, values: np.ndarray) -> np.ndarray:
+        """Matrices over all nodes of (..., cell, 3, 3)."""
+        at = (np.repeat(self.tri, 3, 1) * self.n + np.tile(self.tri, (1, 3))).ravel()
+        return scattered(at, values.reshape(*values.shape[:-3], -1), self.n**2).reshape(*values.shape[:-3], self.n, self.n)
+
+    def inner(self, matrix: np.ndarray) -> np.ndarray:
+        return matrix[..., self.free, :][..., self.free]
+
     def matrix(self, coefficient: np.ndarray) -> np.ndarray:
-        local = np.einsum("cia,cja,c->cij", self.grads, self.grads, self.area * coefficient)
-        out = np.zeros((self.n, self.n))
-        np.add.at(out, (np.repeat(self.tri, 3, 1).ravel(), np.tile(self.tri, (1, 3)).ravel()), local.ravel())
-        return out
+        return self.blocks(self.local * coefficient[..., None, None])
 
     def law(self, p: dict, t: np.ndarray) -> np.ndarray:
-        return p["sigma"] / (1 + p["alpha"] * (t[self.tri] - p["t0"]))
+        sigma, alpha, t0 = (np.asarray(p[n], float)[..., None, None] for n in ("sigma", "alpha", "t0"))
+        return sigma / (1 + alpha * (t[..., self.tri] - t0))
 
     def residual(self, p: dict, phi: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Both residuals on free nodes, held nodes as they are."""
         s = self.law(p, t)
-        field = -np.einsum("cia,ci->ca", self.grads, phi[self.tri])
-        q = s * (field**2).sum(1)[:, None]
-        nodal = self.area[:, None] / 12 * (q + q.sum(1, keepdims=True))
-        load = np.bincount(self.tri.ravel(), nodal.ravel(), self.n)
-        return np.concatenate([(self.matrix(s.mean(1)) @ phi)[self.free], (self.matrix(np.full(len(self.tri), p["k"])) @ t - load)[self.free]])
+        field = -np.einsum("cia,...ci->...ca", self.grads, phi[..., self.tri])
+        q = s * (field**2).sum(-1)[..., None]
+        nodal = self.area[:, None] / 12 * (q + q.sum(-1, keepdims=True))
+        load = scattered(self.tri.ravel(), nodal.reshape(*nodal.shape[:-2], -1), self.n)
+        current = (self.matrix(s.mean(-1)) @ phi[..., None])[..., 0]
+        heat = np.asarray(p["k"], float)[..., None] * (t @ self.unit) - load
+        return np.concatenate([current[..., self.free], heat[..., self.free]], -1)
 
     def fields(self, p: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        phi, t = np.zeros(self.n), np.full(self.n, p["t0"], float)
-        phi[self.right] = p["volts"]
-        m = len(self.free)
-        phi[self.free], t[self.free] = x[:m], x[m:]
+        shape, m = (*x.shape[:-1], self.n), len(self.free)
+        phi, t = np.zeros(shape), np.broadcast_to(np.asarray(p["t0"], float)[..., None], shape).copy()
+        phi[..., self.right] = np.asarray(p["volts"], float)[..., None]
+        phi[..., self.free], t[..., self.free] = x[..., :m], x[..., m:]
         return phi, t
 
     def solve(self, p: dict, tolerance: float = 1e-13, most: int = 200) -> np.ndarray:
-        m = len(self.free)
-        x = np.concatenate([np.zeros(m), np.full(m, p["t0"], float)])
-        kt = self.matrix(np.full(len(self.tri), p["k"]))[np.ix_(self.free, self.free)]
+        """The state of every case at once; those that have settled leave."""
+        shape, m = np.broadcast_shapes(*(np.shape(p[n]) for n in self.NAMES)), len(self.free)
+        p = {n: np.broadcast_to(np.asarray(p[n], float), shape).ravel() for n in self.NAMES}
+        x = np.concatenate([np.zeros((len(p["t0"]), m)), np.repeat(p["t0"][:, None], m, 1)], 1)
+        going = np.arange(len(x))
         for _ in range(most):
-            phi, t = self.fields(p, x)
-            k = self.matrix(self.law(p, t).mean(1))
-            phi[self.free] = np.linalg.solve(k[np.ix_(self.free, self.free)], -(k[np.ix_(self.free, self.held)] @ phi[self.held]))
-            r = self.residual(p, phi, t)[m:]
-            step = np.linalg.solve(kt, r)
-            new = np.concatenate([phi[self.free], t[self.free] - step])
-            if np.linalg.norm(new - x) <= tolerance * np.linalg.norm(new):
-                return new
-            x = new
+            now = {n: v[going] for n, v in p.items()}
+            phi, t = self.fields(now, x[going])
+            k = self.matrix(self.law(now, t).mean(-1))
+            given = k[:, self.free][:, :, self.held] @ phi[:, self.held, None]
+            phi[:, self.free] = np.linalg.solve(self.inner(k), -given)[..., 0]
+            r = self.residual(now, phi, t)[:, m:]
+            step = np.linalg.solve(self.inner(self.unit), r.T).T / now["k"][:, None]
+            new = np.concatenate([phi[:, self.free], t[:, self.free] - step], 1)
+            settled = np.linalg.norm(new - x[going], axis=1) <= tolerance * np.linalg.norm(new, axis=1)
+            x[going] = new
+            going = going[~settled]
+            if not len(going):
+                return x.reshape(*shape, 2 * m)
         raise ValueError("the coupled iteration doesn't settle")
 
     def jacobian(self, p: dict, x: np.ndarray) -> np.ndarray:
         """d residual / d x, by blocks in closed form."""
         phi, t = self.fields(p, x)
         s = self.law(p, t)
-        ds = -s * p["alpha"] / (1 + p["alpha"] * (t[self.tri] - p["t0"]))
-        grad = np.einsum("cia,ci->ca", self.grads, phi[self.tri])
-        e2 = (grad**2).sum(1)
-        local = np.einsum("cia,cja,c->cij", self.grads, self.grads, self.area)
-        row, col = np.repeat(self.tri, 3, 1).ravel(), np.tile(self.tri, (1, 3)).ravel()
-
-        def block(values):
-            out = np.zeros((self.n, self.n))
-            np.add.at(out, (row, col), values.ravel())
-            return out[np.ix_(self.free, self.free)]
-
-        pp = block(local * s.mean(1)[:, None, None])
-        pt = block(np.einsum("cij,cj->ci", local, phi[self.tri])[:, :, None] * (ds / 3)[:, None, :])
+        alpha, t0 = (np.asarray(p[n], float)[..., None, None] for n in ("alpha", "t0"))
+        ds = -s * alpha / (1 + alpha * (t[..., self.tri] - t0))
+        grad = np.einsum("cia,...ci->...ca", self.grads, phi[..., self.tri])
+        e2 = (grad**2).sum(-1)
+        block = lambda values: self.inner(self.blocks(values))
+        pp = block(self.local * s.mean(-1)[..., None, None])
+        pt = block(np.einsum("cij,...cj->...ci", self.local, phi[..., self.tri])[..., None] * (ds / 3)[..., None, :])
         mass = (np.ones((3, 3)) + np.eye(3)) / 12
-        de = 2 * np.einsum("ca,cja->cj", grad, self.grads)
-        tp = block(-self.area[:, None, None] * np.einsum("il,cl->ci", mass, s)[:, :, None] * de[:, None, :])
-        tt = block(local * p["k"] - self.area[:, None, None] * mass[None] * (ds * e2[:, None])[:, None, :])
+        de = 2 * np.einsum("...ca,cja->...cj", grad, self.grads)
+        tp = block(-self.area[:, None, None] * np.einsum("il,...cl->...ci", mass, s)[..., None] * de[..., None, :])
+        tt = block(self.local * np.asarray(p["k"], float)[..., None, None, None] - self.area[:, None, None] * mass * (ds * e2[..., None])[..., None, :])
         return np.block([[pp, pt], [tp, tt]])
 
-    def gradient(self, p: dict, weight_phi: np.ndarray, weight_t: np.ndarray) -> dict[str, float]:
+    def gradient(self, p: dict, weight_phi: np.ndarray, weight_t: np.ndarray) -> dict[str, np.ndarray]:
         """d J / d p for J = weight_phi . phi + weight_t . T over all nodes."""
         x = self.solve(p)
         seed = np.concatenate([weight_phi[self.free], weight_t[self.free]])
-        lam = np.linalg.solve(self.jacobian(p, x).T, seed)
+        lam = np.linalg.solve(np.swapaxes(self.jacobian(p, x), -1, -2), np.broadcast_to(seed[:, None], (*x.shape, 1)))[..., 0]
         out = {}
         for name in self.NAMES:
-            step = 1e-6 * max(1.0, abs(p[name]))
+            step = 1e-6 * np.maximum(1.0, np.abs(p[name]))
             ends = []
             for sign in (1, -1):  # the residual is cheap: its partial derivative by central differences at a fixed state
                 q = {**p, name: p[name] + sign * step}
                 phi, t = self.fields(q, x)
-                ends.append((self.residual(q, phi, t), weight_phi @ phi + weight_t @ t))
-            out[name] = float((ends[0][1] - ends[1][1]) / (2 * step) - lam @ (ends[0][0] - ends[1][0]) / (2 * step))
+                ends.append((self.residual(q, phi, t), phi @ weight_phi + t @ weight_t))
+            out[name] = (ends[0][1] - ends[1][1]) / (2 * step) - (lam * (ends[0][0] - ends[1][0])).sum(-1) / (2 * step)
         return out
 
-    def functional(self, p: dict, weight_phi: np.ndarray, weight_t: np.ndarray) -> float:
+    def functional(self, p: dict, weight_phi: np.ndarray, weight_t: np.ndarray) -> np.ndarray:
         phi, t = self.fields(p, self.solve(p))
-        return float(weight_phi @ phi + weight_t @ t)
+        return phi @ weight_phi + t @ weight_t
+
+
+#: Entries of all matrices of a batch of cases at most.
+ENTRIES = 1 << 19
 
 
 def coupled_gradients(cases: DataFrame, mesh: Mesh, ends: DataFrame) -> DataFrame:
@@ -237,16 +259,17 @@ def coupled_gradients(cases: DataFrame, mesh: Mesh, ends: DataFrame) -> DataFram
     the implicit adjoint beside central differences of whole solves."""
     problem = Coupled.of(mesh, ends)
 
+    size = max(1, ENTRIES // problem.n**2)
+
     def run(batches):
         for batch in batches:
-            out = []
-            for c in batch.itertuples(index=False):
-                p = {n: float(getattr(c, n)) for n in Coupled.NAMES}
+            for i in range(0, len(batch), size):
+                part = batch.iloc[i : i + size]
+                p = {n: part[n].to_numpy(float) for n in Coupled.NAMES}
                 wt, wp = np.full(problem.n, 1 / problem.n), np.zeros(problem.n)
                 for name, value in problem.gradient(p, wp, wt).items():
-                    step = 1e-3 * max(1e-3, abs(p[name]))
+                    step = 1e-3 * np.maximum(1e-3, np.abs(p[name]))
                     ends = [problem.functional({**p, name: p[name] + s * step}, wp, wt) for s in (1, -1)]
-                    out.append((c.case_id, name, value, (ends[0] - ends[1]) / (2 * step)))
-            yield pd.DataFrame(out, columns=["case_id", "parameter", "gradient", "difference"])
+                    yield pd.DataFrame({"case_id": part["case_id"], "parameter": name, "gradient": value, "difference": (ends[0] - ends[1]) / (2 * step)})
 
-    return cases.select("case_id", *Coupled.NAMES).mapInPandas(run, "case_id long, parameter string, gradient double, difference double")
+    return solve.dealt(cases.select("case_id", *Coupled.NAMES)).mapInPandas(run, "case_id long, parameter string, gradient double, difference double")

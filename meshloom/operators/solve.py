@@ -53,6 +53,15 @@ def pcg(row, col, v, b, policy: CgPolicy = CgPolicy()):
     return (x if ok else np.full(n, np.nan)), k, error, ok
 
 
+#: Cases of a task.
+CASES = 1024
+
+
+def dealt(cases: DataFrame) -> DataFrame:
+    """Cases in so many tasks as they are work for, however few files or bytes they are."""
+    return cases.repartition(max(1, -(-cases.count() // CASES)), "case_id")
+
+
 def fresh(df: DataFrame) -> DataFrame:
     """The same columns under new identities: both sides of a cogroup may come of one table."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

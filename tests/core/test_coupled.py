@@ -26,3 +26,15 @@ def test_state_and_gradient_agree_with_dense_solves_and_an_iteration_goes_on(spa
         for name, value in dense.gradient(p, none, mean).items():
             assert slopes[i][name] == pytest.approx(value, rel=1e-5, abs=1e-6)
     assert told[1].rise_max == 0 and told[1].power == 0
+
+
+def test_a_batch_of_cases_has_the_gradients_of_each(spark):
+    """Before, parameters were one case's numbers, and so were a worker's solves."""
+    m = mesh.unit_square(spark, 2)
+    dense = adjoint.Coupled.of(m, physics.side_nodes(m, "left", "right"))
+    cases = [{"sigma": 2.0, "alpha": 3e-3, "k": 0.5, "volts": 8.0, "t0": 300.0}, {"sigma": 1.0, "alpha": 1e-2, "k": 1.0, "volts": 0.0, "t0": 290.0}]
+    mean, some = np.full(dense.n, 1 / dense.n), np.arange(dense.n) / dense.n
+    both = dense.gradient({n: np.array([c[n] for c in cases]) for n in dense.NAMES}, some, mean)
+    for i, c in enumerate(cases):
+        for name, value in dense.gradient(c, some, mean).items():
+            assert both[name][i] == pytest.approx(value, rel=1e-6, abs=1e-6)
