@@ -80,13 +80,19 @@ def balance(k: DataFrame, f: DataFrame, u: DataFrame, fixed: DataFrame) -> DataF
     return out.withColumn("imbalance", F.abs(F.col("load") + F.col("reaction")) / (F.abs("load") + F.abs("reaction")))
 
 
+#: Entries of all matrices of a batch of cases at most.
+ENTRIES = 1 << 20
+
+
 def self_consistent(cases: DataFrame, mesh: Mesh, relax: float = 1.0, tolerance: float = 1e-12, most: int = 100) -> DataFrame:
     """(case_id, t_max, power, iterations, change, charge, heat, converged) of Joule heating with sigma(T) = s / (1 + a (T -
     t0)); charge and heat are the relative imbalances of the ends' currents, and of the power and the heat that leaves.
 
     cases(case_id, sigma, alpha, volts, k, t0): potential 0 left and ``volts`` right, temperature t0 on both. The mesh
-    has a fixed size, is read once and sent along; each case is a block Gauss-Seidel iteration in a worker.
+    has a fixed size, is read once and sent along; a batch of cases is a block Gauss-Seidel iteration in a worker, over
+    dense matrices.
     """
+    policy = solve.CgPolicy()
     g = geometry(mesh).orderBy("cell_id").toPandas()
     ends = side_nodes(mesh, "left", "right").toPandas()
     n = int(g[["n0", "n1", "n2"]].to_numpy().max()) + 1
@@ -98,46 +104,70 @@ def self_consistent(cases: DataFrame, mesh: Mesh, relax: float = 1.0, tolerance:
     held = np.union1d(left, right)
     free = np.setdiff1d(np.arange(n), held)
 
-    def system(sigma, value, load):
-        v = (local * sigma[:, None, None]).ravel()
-        b = load - np.bincount(row, v * value[col], n)
-        keep = np.isin(row, free) & np.isin(col, free)
-        x, _, _, ok = solve.pcg(np.searchsorted(free, row[keep]), np.searchsorted(free, col[keep]), v[keep], b[free])
+    at = row * n + col
+    unit = np.bincount(at, local.ravel(), n * n).reshape(n, n)
+    size = max(1, ENTRIES // n**2)
+
+    def nodal_sums(values):
+        """(case, node) of values (case, cell, 3)."""
+        return np.bincount((np.arange(len(values))[:, None] * n + tri.ravel()).ravel(), values.ravel(), len(values) * n).reshape(-1, n)
+
+    def solution(matrix, value, load):
+        """Free values of every case, as held ones ask, and whether each solution is admitted."""
+        a, b = matrix[:, free][:, :, free], load[:, free] - (matrix[:, free][:, :, held] @ value[:, held, None])[..., 0]
+        ok = (np.einsum("cii->ci", a) > 0).all(1) & np.isfinite(a).all((1, 2))
+        x = np.linalg.solve(np.where(ok[:, None, None], a, np.eye(len(free))), b[..., None])[..., 0]
+        off = np.linalg.norm(b - (a @ x[..., None])[..., 0], axis=1)
+        of = np.linalg.norm((np.abs(a) @ np.abs(x)[..., None])[..., 0] + np.abs(b), axis=1)
+        ok &= off <= policy.backward * of
         out = value.copy()
-        out[free] = x
+        out[:, free] = np.where(ok[:, None], x, np.nan)
         return out, ok
 
+    def conductivities(c, t):
+        law = c["sigma"][:, None, None] / (1 + c["alpha"][:, None, None] * (t[:, tri] - c["t0"][:, None, None]))
+        return np.where(law > 0, law, np.nan)
+
+    def batch_of(c):
+        """All cases of a batch advance together; those that have settled leave."""
+        m, names = len(c["k"]), ("t", "phi", "nodal", "current")
+        held_t, held_v = np.zeros((m, n)), np.zeros((m, n))
+        held_t[:, held], held_v[:, right] = c["t0"][:, None], c["volts"][:, None]
+        last = {name: np.full((m, n), np.nan) for name in names}
+        last["t"], ok = solution(c["k"][:, None, None] * unit, held_t, np.zeros((m, n)))
+        change, it = np.full(m, np.inf), np.zeros(m, np.int32)
+        while (going := np.flatnonzero((change > tolerance) & (it < most) & ok)).size:
+            now, t = {name: v[going] for name, v in c.items()}, last["t"][going]
+            s = conductivities(now, t)
+            flows = np.bincount((np.arange(len(s))[:, None] * n * n + at).ravel(), (local * s.mean(-1)[..., None, None]).ravel(), len(s) * n * n).reshape(-1, n, n)
+            phi, ok1 = solution(flows, held_v[going], np.zeros((len(s), n)))
+            e = -np.einsum("cia,kci->kca", grads, phi[:, tri])
+            q = s * (e**2).sum(-1)[..., None]
+            nodal = nodal_sums(area[:, None] / 12 * (q + q.sum(-1, keepdims=True)))
+            new, ok2 = solution(now["k"][:, None, None] * unit, held_t[going], nodal)
+            change[going] = np.linalg.norm(new - t, axis=1) / np.maximum(1e-300, np.linalg.norm(new, axis=1))
+            ok[going], it[going] = ok1 & ok2, it[going] + 1
+            for name, value in zip(names, (t + relax * (new - t), phi, nodal, (flows @ phi[..., None])[..., 0])):
+                last[name][going] = value
+        good = ok & (change <= tolerance)
+        # without an iteration there is no potential: nan stays
+        power, current = last["nodal"].sum(1), last["current"]
+        moved = c["k"][:, None] * (last["t"] @ unit) - last["nodal"]
+        one, other, gone = current[:, left].sum(1), current[:, right].sum(1), moved[:, held].sum(1)
+        charge = np.abs(one + other) / np.maximum(1e-300, np.abs(one) + np.abs(other))
+        heat = np.abs(power + gone) / np.maximum(1e-300, np.abs(power) + np.abs(gone))
+        told = {"t_max": last["t"].max(1), "power": power, "iterations": it, "change": change, "charge": charge, "heat": heat}
+        return {name: v if name in ("iterations", "change") else np.where(good, v, np.nan) for name, v in told.items()} | {"converged": good}
+
     def run(batches):
         for batch in batches:
-            out = []
-            for c in batch.itertuples(index=False):
-                fixed_t, fixed_v = np.zeros(n), np.zeros(n)
-                fixed_t[held], fixed_v[right] = c.t0, c.volts
-                t, ok = system(np.full(len(tri), float(c.k)), fixed_t, np.zeros(n))
-                change, it = np.inf, 0
-                while change > tolerance and it < most and ok:
-                    law = c.sigma / (1 + c.alpha * (t[tri] - c.t0))
-                    s = np.where(law > 0, law, np.nan)
-                    phi, ok1 = system(s.mean(1), fixed_v, np.zeros(n))
-                    e = -np.einsum("cia,ci->ca", grads, phi[tri])
-                    q = s * (e**2).sum(1)[:, None]
-                    nodal = area[:, None] / 12 * (q + q.sum(1, keepdims=True))
-                    new, ok2 = system(np.full(len(tri), float(c.k)), fixed_t, np.bincount(tri.ravel(), nodal.ravel(), n))
-                    change = np.linalg.norm(new - t) / max(1e-300, np.linalg.norm(new))
-                    t, ok, it = t + relax * (new - t), ok1 and ok2, it + 1
-                good = bool(ok and change <= tolerance)
-                power = float((nodal.sum())) if good and it else float("nan")
-                charge = heat = float("nan")
-                if good and it:
-                    given = np.bincount(row, (local * s.mean(1)[:, None, None]).ravel() * phi[col], n)
-                    moved = np.bincount(row, (local * c.k).ravel() * t[col], n) - np.bincount(tri.ravel(), nodal.ravel(), n)
-                    one, other, gone = given[left].sum(), given[right].sum(), moved[held].sum()
-                    charge = abs(one + other) / max(1e-300, abs(one) + abs(other))
-                    heat = abs(power + gone) / max(1e-300, abs(power) + abs(gone))
-                out.append((c.case_id, float(t.max()) if good else float("nan"), power, it, float(change), charge, heat, good))
-            yield pd.DataFrame(out, columns=["case_id", "t_max", "power", "iterations", "change", "charge", "heat", "converged"])
-
-    out = cases.select("case_id", "sigma", "alpha", "volts", "k", "t0").mapInPandas(run, "case_id long, t_max double, power double, iterations int, change double, charge double, heat double, converged boolean")
+            for i in range(0, len(batch), size):
+                part = batch.iloc[i : i + size]
+                with np.errstate(all="ignore"):
+                    told = batch_of({name: part[name].to_numpy(float) for name in ("sigma", "alpha", "volts", "k", "t0")})
+                yield pd.DataFrame({"case_id": part["case_id"].to_numpy(), **told})
+
+    out = solve.dealt(cases.select("case_id", "sigma", "alpha", "volts", "k", "t0")).mapInPandas(run, "case_id long, t_max double, power double, iterations int, change double, charge double, heat double, converged boolean")
     return out.fillna(float("nan"), ["t_max", "power", "charge", "heat"])
 
 

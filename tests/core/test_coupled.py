@@ -38,3 +38,16 @@ def test_a_batch_of_cases_has_the_gradients_of_each(spark):
     for i, c in enumerate(cases):
         for name, value in dense.gradient(c, some, mean).items():
             assert both[name][i] == pytest.approx(value, rel=1e-6, abs=1e-6)
+
+
+def test_many_cases_in_one_file_are_dealt_to_tasks(spark, monkeypatch):
+    """Before, a small file of cases was one task, however many they were; cases that fail don't touch their batch."""
+    monkeypatch.setattr(physics.solve, "CASES", 16)
+    m = mesh.unit_square(spark, 2)
+    cases = spark.range(100, numPartitions=1).selectExpr("id AS case_id", "1.0D + id % 5 AS sigma", "0.003D AS alpha", "id / 10D AS volts", "CASE WHEN id = 7 THEN 0D ELSE 120D END AS k", "300.0D AS t0")
+    found = physics.self_consistent(cases, m)
+    assert found.rdd.getNumPartitions() == 7
+    assert adjoint.coupled_gradients(cases.where("case_id <> 7"), m, physics.side_nodes(m, "left", "right")).rdd.getNumPartitions() == 7
+    rows = {r.case_id: r for r in found.collect()}
+    assert len(rows) == 100 and not rows[7].converged and np.isnan(rows[7].t_max)
+    assert all(r.converged and r.heat < 1e-6 for i, r in rows.items() if i not in (0, 7)) and rows[0].t_max == 300
