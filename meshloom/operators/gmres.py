@@ -3,16 +3,22 @@
 A vector is a table (node_id, re, im), a matrix A(row, col, re, im). The Krylov basis is one table, keyed by the vector's number and
 node_id: a new vector is made orthogonal to all others by one aggregation for their products and one for their sum, twice,
 and written as a partition of the basis. The driver sees the products only, one number a basis vector, and solves
-the small least-squares problem. Preconditioned from the right by the inverse diagonal, so residuals are true ones.
+the small least-squares problem. Preconditioned from the right, so residuals are true ones: by the inverse diagonal, or by
+substructures of the real system with twice the unknowns, so that steps don't grow with the mesh.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import substructure
 from .krylov import ENTRIES
+from .mesh import ContractError
 from .tables import Tables
 
 #: Basis vectors before a restart.
@@ -47,9 +53,30 @@ def combined(basis: DataFrame, factors: np.ndarray) -> DataFrame:
     return summed(basis.join(F.broadcast(rows), "j"), product(pair(), pair("fre", "fim")), "node_id")
 
 
-def gmres(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, restart: int = RESTART, most: int = 400) -> tuple[DataFrame, dict]:
+def exact(tables: Tables, a: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A preconditioner for A(row, node_id, re, im): the solution by substructures, real and imaginary parts at neighbouring numbers."""
+    entry = lambda i, j, v: F.struct((2 * F.col("row") + i).alias("row"), (2 * F.col("node_id") + j).alias("col"), v.alias("v"))
+    re, im = pair()
+    k = tables.write("exact-K", a.select(F.inline(F.array(entry(0, 0, re), entry(0, 1, -im), entry(1, 0, im), entry(1, 1, re)))))
+    calls = count()
+
+    def apply(x: DataFrame) -> DataFrame:
+        name = f"exact-{next(calls)}"
+        part = lambda i, v: F.struct((2 * F.col("node_id") + i).alias("row"), v.alias("v"))
+        f = x.select(F.lit(0).cast("long").alias("case_id"), F.inline(F.array(part(0, re), part(1, im))))
+        z = substructure.solve(tables, name, k, tables.write(f"{name}-f", f), definite=False)
+        if z is None:
+            raise ContractError("linked nodes' numbers are too far apart")
+        of = lambda i: F.max(F.when(F.col("node_id") % 2 == i, F.col("u")))
+        return z.groupBy(F.floor(F.col("node_id") / 2).cast("long").alias("node_id")).agg(of(0).alias("re"), of(1).alias("im"))
+
+    return apply
+
+
+def gmres(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, restart: int = RESTART, most: int = 400, direct: bool = False) -> tuple[DataFrame, dict]:
     """(node_id, re, im) of A x = b for b(row, re, im), and a report: iterations, the recomputed residual against |b|, and
-    whether that is within the tolerance; a solution that isn't is NaN. Every diagonal entry must be other than zero."""
+    whether that is within the tolerance; a solution that isn't is NaN. Every diagonal entry must be other than zero. ``direct``
+    preconditions by substructures, for meshes that are numbered row by row."""
     spark = a.sparkSession
     tables = Tables(spark, "gmres")
     a = tables.write("A", a.select("row", F.col("col").alias("node_id"), "re", "im"))
@@ -65,6 +92,9 @@ def gmres(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, restart: int = R
             z = product(pair(), pair("ire", "iim"))
             return x.join(inverse, "node_id").select("node_id", z[0].alias("re"), z[1].alias("im"))
 
+        if direct:
+            scaled = exact(tables, a)
+
         def times(x: DataFrame) -> DataFrame:
             rows = a.join(x.withColumnsRenamed({"re": "xre", "im": "xim"}), "node_id")
             return summed(rows, product(pair(), pair("xre", "xim")), F.col("row").alias("node_id"))
@@ -77,13 +107,13 @@ def gmres(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, restart: int = R
             if beta <= tolerance * whole or done >= most or not beta < last:
                 break
             last = beta
-            factors = grown(tables, f"basis-{cycle}", residual, beta, lambda v: times(scaled(v)), min(restart, most - done), tolerance * whole)
+            factors = grown(tables, f"basis-{cycle}", residual, beta, scaled, times, min(restart, most - done), tolerance * whole)
             done += len(factors)
-            step = scaled(combined(spark.read.parquet(f"{tables.root}/basis-{cycle}"), factors))
+            step = combined(spark.read.parquet(f"{tables.root}/basis-{cycle}-z"), factors)
             minus = step.select("node_id", (-F.col("re")).alias("re"), (-F.col("im")).alias("im"))
             x = tables.write(f"x-{cycle + 1}", less(x, minus))
             residual = tables.write(f"r-{cycle + 1}", less(b, times(x)))
-            tables.drop(f"basis-{cycle}", f"x-{cycle}", f"r-{cycle}")
+            tables.drop(f"basis-{cycle}", f"basis-{cycle}-z", f"x-{cycle}", f"r-{cycle}")
             cycle += 1
     finally:
         a.unpersist()
@@ -93,8 +123,9 @@ def gmres(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, restart: int = R
     return (x if good else x.select("node_id", nan.alias("re"), nan.alias("im"))), {"iterations": done, "residual": off, "converged": good}
 
 
-def grown(tables: Tables, name: str, residual: DataFrame, beta: float, apply, most: int, target: float) -> np.ndarray:
-    """Grows the basis ``name`` from the residual until its least residual meets the target; the factors of its vectors."""
+def grown(tables: Tables, name: str, residual: DataFrame, beta: float, scaled, times, most: int, target: float) -> np.ndarray:
+    """Grows the basis ``name`` from the residual until its least residual meets the target; the factors of its vectors, which
+    are written preconditioned as ``name``-z."""
     spark = residual.sparkSession
     over = lambda v, s: v.select("node_id", (F.col("re") / s).alias("re"), (F.col("im") / s).alias("im"))
     h = np.zeros((most + 1, most), complex)
@@ -103,7 +134,7 @@ def grown(tables: Tables, name: str, residual: DataFrame, beta: float, apply, mo
     vector = tables.write(f"{name}/j=0", over(residual, beta))
     for j in range(most):
         basis = spark.read.parquet(f"{tables.root}/{name}")
-        w = tables.write(f"{name}-w{j}-0", apply(vector))
+        w = tables.write(f"{name}-w{j}-0", times(tables.write(f"{name}-z/j={j}", scaled(vector))))
         for again in (1, 2):  # twice is enough for orthogonality
             rows = basis.join(w.withColumnsRenamed({"re": "wre", "im": "wim"}), "node_id")
             found = summed(rows, product((F.col("re"), -F.col("im")), pair("wre", "wim")), "j").collect()

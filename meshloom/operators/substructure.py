@@ -35,10 +35,10 @@ def matrix(value: bytes, rows: int) -> np.ndarray:
     return np.frombuffer(value).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
-def eliminated(pivot: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """pivot^-1 right; NaN where the pivot isn't positive definite."""
+def eliminated(pivot: np.ndarray, right: np.ndarray, definite: bool = True) -> np.ndarray:
+    """pivot^-1 right; NaN where the pivot isn't positive definite, or only where it is singular if it needn't be."""
     try:
-        if len(pivot):
+        if len(pivot) and definite:
             np.linalg.cholesky(pivot)
         return np.linalg.solve(pivot, right)
     except np.linalg.LinAlgError:
@@ -86,7 +86,7 @@ def loads(f: pd.DataFrame, lo: int, width: int):
     return ids, lambda p: out.get(p, np.zeros((width, len(ids)))), lambda p: present.get(p, none)
 
 
-def condense(k: pd.DataFrame, f: pd.DataFrame, strip: int, lo: int, width: int, per: int, blocks: int):
+def condense(k: pd.DataFrame, f: pd.DataFrame, strip: int, lo: int, width: int, per: int, blocks: int, definite: bool = True):
     """(separator before?, after?, matrix, right-hand sides) between the separators of a strip."""
     ids, load, present = loads(f, lo, width)
     at = Blocks(k, lo, width)
@@ -102,7 +102,7 @@ def condense(k: pd.DataFrame, f: pd.DataFrame, strip: int, lo: int, width: int,
     for i in inner:
         step = at.block(i, i + 1) if i < last else np.zeros((width, 0))
         back = at.block(i + 1, i) if i < last else np.zeros((0, width))
-        x = eliminated(pivot, np.hstack([upper, step, b]))
+        x = eliminated(pivot, np.hstack([upper, step, b]), definite)
         xl, xs, xb = x[:, :n], x[:, n : n + step.shape[1]], x[:, n + step.shape[1] :]
         left, g = left - lower @ xl, g - lower @ xb
         if i < last:
@@ -113,7 +113,7 @@ def condense(k: pd.DataFrame, f: pd.DataFrame, strip: int, lo: int, width: int,
     return bool(n), True, np.block([[left, lower], [upper, pivot]]), np.vstack([g, b])
 
 
-def inner_solution(k: pd.DataFrame, f: pd.DataFrame, lo: int, width: int) -> pd.DataFrame:
+def inner_solution(k: pd.DataFrame, f: pd.DataFrame, lo: int, width: int, definite: bool = True) -> pd.DataFrame:
     """(case_id, node_id, u) of the inner blocks, whose separators' part has been moved into the load."""
     ids, load, present = loads(f, lo, width)
     at = Blocks(k, lo, width)
@@ -121,7 +121,7 @@ def inner_solution(k: pd.DataFrame, f: pd.DataFrame, lo: int, width: int) -> pd.
     numbers = range(int(i.min()) // width, int(i.max()) // width + 1)
     kept, pivot, b = [], at.block(numbers[0], numbers[0], present(numbers[0])), load(numbers[0])
     for p in numbers:
-        x = eliminated(pivot, np.hstack([at.block(p, p + 1), b]))
+        x = eliminated(pivot, np.hstack([at.block(p, p + 1), b]), definite)
         kept.append((x[:, :width], x[:, width:]))
         if p < numbers[-1]:
             back = at.block(p + 1, p)
@@ -178,9 +178,10 @@ def extent(k: DataFrame):
     return k.agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.max(F.abs(F.col("row") - F.col("col"))).alias("width"), cases.alias("cases")).first()
 
 
-def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1) -> DataFrame | None:
+def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1, definite: bool = True) -> DataFrame | None:
     """(case_id, node_id, u) of K u = f for K([case_id,] row, col, v) and f(case_id, row, v), which has a row for each row of K
-    (in each case of f, if K is shared); written, systems of a small span in so many ``parts``. None where the numbers are too far apart."""
+    (in each case of f, if K is shared); written, systems of a small span in so many ``parts``. A shared K
+    needn't be symmetric, nor ``definite``, if no block that is eliminated is singular. None where the numbers are too far apart."""
     shared = "case_id" not in k.columns
     # tasks return long ids, whatever type the cases' table has
     k, f = (t.withColumns({c: F.col(c).cast("long") for c in ("case_id", "row", "col") if c in t.columns}) for t in (k, f))
@@ -206,7 +207,7 @@ def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1)
     by = lambda rows: rows.repartition(tasks(strips), "of", "strip").groupBy("of", "strip")
 
     def leaf(key, part, load):
-        before, after, a, g = condense(part, load, int(key[1]), lo, width, per, blocks)
+        before, after, a, g = condense(part, load, int(key[1]), lo, width, per, blocks, definite)
         return pd.DataFrame({"of": [key[0]], "at": [key[1]], "before": [before], "after": [after], "a": [raw(a)], "g": [raw(g)]})
 
     def merge(key, part):
@@ -218,7 +219,7 @@ def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1)
         l, r = width * bool(one["before"]), width * bool(two["after"])
         a, b = matrix(one["a"], l + width), matrix(two["a"], width + r)
         ga, gb = matrix(one["g"], l + width), matrix(two["g"], width + r)
-        mid = eliminated(a[l:, l:] + b[:width, :width], np.hstack([a[l:, :l], b[:width, width:], ga[l:] + gb[:width]]))
+        mid = eliminated(a[l:, l:] + b[:width, :width], np.hstack([a[l:, :l], b[:width, width:], ga[l:] + gb[:width]]), definite)
         rim = np.vstack([a[:l, l:], b[width:, :width]])
         whole = np.zeros((l + r, l + r))
         whole[:l, :l], whole[l:, l:] = a[:l, :l], b[width:, width:]
@@ -244,7 +245,7 @@ def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1)
             for part in batches:
                 for _, r in part.iterrows():
                     if r["after"]:
-                        x = eliminated(matrix(r["a"], width), matrix(r["g"], width))
+                        x = eliminated(matrix(r["a"], width), matrix(r["g"], width), definite)
                         yield pd.DataFrame({"of": [r["of"]], "sep": [strips - 1], "x": [raw(x)]})
 
         known = tables.write(f"{name}-known-{depth}", fronts.select("of", "after", "a", "g").mapInPandas(top, "of long, sep long, x binary"))
@@ -286,7 +287,7 @@ def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1)
         f_in, k_in = f, k
 
     def inner(key, part, load):
-        return inner_solution(part, load, lo, width)
+        return inner_solution(part, load, lo, width, definite)
 
     out = by(k_in.withColumn("strip", strip("row"))).cogroup(by(f_in.withColumn("strip", strip("row")))).applyInPandas(inner, "case_id long, node_id long, u double")
     out = tables.write(f"{name}-inner", out)

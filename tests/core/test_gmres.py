@@ -33,3 +33,16 @@ def test_what_isnt_solved_is_nan_and_no_load_is_zero(spark):
     assert not report["converged"] and all(math.isnan(r.re) for r in x.collect())
     x, report = gmres(*tables(spark, a + np.eye(2), np.zeros(2, complex)))
     assert report["converged"] and report["iterations"] == 0 and all(r.re == r.im == 0 for r in x.collect())
+
+
+def test_substructures_leave_a_step_or_two_and_no_definite_matrix_is_needed(spark):
+    """Before, the inverse diagonal alone preconditioned, and steps grew with the mesh."""
+    rng, n = np.random.default_rng(5), 90
+    near = np.abs(np.subtract.outer(np.arange(n), np.arange(n))) <= 5
+    a = near * (rng.normal(size=(n, n)) + 1j * rng.normal(size=(n, n)))
+    a += np.diag((12 + 1j) * np.where(np.arange(n) % 2, 1, -1))
+    b = rng.normal(size=n) + 1j * rng.normal(size=n)
+    x, report = gmres(*tables(spark, a, b), direct=True)
+    got = {r.node_id: complex(r.re, r.im) for r in x.collect()}
+    assert report["converged"] and report["iterations"] <= 2
+    assert np.allclose([got[i] for i in range(n)], np.linalg.solve(a, b), atol=1e-8)
