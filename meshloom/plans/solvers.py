@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import elements as el
 from meshloom.operators import assembly as asm
 from meshloom.operators import contracts, coupled, gmres, krylov, mesh, multilevel, project, solve, tet4, transfer
-from meshloom.operators.tables import Tables
+from meshloom.operators.tables import Tables, only_marked_broadcasts
 from meshloom.plans.registry import SIZE_SQL, query, r9, sized, sized_square_sql, square_sql, table
 
 
@@ -136,9 +136,11 @@ def agreement(k, f, u):
 def multilevel_solution(spark, n: int, contrast: float):
     """K, f, u and the report of multilevel PCG on a square of n intervals, down to four."""
     depth = max(2, n.bit_length() - 2)
-    (m, *_), _, ps = levels(spark, n, depth)
-    k, f = (kept(spark, d, name) for name, d in zip("kf", interior_system(m, contrast)))
-    u, report = multilevel.solve(k, f, ps, cg=solve.CgPolicy(relative=1e-10, most=120))
+    # each step has joins on every level: broadcasts of their tables would add up on the driver
+    with only_marked_broadcasts(spark):
+        (m, *_), _, ps = levels(spark, n, depth)
+        k, f = (kept(spark, d, name) for name, d in zip("kf", interior_system(m, contrast)))
+        u, report = multilevel.solve(k, f, ps, cg=solve.CgPolicy(relative=1e-10, most=120))
     return k, f, u, solve.assert_converged(report)
 
 
