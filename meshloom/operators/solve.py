@@ -57,9 +57,9 @@ def pcg(row, col, v, b, policy: CgPolicy = CgPolicy()):
 CASES = 1024
 
 
-def dealt(cases: DataFrame) -> DataFrame:
+def dealt(cases: DataFrame, each: int = CASES) -> DataFrame:
     """Cases in so many tasks as they are work for, however few files or bytes they are."""
-    return cases.repartition(max(1, -(-cases.count() // CASES)), "case_id")
+    return cases.repartition(max(1, -(-cases.count() // each)), "case_id")
 
 
 def fresh(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import elements as el
 from meshloom.operators import assembly as asm
-from meshloom.operators import contracts, coupled, gmres, krylov, mesh, multilevel, project, solve, tet4, transfer
+from meshloom.operators import cases, contracts, coupled, gmres, krylov, mesh, multilevel, project, solve, tet4, transfer
 from meshloom.operators.tables import Tables, only_marked_broadcasts
 from meshloom.plans.registry import SIZE_SQL, query, r9, sized, sized_square_sql, square_sql, table
 
@@ -39,9 +39,9 @@ def dyadic(spark, sf) -> int:
     return 1 << (sized(spark, sf).bit_length() - 1)
 
 
-def column_of(n: int):
+def column_of(n: int, cell=None):
     """The column of intervals that a cell of ``unit_square`` lies in."""
-    return F.floor(F.col("cell_id") / 2).cast("long") % n
+    return F.floor((F.col("cell_id") if cell is None else cell) / 2).cast("long") % n
 
 
 def held_apart(k, f, fixed):
@@ -74,42 +74,22 @@ a AS (SELECT case_id, (max(hi - lo) + max(q) / {LAYERED**2}e0 * sum(j / k)) / su
 u AS (SELECT case_id, j + 1 AS i, lo + sum((a - j * q / {LAYERED**2}e0) / k) OVER (PARTITION BY case_id ORDER BY j) AS t FROM c JOIN a USING (case_id))
 SELECT case_id, CAST(r * {LAYERED + 1} + i AS BIGINT) AS node_id, round(t, 6) AS t FROM u, (SELECT unnest(range({LAYERED + 1})) AS r) WHERE i < {LAYERED}""")
 def layered_heat(spark, sf):
-    """Heat with a source through each part's own strips of different conductivity: one conjugate gradient iteration over
-    tables advances all parts, each with its step size, and parts that are done leave."""
-    m = mesh.unit_square(spark, LAYERED)
+    """Heat with a source through each part's own strips of different conductivity: a part is a row, and batches of parts are
+    stacked matrices that are factored at once."""
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"), "p_size", (2.0 * (1 + F.col("p_partkey") % 7)).alias("q"), (300.0 + F.col("p_retailprice") / 97.0).alias("hi"))
-    k, f = case_systems(m, parts, F.col("p_size") * (1 + (F.col("case_id") + 3 * column_of(LAYERED)) % 9) / 10.0, F.when(F.col("x") == 0, 300.0).when(F.col("x") == 1, F.col("hi")))
-    return krylov.conjugate_gradients(k, f, solve.CgPolicy(relative=1e-12, most=500), direct=True).select("case_id", "node_id", F.round("u", 6).alias("t"))
-
-
-def case_systems(m, cases, conductivity, value):
-    """K(case_id, row, col, v) and f(case_id, row, v) on the nodes without a held value, for cases(case_id, q, ...): columns of
-    cells and cases give the conductivity, columns of nodes and cases the held values (null: free)."""
-    tables = Tables(m.cells.sparkSession, "cases")
-    g = mesh.geometry(m).crossJoin(cases).withColumn("k", conductivity)  # a row for each cell of each case's own mesh
-    k = tables.write("k", g.select("case_id", F.inline(el.stiffness(g, F.col("k")))).groupBy("case_id", "row", "col").agg(F.sum("v").alias("v")))
-    f = g.select("case_id", F.inline(el.loads(g, F.col("q")))).groupBy("case_id", "row").agg(F.sum("v").alias("v"))
-    held = tables.write("held", m.nodes.crossJoin(cases).select("case_id", "node_id", value.alias("value")).where("value IS NOT NULL"))
-    ids = held.select("case_id", F.col("node_id").alias("row"))
-    moved = k.join(held.withColumnRenamed("node_id", "col"), ["case_id", "col"]).groupBy("case_id", "row").agg((-F.sum(F.col("v") * F.col("value"))).alias("v"))
-    f = f.unionByName(moved).groupBy("case_id", "row").agg(F.sum("v").alias("v")).join(ids, ["case_id", "row"], "left_anti")
-    free = k.join(ids, ["case_id", "row"], "left_anti").join(ids.withColumnRenamed("row", "col"), ["case_id", "col"], "left_anti")
-    return free, f
+    conductivity = lambda cell: F.col("p_size") * (1 + (F.col("case_id") + 3 * column_of(LAYERED, cell)) % 9) / 10.0
+    held = lambda x, y: F.lit(300.0) if x == 0 else F.col("hi") if x == 1 else None
+    return cases.heat(mesh.unit_square(spark, LAYERED), parts, conductivity, F.col("q"), held).select("case_id", "node_id", F.round("u", 6).alias("t"))
 
 
 @query(f"""SELECT s_suppkey AS case_id, round((1 + s_nationkey) * {(LAYERED - 1) ** 2}e0 / {LAYERED**2}, 6) AS load, 0.0 AS off, 1.0 AS energy FROM supplier""")
 def cell_heat(spark, sf):
     """Every supplier's square has a conductivity of its own in each cell (1 to 97) and is held all around: the load, the
     greatest |K u - f| against the greatest |f|, and u.K u against u.f, case by case."""
-    m = mesh.unit_square(spark, LAYERED)
-    cases = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("case_id"), (1.0 + F.col("s_nationkey")).alias("q"))
-    rim = F.when(F.expr("x = 0 OR x = 1 OR y = 0 OR y = 1"), 0.0)
-    tables = Tables(spark, "cell-heat")
-    k, f = (tables.write(n, t) for n, t in zip("kf", case_systems(m, cases, (1 + (F.col("cell_id") * 31 + F.col("case_id") * 17) % 97).cast("double"), rim)))
-    u = krylov.conjugate_gradients(k, f, direct=True)
-    ku = k.join(u.select("case_id", F.col("node_id").alias("col"), "u"), ["case_id", "col"]).groupBy("case_id", "row").agg(F.sum(F.col("v") * F.col("u")).alias("ku"))
-    rows = f.join(ku, ["case_id", "row"]).join(u.select("case_id", F.col("node_id").alias("row"), "u"), ["case_id", "row"])
-    out = rows.groupBy("case_id").agg(F.round(F.sum("v"), 6).alias("load"), (F.round(F.max(F.abs(F.col("ku") - F.col("v"))) / F.max(F.abs("v")), 6) + 0.0).alias("off"), F.round(F.sum(F.col("u") * F.col("ku")) / F.sum(F.col("u") * F.col("v")), 6).alias("energy"))
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("case_id"), (1.0 + F.col("s_nationkey")).alias("q"))
+    rim = lambda x, y: F.lit(0.0) if x in (0, 1) or y in (0, 1) else None
+    rows = cases.heat(mesh.unit_square(spark, LAYERED), suppliers, lambda cell: (1 + (cell * 31 + F.col("case_id") * 17) % 97).cast("double"), F.col("q"), rim)
+    out = rows.groupBy("case_id").agg(F.round(F.sum("f"), 6).alias("load"), (F.round(F.max(F.abs(F.col("ku") - F.col("f"))) / F.max(F.abs("f")), 6) + 0.0).alias("off"), F.round(F.sum(F.col("u") * F.col("ku")) / F.sum(F.col("u") * F.col("f")), 6).alias("energy"))
     return out.select("case_id", "load", "off", "energy")
 
 
