@@ -86,7 +86,7 @@ class Coupled:
         self.cases = self.tables.write("cases", cases.select("case_id", *[F.col(c).cast("double").alias(c) for c in ("sigma", "alpha", "volts", "k", "t0")]))
         g = self.tables.write("geometry", geometry(mesh))
         # every case has every cell: what a coupled state is made of
-        self.cells = self.tables.write("cells", g.crossJoin(self.cases.select("case_id", "sigma", "alpha", "k")))
+        self.cells = self.tables.write("cells", g.crossJoin(F.broadcast(self.cases.select("case_id", "sigma", "alpha", "k"))))
         self.corners = self.tables.write("corners", self.cells.select("case_id", "cell_id", F.posexplode(F.array("n0", "n1", "n2")).alias("corner", "node_id")))
         unit = asm.free_block(asm.stiffness(g, F.lit(1.0)), self.nodes.where("end IS NOT NULL").select("node_id"))
         self.unit = krylov.Matrix(self.tables, unit.select("row", "col", "v"), "unit")

@@ -183,7 +183,8 @@ def coupled_tables(spark, sf):
     """Joule heating with sigma(T) for every nation, over tables, on a mesh that grows with the part table: the peak against that
     of the continuous problem, theta + alpha theta^2 / 2 = sigma V^2 / (8 k), and the imbalances of currents and heat."""
     cases = nations(spark, sf)
-    with coupled.Coupled(cases, mesh.unit_square(spark, max(4, dyadic(spark, sf) // 4)), tolerance=1e-8) as problem:
+    # a round's tables are small files of many rows, which would be broadcast through the driver
+    with only_marked_broadcasts(spark), coupled.Coupled(cases, mesh.unit_square(spark, max(4, dyadic(spark, sf) // 4)), tolerance=1e-8) as problem:
         problem.solve()
         rows = kept(spark, problem.report(), "report").join(cases, "case_id")
     theta = (F.sqrt(1 + F.col("alpha") * F.col("sigma") * F.col("volts") * F.col("volts") / (4 * F.col("k"))) - 1) / F.col("alpha")
@@ -196,7 +197,8 @@ def coupled_slopes(spark, sf):
     on a mesh, from which follow V d_V = 2 sigma d_sigma, k d_k = - sigma d_sigma and alpha d_alpha = sigma d_sigma - mean rise: the
     ratios of both sides."""
     cases = nations(spark, sf)
-    with coupled.Coupled(cases, mesh.unit_square(spark, max(2, dyadic(spark, sf) // 8)), tolerance=1e-7) as problem:
+    # a round's tables are small files of many rows, which would be broadcast through the driver
+    with only_marked_broadcasts(spark), coupled.Coupled(cases, mesh.unit_square(spark, max(2, dyadic(spark, sf) // 8)), tolerance=1e-7) as problem:
         problem.solve()
         state = kept(spark, problem.report(), "report")
         slopes = kept(spark, problem.gradient().select("case_id", *[F.col(c).alias(f"d_{c}") for c in ("sigma", "alpha", "k", "volts")]), "slopes")

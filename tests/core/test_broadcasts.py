@@ -49,3 +49,25 @@ def test_levels_of_a_multilevel_step_are_joined_by_shuffles(spark, monkeypatch):
         solvers.multilevel_solution(spark, 8, 50.0)
     assert len(plans) == 5 and not any("BroadcastHashJoin" in p for p in plans)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == threshold
+
+
+def test_rounds_of_a_coupled_problem_are_joined_by_shuffles(spark, sf, monkeypatch):
+    """Before, states and corners of all cases were broadcast: files of some MB, whose equal and empty columns take no room,
+    of millions of rows."""
+    plans = []
+    write = krylov.Tables.write
+
+    def seen(self, name, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = write(self, name, df)
+        if name == "state-1":  # later rounds have the same joins
+            raise Enough
+        return out
+
+    monkeypatch.setattr(krylov.Tables, "write", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(Enough):
+        registry.QUERIES["coupled_tables"](spark, sf)
+    assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == threshold
