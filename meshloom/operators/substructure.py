@@ -8,6 +8,12 @@ values come back in the opposite order, and the strips are solved with them. Rou
 a task holds blocks of the width, never a system, unless that is one strip. Systems whose numbers span ``SMALL`` at most lie
 in one stretch of rows sorted by case, and batches of them are factored at once.
 
+Matrices between a strip's separators grow with the square of the width, and a wide mesh has many strips. Rows of more than
+``LONG`` nodes, whose links all lead to the eight nodes around, are dissected both ways instead: the last row and column of a
+tile of ``TILE`` by ``TILE`` nodes part it from the next ones, a task eliminates a tile's inner nodes, and regions are merged in pairs,
+down and across in turn, by eliminating what lies within. A region's matrix is between the nodes around it, so all of a level
+take as much room as the mesh has nodes, times a constant, and only the last few are large.
+
 Numbers that differ by more than ``WIDEST`` are left to iterations. A case that isn't positive definite gives NaN.
 """
 
@@ -19,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Tables
+from .tables import Tables, only_marked_broadcasts
 
 #: Span of node numbers up to which systems are factored in batches, widest block, nodes and blocks of a strip at most.
 SMALL, WIDEST, STRIP_NODES, STRIP = 64, 2048, 16384, 32
+#: Row length from which a mesh is dissected both ways, and nodes along a tile's side.
+LONG, TILE = 200, 32
 #: Tasks of a shuffle at most.
 TASKS = 256
 
@@ -178,6 +186,153 @@ def extent(k: DataFrame):
     return k.agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.max(F.abs(F.col("row") - F.col("col"))).alias("width"), cases.alias("cases")).first()
 
 
+def rows_of(k: DataFrame, lo: int, width: int) -> tuple[int, int] | None:
+    """(first number of a row of the mesh, at or before lo, and how many a row has) if all links lead to the eight nodes around;
+    None if there are no such numbers."""
+    some = [(at, n) for n in (width - 1, width, width + 1) if n >= LONG for at in sorted({lo, lo - lo % n}, reverse=True)]
+    if not some:
+        return None
+    place = lambda c, at, n: (F.floor((F.col(c) - at) / n), F.pmod(F.col(c) - at, F.lit(n)))
+    far = [F.max(F.greatest(*[F.abs(p - q) for p, q in zip(place("row", *one), place("col", *one))])).alias(f"at{i}") for i, one in enumerate(some)]
+    found = k.agg(*far).first()
+    return next((one for one, x in zip(some, found) if x <= 1), None)
+
+
+class Region:
+    """A matrix and right-hand sides over sorted node numbers, of which some are eliminated."""
+
+    def __init__(self, ids: np.ndarray, loads: int):
+        self.ids, self.a, self.g = ids, np.zeros((len(ids), len(ids))), np.zeros((len(ids), loads))
+
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, ids)
+
+    def split(self, inside: np.ndarray, definite: bool):
+        """(numbers inside, around, solution inside for unit values around and for the loads), and what is left around."""
+        i, b = np.flatnonzero(inside), np.flatnonzero(~inside)
+        x = eliminated(self.a[np.ix_(i, i)], np.hstack([self.a[np.ix_(i, b)], self.g[i]]), definite)
+        back = self.a[np.ix_(b, i)]
+        return self.ids[i], self.ids[b], x, self.a[np.ix_(b, b)] - back @ x[:, : len(b)], self.g[b] - back @ x[:, len(b) :]
+
+
+def long_ids(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.int64)
+
+
+def tiles(tables: Tables, name: str, k: DataFrame, f: DataFrame, lo: int, n: int, rows: int, loads: int, cases: int, definite: bool) -> DataFrame:
+    """(case_id, node_id, u) for K(of, row, col, v), f(of, case_id, row, v) on a mesh of so many rows of n numbers."""
+    tile = TILE
+    size = (-(-rows // tile), -(-n // tile))  # tiles down and across
+    number = lambda c: F.col(c) - lo
+    down = lambda *cs: F.floor(F.floor(F.greatest(*[number(c) for c in cs]) / n) / tile).cast("long")
+    across = lambda *cs: F.floor(F.greatest(*[F.pmod(number(c), F.lit(n)) for c in cs]) / tile).cast("long")
+    # an entry lies in the tile of its greater row and column, which both of its nodes are in or beside
+    k = k.select("of", down("row", "col").alias("i"), across("row", "col").alias("j"), number("row").alias("row"), number("col").alias("col"), "v")
+    f = f.select("of", F.floor(F.floor(number("row") / n) / tile).cast("long").alias("i"), F.floor(F.pmod(number("row"), F.lit(n)) / tile).cast("long").alias("j"), "case_id", number("row").alias("row"), "v")
+    tasks = lambda regions: int(max(1, min(TASKS, 2 * regions * cases)))
+    key = ["of", "i", "j"]
+    by = lambda t, regions: t.repartition(tasks(regions), *key).groupBy(*key)
+
+    def within(ids, i, j, h, w, whole):
+        """Which numbers lie in a region of h by w nodes and not on its last row or column."""
+        r, c = ids // n, ids % n
+        return np.full(len(ids), True) if whole else (r >= i * h) & (r < i * h + h - 1) & (c >= j * w) & (c < j * w + w - 1)
+
+    def leaf(part, load):
+        ids, column = np.unique(load["case_id"].to_numpy(np.int64), return_inverse=True)
+        row, col, at = (t[c].to_numpy(np.int64) for t, c in ((part, "row"), (part, "col"), (load, "row")))
+        region = Region(np.unique(np.concatenate([row, col, at])), len(ids) if len(ids) else loads)
+        np.add.at(region.a, (region.at(row), region.at(col)), part["v"].to_numpy(np.float64))
+        if len(at):
+            np.add.at(region.g, (region.at(at), column), load["v"].to_numpy(np.float64))
+        return ids, region
+
+    def first(of, part, load):
+        _, region = leaf(part, load)
+        _, around, _, a, g = region.split(within(region.ids, of[1], of[2], tile, tile, False), definite)
+        return pd.DataFrame({"of": [of[0]], "i": [of[1]], "j": [of[2]], "ids": [around.tobytes()], "a": [raw(a)], "g": [raw(g)]})
+
+    fronts = tables.write(f"{name}-front-0", by(k, size[0] * size[1]).cogroup(by(f, size[0] * size[1])).applyInPandas(first, "of long, i long, j long, ids binary, a binary, g binary"))
+    levels, h, w = [], 1, 1  # tiles of a region down and across
+    while not levels or max(size) > 1:
+        vertical = size[0] >= size[1]
+        h, w = (2 * h, w) if vertical else (h, 2 * w)
+        size = (-(-size[0] // 2), size[1]) if vertical else (size[0], -(-size[1] // 2))
+        whole = max(size) == 1
+
+        def merge(of, part):
+            part = part.sort_values(["was_i", "was_j"])
+            own = [long_ids(v) for v in part["ids"]]
+            region = Region(np.unique(np.concatenate(own)), loads)
+            for ids, a, g in zip(own, part["a"], part["g"]):
+                at = region.at(ids)
+                region.a[np.ix_(at, at)] += matrix(a, len(ids))
+                region.g[at] += matrix(g, len(ids)).reshape(len(ids), loads)
+            inner, around, x, a, g = region.split(within(region.ids, of[1], of[2], h * tile, w * tile, whole), definite)
+            children = [(int(i), int(j), v) for i, j, v in zip(part["was_i"], part["was_j"], part["ids"])]
+            children += [(-1, -1, b"")] * (2 - len(children))
+            out = {"ids": around.tobytes(), "a": raw(a), "g": raw(g), "inner": inner.tobytes(), "x": raw(x)}
+            out |= {f"{c}{m}": v for m, child in enumerate(children) for c, v in zip(("i", "j", "ids"), child)}
+            return pd.DataFrame({"of": [of[0]], "i": [of[1]], "j": [of[2]], **{c: [v] for c, v in out.items()}})
+
+        pairs = fronts.select("of", F.shiftright("i", int(vertical)).alias("i"), F.shiftright("j", int(not vertical)).alias("j"), F.col("i").alias("was_i"), F.col("j").alias("was_j"), "ids", "a", "g")
+        child = ", ".join(f"i{m} long, j{m} long, ids{m} binary" for m in range(2))
+        fronts = tables.write(f"{name}-front-{len(levels) + 1}", by(pairs, size[0] * size[1]).applyInPandas(merge, f"of long, i long, j long, ids binary, a binary, g binary, inner binary, x binary, {child}"))
+        # what goes back needs no matrices: only those of two levels are on disk at once
+        kept = tables.write(f"{name}-part-{len(levels)}", fronts.drop("a", "g"))
+        tables.drop(f"{name}-front-{len(levels)}")
+        levels.append((kept, size[0] * size[1]))
+    tables.drop(f"{name}-front-{len(levels)}")
+
+    def spread(batches):
+        """Values within a region from those around it; to each of the two that it was made of, the values around that."""
+        for part in batches:
+            out = []
+            for _, r in part.iterrows():
+                inner, around = long_ids(r["inner"]), long_ids(r["ids"])
+                x = matrix(r["x"], len(inner)).reshape(len(inner), len(around) + loads)
+                u = x[:, len(around) :]
+                if len(around):
+                    beside = matrix(r["u"], len(around))
+                    u = u - x[:, : len(around)] @ beside
+                    u = np.vstack([u, beside])
+                ids = np.concatenate([inner, around])
+                order = np.argsort(ids)
+                ids, u = ids[order], u[order]
+                for m in range(2):
+                    if r[f"i{m}"] >= 0:
+                        own = long_ids(r[f"ids{m}"])
+                        out.append((r["of"], r[f"i{m}"], r[f"j{m}"], own.tobytes(), raw(u[np.searchsorted(ids, own)])))
+            yield pd.DataFrame(out, columns=["of", "i", "j", "ids", "u"])
+
+    known = None
+    for level in range(len(levels) - 1, -1, -1):
+        some, regions = levels[level]
+        some = some.withColumn("u", F.lit(None).cast("binary")) if known is None else some.join(known.select(*key, "u"), key)
+        known = tables.write(f"{name}-known-{level}", some.repartition(tasks(regions), *key).mapInPandas(spread, "of long, i long, j long, ids binary, u binary"))
+        tables.drop(f"{name}-part-{level}", *[f"{name}-known-{level + 1}"] * (level + 1 < len(levels)))
+
+    def last(of, part, load):
+        told = load["u"].notna().to_numpy()
+        mine = load[~told]
+        ids, region = leaf(part, mine)
+        u = np.zeros((len(region.ids), loads))
+        inside = within(region.ids, of[1], of[2], tile, tile, False)
+        if told.any():
+            one = load[told].iloc[0]
+            around = long_ids(one["ids"])
+            u[region.at(around)] = matrix(one["u"], len(around)).reshape(len(around), loads)
+        _, around, x, _, _ = region.split(inside, definite)
+        u[inside] = x[:, len(around) :] - x[:, : len(around)] @ u[~inside]
+        at, case = mine["row"].to_numpy(np.int64), mine["case_id"].to_numpy(np.int64)
+        return pd.DataFrame({"case_id": case, "node_id": at + lo, "u": u[region.at(at), np.searchsorted(ids, case)]})
+
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    both = f.select(*key, "case_id", "row", "v", null("ids", "binary"), null("u", "binary")).unionByName(known.select(*key, null("case_id", "long"), null("row", "long"), null("v", "double"), "ids", "u"))
+    count = -(-rows // tile) * -(-n // tile)
+    return tables.write(f"{name}-inner", by(k, count).cogroup(by(both, count)).applyInPandas(last, "case_id long, node_id long, u double"))
+
+
 def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1, definite: bool = True) -> DataFrame | None:
     """(case_id, node_id, u) of K u = f for K([case_id,] row, col, v) and f(case_id, row, v), which has a row for each row of K
     (in each case of f, if K is shared); written, systems of a small span in so many ``parts``. A shared K
@@ -191,6 +346,13 @@ def solve(tables: Tables, name: str, k: DataFrame, f: DataFrame, parts: int = 1,
     lo, span, width = found.lo, found.hi - found.lo + 1, max(1, found.width)
     if not shared and span <= SMALL:
         return tables.write(f"{name}-u", small(k, f, lo, span, parts))
+    grid = rows_of(k, lo, width)
+    if grid:
+        at, n = grid
+        of = F.lit(0).cast("long") if shared else F.col("case_id")
+        right = f.select("case_id").distinct().count() if shared else 1
+        with only_marked_broadcasts(tables.spark):
+            return tiles(tables, name, k.select(of.alias("of"), "row", "col", "v"), f.select(of.alias("of"), "case_id", "row", "v"), at, n, -(-(found.hi + 1 - at) // n), right, found.cases, definite)
     if width > WIDEST:
         return None
     width = min(span, max(width, 16))  # few tiny blocks cost more than one

@@ -64,3 +64,59 @@ def test_substructures_need_few_steps_where_the_diagonal_needs_many(spark):
     got = {r.node_id: r.u for r in out.collect()}
     want = np.linalg.solve(a, b[:, 0])
     assert all(abs(got[i] - want[i]) <= 1e-7 * abs(want).max() for i in range(200))
+
+
+def grid(seed, rows, n, gaps=()):
+    """The same on a mesh of rows of n nodes, linked to the eight around; the held ones ``gaps`` have no row."""
+    rng = np.random.default_rng(seed)
+    a = np.zeros((rows * n, rows * n))
+    for r in range(rows):
+        for c in range(n):
+            for p, q in ((r, c + 1), (r + 1, c - 1), (r + 1, c), (r + 1, c + 1)):
+                if p < rows and 0 <= q < n:
+                    a[r * n + c, p * n + q] = a[p * n + q, r * n + c] = -(10.0 ** rng.uniform(-3, 3))
+    a += np.diag(-a.sum(1) + rng.uniform(0.01, 1, len(a)))
+    kept = np.setdiff1d(np.arange(len(a)), gaps)
+    return a[np.ix_(kept, kept)], rng.normal(size=(len(kept), 3)), kept
+
+
+@pytest.mark.parametrize("rows, n, gaps", [(13, 11, ()), (9, 17, (1, 20, 77)), (8, 8, range(8)), (5, 40, range(0, 200, 40)), (6, 12, range(0, 14))])
+def test_wide_meshes_are_dissected_both_ways(spark, monkeypatch, rows, n, gaps):
+    """Matrices are between the nodes around a region: before, each of many strips had one twice as wide as the mesh."""
+    shift = 0 if 13 in gaps else 5  # the first row's first node must be known, or be numbered by the row's length
+    monkeypatch.setattr(substructure, "LONG", 7)
+    monkeypatch.setattr(substructure, "TILE", 4)
+    a, b, kept = grid(n, rows, n, gaps)
+    tables = Tables(spark, "sub")
+    widest, write = [], Tables.write
+
+    def seen(self, name, df):
+        out = write(self, name, df)
+        if "front" in name:
+            widest.append(out.selectExpr("max(octet_length(ids)) / 8").first()[0])
+        return out
+
+    monkeypatch.setattr(Tables, "write", seen)
+    u = substructure.solve(tables, "x", *frames(spark, a, kept + shift, b)).collect()
+    want = np.linalg.solve(a, b)
+    got = {(r.case_id, r.node_id): r.u for r in u}
+    assert len(u) == len(got) == want.size
+    assert all(abs(got[c, int(kept[p]) + shift] - want[p, c]) <= 1e-7 * abs(want).max() for p in range(len(kept)) for c in range(3))
+    assert len(widest) > 2 and max(widest) < 2 * (rows + n)
+
+
+def test_wide_meshes_of_each_case(spark, monkeypatch):
+    monkeypatch.setattr(substructure, "LONG", 7)
+    monkeypatch.setattr(substructure, "TILE", 4)
+    monkeypatch.setattr(substructure, "SMALL", 1)
+    systems = {c: grid(c, 10, 9) for c in range(3)}
+    parts = [frames(spark, a, kept, b[:, :1], c) for c, (a, b, kept) in systems.items()]
+    k, f = parts[0]
+    for p, q in parts[1:]:
+        k, f = k.unionByName(p), f.unionByName(q)
+    got = {}
+    for r in substructure.solve(Tables(spark, "sub"), "x", k, f, 3).collect():
+        got.setdefault(r.case_id, {})[r.node_id] = r.u
+    for c, (a, b, _) in systems.items():
+        want = np.linalg.solve(a, b[:, 0])
+        assert np.allclose([got[c][i] for i in range(90)], want, rtol=1e-7, atol=1e-7 * abs(want).max())
