@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from meshloom.operators import mesh, project
+from meshloom.operators import mesh, project, substructure
 
 
 def test_rule_is_exact_to_its_degree():
@@ -32,3 +32,18 @@ def test_projection_equals_dense_least_squares(spark):
         root = np.sqrt(part["weight"].to_numpy())[:, None]
         best, *_ = np.linalg.lstsq(root * hats, root * part[["p", "q"]].to_numpy(), rcond=None)
         assert np.allclose([got[case, i] for i in range(n)], best, atol=1e-9)
+
+
+def test_wide_meshes_are_projected_by_tiles(spark, monkeypatch):
+    """All loads of a shared matrix, on a mesh that is dissected both ways: before, strips had matrices twice as wide as the mesh."""
+    monkeypatch.setattr(substructure, "LONG", 7)
+    monkeypatch.setattr(substructure, "TILE", 4)
+    used, tiles = [], substructure.tiles
+    monkeypatch.setattr(substructure, "tiles", lambda *a: used.append(a[7]) or tiles(*a))
+    m = mesh.unit_square(spark, 9)
+    g = mesh.geometry(m)
+    points = project.quadrature_points(g).crossJoin(spark.range(3).withColumnRenamed("id", "case_id"))
+    fields = {"ex": F.col("case_id") + F.col("x"), "ey": 2.0 - F.col("case_id") * F.col("y")}
+    rows = project.projected(g, points, fields).join(m.nodes, "node_id").collect()
+    assert used == [6] and len(rows) == 300
+    assert all(abs(r.ex - r.case_id - r.x) < 1e-9 and abs(r.ey - 2 + r.case_id * r.y) < 1e-9 for r in rows)
