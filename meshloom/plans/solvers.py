@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshloom.functions import elements as el
 from meshloom.operators import assembly as asm
 from meshloom.operators import cases, contracts, coupled, gmres, krylov, mesh, multilevel, project, solve, tet4, transfer
 from meshloom.operators.tables import Tables, only_marked_broadcasts
